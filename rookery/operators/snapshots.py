@@ -202,7 +202,7 @@ SQL = {
     "p3_counts": P3_SQL + "select root, snapshot_id, " + ", ".join(f"count(*) filter (change_type = '{k}') as {k}" for k in ("added", "removed", "changed")) + " from probe group by root, snapshot_id",
     "p3_fields": P3_SQL
     + " union all ".join(
-        f"select n.root, n.snapshot_id, n.unit_id, '{c}' as field, o.{c} as old_value, n.{c} as new_value from unit n join unit o on o.root = n.root and o.unit_id = n.unit_id and o.seq = n.seq - 1 where o.{c} is distinct from n.{c}"
+        f"select n.root, n.snapshot_id, n.unit_id, '{c}' as field, o.{c}::varchar as old_value, n.{c}::varchar as new_value from unit n join unit o on o.root = n.root and o.unit_id = n.unit_id and o.seq = n.seq - 1 where o.{c} is distinct from n.{c}"
         for c in (*SCALARS, *SETS)
     ),
 }
