@@ -6,7 +6,7 @@ split pattern) with their token ids. Tokens never cross pieces, so a join has to
 
 * left of the seam, the scan of the whole text equals the left one up to a match that ends before the stretch does with a
   character behind it, as the pattern looks at most one character beyond a match and runs of one class end only where the
-  next character shows it. All but the last pieces that touch the end are kept.
+  next character shows it (contractions need three characters from their begin). All pieces but the last few are kept.
 * the window from there on is scanned again, over a growing part of the right stretch, until a match begins where the right
   scan began one too. From that place on both scans read the same characters from the same state, so all that follows is
   stable. The window doubles until this is proven or the right stretch ends.
@@ -37,7 +37,11 @@ LEAF = 16_384
 #: A leaf is encoded as a whole by the library up to here; longer texts go through the tree.
 DIRECT = 2 * LEAF
 #: The split pattern that belongs to the vocabulary (a fixed value of the public tokenizer).
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+#: Characters from a match's begin that decide whether it is a contraction.
+LONGEST = 3
 
 
 @lru_cache(maxsize=4)
@@ -81,23 +85,18 @@ def encode_leaf(text: str, begin: int, end: int, piece) -> Stretch:
 def join(text: str, left: Stretch, right: Stretch, piece) -> Stretch:
     """The stretch over both; see the module's text for why nothing outside the window can differ."""
     keep = len(left.starts)
-    while keep and left.end - _end(left, keep - 1) < 1:
-        keep -= 1  # a match that touches the seam may go on or change behind it
-    while keep and text[left.starts[keep - 1] : _end(left, keep - 1)].isspace():
-        keep -= 1  # white space runs give their last character away to what follows
+    while keep and (_end(left, keep - 1) >= left.end or left.starts[keep - 1] + LONGEST > left.end):
+        keep -= 1  # it touches the seam, or a contraction could begin there
     from_ = _end(left, keep - 1) if keep else left.begin
     width = 64
     known = {s: i for i, s in enumerate(right.starts)}
     while True:
         to = min(right.end, right.begin + width)
         starts, ids = _scan(text, from_, to, piece)
-        # matches that touch the window's end are not proven, those before are
         for j, s in enumerate(starts):
-            if s in known and s >= right.begin and (s < to - 1 or to == right.end):
-                sure = starts[j + 1] if j + 1 < len(starts) else to
-                if sure < to or to == right.end:
-                    i = known[s]
-                    return Stretch(left.begin, right.end, left.starts[:keep] + starts[:j] + right.starts[i:], left.ids[:keep] + ids[:j] + right.ids[i:])
+            if s in known and (to == right.end or j == 0 or starts[j - 1] + LONGEST <= to):
+                i = known[s]  # every match before s ended inside the window, with a character behind it
+                return Stretch(left.begin, right.end, left.starts[:keep] + starts[:j] + right.starts[i:], left.ids[:keep] + ids[:j] + right.ids[i:])
         if to == right.end:
             return Stretch(left.begin, right.end, left.starts[:keep] + starts, left.ids[:keep] + ids)
         width *= 2
