@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rookery.llm import bitmaps, encoding, quantiles
+from rookery.llm import bitmaps, encoding, leakage, quantiles
 
-MODULES = (quantiles, bitmaps, encoding)
+MODULES = (quantiles, bitmaps, encoding, leakage)
 
 
 def queries() -> dict:
