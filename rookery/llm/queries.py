@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rookery.llm import bitmaps, encoding, leakage, quantiles
+from rookery.llm import bitmaps, encoding, handwritten, leakage, quantiles
 
-MODULES = (quantiles, bitmaps, encoding, leakage)
+MODULES = (quantiles, bitmaps, handwritten, encoding, leakage)
 
 
 def queries() -> dict:
