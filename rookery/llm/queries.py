@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rookery.llm import bitmaps, encoding, handwritten, leakage, quantiles
+from rookery.llm import abuse, bitmaps, encoding, handwritten, leakage, quantiles
 
-MODULES = (quantiles, bitmaps, handwritten, encoding, leakage)
+MODULES = (quantiles, bitmaps, handwritten, encoding, leakage, abuse)
 
 
 def queries() -> dict:
