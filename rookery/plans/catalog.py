@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rookery.operators import snapshots, trailing
+from rookery.operators import snapshots, trailing, usage
 
 FLAGSHIP = "p2_rolling"
-MODULES = (trailing, snapshots)
+MODULES = (trailing, snapshots, usage)
 
 
 def queries() -> dict:
