@@ -42,17 +42,17 @@ def value_hash(scalars: Sequence[Column], sets: Sequence[Column]) -> Column:
     return F.xxhash64(*parts)
 
 
-def parsed_units(snapshots: DataFrame) -> DataFrame:
-    """Deliveries with a complete JSON object: id, root, snapshot_id, indexed_at and ``units``, an array of unit structs.
+def parsed_units(snapshots: DataFrame, unit: str = UNIT) -> DataFrame:
+    """Deliveries with a complete JSON object: id, root, snapshot_id, indexed_at and ``units``, an array of ``unit`` structs.
 
     ``units`` comes as an object by unit_id or as an array, so it is first taken as text and then read by its kind."""
     outer = F.from_json("payload", "units string, broken string", {"columnNameOfCorruptRecord": "broken"})
     x = snapshots.select("id", root_path("root_path").alias("root"), "snapshot_id", "indexed_at", "payload").where(F.col("payload").rlike(r"^\s*\{") & F.col("payload").rlike(r"\}\s*$"))
     x = x.withColumn("o", outer).where("o is not null and o.broken is null").withColumn("u", F.ltrim("o.units"))
-    by_id = F.transform(F.map_entries(F.from_json("u", f"map<string, struct<{_colons(UNIT)}>>")), lambda e: e["value"].withField("unit_id", F.coalesce(e["value"]["unit_id"], e["key"])))
-    in_array = F.from_json("u", f"array<struct<{_colons(UNIT)}>>")
+    by_id = F.transform(F.map_entries(F.from_json("u", f"map<string, struct<{_colons(unit)}>>")), lambda e: e["value"].withField("unit_id", F.coalesce(e["value"]["unit_id"], e["key"])))
+    in_array = F.from_json("u", f"array<struct<{_colons(unit)}>>")
     units = F.when(F.col("u").startswith("{"), by_id).when(F.col("u").startswith("["), in_array)
-    return x.select("id", "root", "snapshot_id", "indexed_at", F.coalesce(units, F.array().cast(f"array<struct<{_colons(UNIT)}>>")).alias("units"))
+    return x.select("id", "root", "snapshot_id", "indexed_at", F.coalesce(units, F.array().cast(f"array<struct<{_colons(unit)}>>")).alias("units"))
 
 
 def _colons(ddl: str) -> str:
