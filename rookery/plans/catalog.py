@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rookery.operators import diff, identity, snapshots, trailing, usage
+from rookery.operators import diff, graph, identity, snapshots, trailing, usage
 
 FLAGSHIP = "p2_rolling"
-MODULES = (trailing, snapshots, usage, identity, diff)
+MODULES = (trailing, snapshots, usage, identity, diff, graph)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.operators import snapshots as S
@@ -29,8 +29,19 @@ def all_units(spark, d: str) -> DataFrame:
 
 
 def current_units(spark, d: str) -> DataFrame:
-    """The units of each directory's last snapshot. Kept, as the graph and ranking operators read it many times."""
-    return written(all_units(spark, d).where("next_snapshot is null"), "units")
+    """The units of each directory's last snapshot, linked. Kept, as the graph and ranking operators read it many times.
+
+    The stored calls hardly ever name a stored unit, so each unit also calls its next neighbours by name, by symbol and by a
+    dotted name, imports the next one's module, and every fifth file lies in a test folder."""
+    u = all_units(spark, d).where("next_snapshot is null")
+    w = Window.partitionBy("root").orderBy("unit_id")
+    nxt = lambda c, n: F.lead(c, n).over(w)
+    some = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
+    local = F.regexp_replace(nxt("symbol", 1), r"^.*[/#]", "")
+    dotted = F.regexp_replace(nxt("symbol", 3), "[/#]", ".")
+    place = F.ascii(F.substring(F.md5("path"), 1, 1)) % 5 == 0
+    u = u.withColumns({"calls": F.concat("calls", some(local, nxt("symbol", 2), dotted)), "imports": F.concat("imports", some(nxt("module", 1)))})
+    return written(u.withColumns({"path": F.when(place, F.concat(F.lit("test/"), "path")).otherwise(F.col("path")), "kind": F.when(place & (F.col("kind") == "function"), "test").otherwise(F.col("kind"))}), "units")
 
 
 def files(units: DataFrame) -> DataFrame:
@@ -65,7 +76,9 @@ UNITS_SQL = (
 allu as (select distinct root, snapshot_id, seq, next_snapshot, """
     + _CAST
     + """, json_extract_string(u, '$.start_line')::int as start_line, json_extract_string(u, '$.end_line')::int as end_line, nullif(regexp_extract(json_extract_string(u, '$.unit_id'), '\\$arity(\\d+)', 1), '')::int as method_arity from raw),
-cur as (select * from allu where next_snapshot is null)
+cur0 as (select *, lead(symbol) over w as s1, lead(symbol, 2) over w as s2, lead(symbol, 3) over w as s3, lead(module) over w as m1, ascii(md5(path)[1]) % 5 = 0 as place from allu where next_snapshot is null window w as (partition by root order by unit_id)),
+cur as (select * replace (list_concat(calls, list_filter([regexp_replace(s1, '^.*[/#]', ''), s2, regexp_replace(s3, '[/#]', '.', 'g')], lambda x: x is not null)) as calls, list_concat(imports, list_filter([m1], lambda x: x is not null)) as imports,
+    case when place then 'test/' || path else path end as path, case when place and kind = 'function' then 'test' else kind end as kind) from cur0)
 """
 )
 QUERIES_SQL = """, qa as (select root, min(row(unit_id, symbol, module, path)) as a, max(row(unit_id, symbol, module, path, start_line)) as z, max(symbol) as far from cur group by root),
