@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rookery.operators import diff, graph, identity, retrieval, snapshots, trailing, usage
+from rookery.operators import context, diff, graph, identity, retrieval, snapshots, trailing, usage
 
 FLAGSHIP = "p2_rolling"
-MODULES = (trailing, snapshots, usage, identity, diff, graph, retrieval)
+MODULES = (trailing, snapshots, usage, identity, diff, graph, retrieval, context)
 
 
 def queries() -> dict:
