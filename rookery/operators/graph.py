@@ -44,8 +44,15 @@ def symbol_tokens(s: Column) -> Column:
 
 
 def token_index(units: DataFrame) -> DataFrame:
-    """(root, token, target) of all addressable tokens."""
-    return units.where("symbol is not null").select("root", F.explode(symbol_tokens(F.col("symbol"))).alias("token"), F.col("unit_id").alias("target"))
+    """(root, token, target) of all addressable tokens.
+
+    Units with a dispatch value answer to their own ``call_tokens`` only; others to those and to their symbol's tokens."""
+    has, tokens = set(units.columns), symbol_tokens(F.col("symbol"))
+    if "dispatch_value" in has:
+        tokens = F.when(F.col("dispatch_value").isNull(), tokens).otherwise(F.array().cast(_EMPTY))
+    if "call_tokens" in has:
+        tokens = F.array_union(tokens, _both_cases(F.coalesce("call_tokens", F.array().cast(_EMPTY))))
+    return units.where("symbol is not null").select("root", F.explode(tokens).alias("token"), F.col("unit_id").alias("target"))
 
 
 def call_tokens(units: DataFrame) -> DataFrame:
