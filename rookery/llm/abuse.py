@@ -43,7 +43,7 @@ FOLDS = 4
 LEAST, MOST, PRIOR = 2, 14, 3.0
 
 _LEET = str.maketrans("013457@$!|+", "oieastasiit")
-_APART = re.compile(r"(?<![a-z0-9*])(?:[a-z*][ ._\-]){2,}[a-z*](?![a-z0-9*])")
+_APART = re.compile(r"(?<![a-z0-9*])[a-z*]([ ._\-])(?:[a-z*]\1)+[a-z*](?![a-z0-9*])")
 _REPEAT = re.compile(r"([a-z])\1{2,}")
 END = "</s>"
 
@@ -61,9 +61,8 @@ def words(text: str) -> list[str]:
     """The tokens of a text; sentence ends are tokens too."""
     out: list[str] = []
     for line in folded(text).replace("\r", "\n").split("\n"):
-        low = _APART.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), line.lower()) if _APART.search(line.lower()) else None
-        if low is not None:
-            line = low
+        if _APART.search(low := line.lower()):
+            line = _APART.sub(_together, low)
         for raw in line.split():
             core = raw.strip("\"'`()[]{}<>,.;:!?#>*“”‘’«»¿¡…-")
             tail = raw[-1] in ".!?;:" or len(raw) > 1 and raw[-2] in ".!?"
@@ -76,6 +75,12 @@ def words(text: str) -> list[str]:
     return out
 
 
+def _together(m: re.Match) -> str:
+    """Letters set apart as a word; a leading ``a`` or ``i`` before a space is a word of its own."""
+    t = m[0].replace(m[1], "")
+    return f"{t[0]} {t[1:]}" if m[1] == " " and t[0] in "ai" and len(t) > 4 else t
+
+
 def _token(core: str) -> str:
     if core.isdigit() or core.replace(".", "").replace(",", "").isdigit():
         return "<n>"
