@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.text import label
-from rookery.sources.tables import table
+from rookery.sources.tables import table, written
 
 KINDS = {"actor": "actor_id", "session": "session_id"}
 DIMS = ("day", "surface", "tenant_id")
@@ -106,13 +106,13 @@ def cube_counts(partial: DataFrame) -> DataFrame:
 
 
 def distinct_cube(spark, d: str) -> DataFrame:
-    """p4_distinct."""
-    return cube_counts(day_words(table(spark, d, "semantic_usage_events")))
+    """p4_distinct. The partial results are stored once; all combinations are made of them, so rows are numbered once."""
+    return cube_counts(written(day_words(table(spark, d, "semantic_usage_events")), "day-words"))
 
 
 def shared_between_surfaces(spark, d: str) -> DataFrame:
     """p4_shared: identifiers seen on both of two surfaces, by AND of their bitmaps."""
-    by = merged(day_words(table(spark, d, "semantic_usage_events")), ["surface"]).where("surface is not null")
+    by = merged(written(day_words(table(spark, d, "semantic_usage_events")), "day-words"), ["surface"]).where("surface is not null")
     a, b = by.withColumnRenamed("surface", "surface_a"), by.select("kind", "bucket", "word", F.col("surface").alias("surface_b"), F.col("bits").alias("_b"))
     x = a.join(b, ["kind", "bucket", "word"]).where("surface_a < surface_b").withColumn("bits", F.col("bits").bitwiseAND(F.col("_b")))
     return counted(x.where("bits <> 0"), ["surface_a", "surface_b"]).withColumnRenamed("n", "n_shared")
