@@ -14,8 +14,8 @@ have in common are not part of an item's own passage.
    diagonal. Matched words, altered, missing and added ones are read off the path; a run of at least 18 words with at
    most one edit in ten is a leak, or the whole item where it has fewer words.
 
-The item side is a stated query set of fixed size: it is split into blocks of at most ``BLOCK`` items, each block's index is
-bounded and goes to the tasks inside the function, and the corpus is passed once per block. The corpus is never
+The item side is a stated query set of fixed size: it is split into blocks of at most ``BLOCK`` items and ``BLOCK_BYTES`` of text, each
+block's index is bounded and goes to the tasks by broadcast, and the corpus is passed once per block. The corpus is never
 shuffled; documents are not compared with each other. Null and empty texts and items have no cases; repeated texts are
 cases each; other columns are ignored.
 """
@@ -43,6 +43,7 @@ ONE_IN = 10
 EDITS = 2
 BAND = 96
 BLOCK = 4096
+BLOCK_BYTES = 8_000_000
 #: Tokens an alignment may leave its diagonal by.
 DRIFT = 40
 
@@ -310,6 +311,19 @@ def _centres(a: list[str], b: list[str]) -> list[int]:
     return [(c + 1) * DRIFT - DRIFT // 2 for c, n in votes.most_common(3) if n >= 4]
 
 
+def blocks(items: list[Item]) -> Iterator[list[Item]]:
+    """Items in blocks that keep both bounds; an item above the bytes has a block of its own."""
+    block, size = [], 0
+    for it in items:
+        if block and (len(block) >= BLOCK or size + len(it.stream) > BLOCK_BYTES):
+            yield block
+            block, size = [], 0
+        block.append(it)
+        size += len(it.stream)
+    if block:
+        yield block
+
+
 def contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, item_id of every leak. ``items`` has item_id and item_text and is bounded by its definition."""
     own = own_passages([(r[0], r[1]) for r in items.select("item_id", "item_text").orderBy("item_id").collect()])
@@ -317,8 +331,8 @@ def contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     kind = dict(docs.dtypes)["k"]
     schema = f"k {kind}, item_id bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    for start in range(0, len(own), BLOCK):
-        shared = docs.sparkSession.sparkContext.broadcast(own[start : start + BLOCK])
+    for block in blocks(own):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
