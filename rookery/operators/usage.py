@@ -93,13 +93,28 @@ def stage_name() -> Column:
     return c
 
 
-def p95(value: Column, keys: list[Column | str], rows: DataFrame) -> DataFrame:
-    """keys, p95_ms by the nearest-rank rule, from counts of distinct values, so a group of any size sorts its distinct values only."""
-    n = rows.where(value.isNotNull()).groupBy(*keys, value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    names = [c for c in n.columns if c not in ("v", "c")]
-    w = Window.partitionBy(*names)
-    x = n.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    return x.where(F.col("upto") > F.ceil(F.lit(0.95) * (F.col("n") - 1))).groupBy(*names).agg(F.min("v").alias("p95_ms"))
+def _coarse(v: Column) -> Column:
+    """A bucket number that rises with v: values below 1024 have their own, above it goes by length and top 10 bits."""
+    n = F.length(F.bin(v))
+    return F.when(v < 1024, v).otherwise(n * 1024 + F.expr("shiftright(v, cast(length(bin(v)) as int) - 11)") % 1024)
+
+
+def p95(value: Column, keys: list[str], rows: DataFrame) -> DataFrame:
+    """keys, p95_ms by the nearest-rank rule, exactly, for groups of any size.
+
+    Counts by value are made first; then the group's place is found among at most 56 thousand coarse buckets, and only the
+    values of that bucket are ordered. Negative values share one bucket."""
+    n = rows.where(value.isNotNull()).groupBy(*keys, value.cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    n = n.withColumn("b", F.when(F.col("v") < 0, F.lit(-1)).otherwise(_coarse(F.col("v"))).cast("bigint"))
+    w = Window.partitionBy(*keys)
+    upto = lambda by: F.sum("c").over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    coarse = n.groupBy(*keys, "b").agg(F.sum("c").alias("c")).withColumns({"upto": upto("b"), "n": F.sum("c").over(w)})
+    rank = F.ceil(F.lit(0.95) * (F.col("n") - 1))
+    hit = coarse.where((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("b").alias("_b"), (rank - (F.col("upto") - F.col("c"))).alias("place"))
+    same = F.col("b") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return n.join(hit, same).withColumn("upto", upto("v")).where(F.col("upto") > F.col("place")).groupBy(*keys).agg(F.min("v").alias("p95_ms"))
 
 
 def latency_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
