@@ -6,10 +6,9 @@ smoothed by all that is known of it, and unseen words weigh the same in both. A
 difference of the two log-likelihoods over its spans of words, as a remark is a few words in a long text.
 
 Labels are given for whole documents and raters err, while a remark is one sentence of many. So training alternates: the
-ordinary model is fit on documents rated 0; in documents rated 1 the spans that it explains worst, later those that
-the current models tell apart best, are taken as toxic, the rest as ordinary; spans of documents rated 0 that look
-toxic to the models are left out of the ordinary class. The threshold is the one that agrees best with the ratings, by
-cross-validation.
+ordinary model is fit on documents rated 0; in documents rated 1 the spans of words that such documents have more often, later
+those that the current models tell apart best, are taken as toxic, the rest of them is not used. The threshold is the one
+that agrees best with the ratings, by cross-validation.
 
 Spelling is undone first: letter case, accents, look-alike and invisible characters, digits and signs for letters, letters
 set apart, letters repeated, words masked by asterisks. Paths and identifiers become one token, numbers another, names of
@@ -37,6 +36,8 @@ from rookery.sources.tables import table
 #: Bound of the sample the models are fit on, in documents.
 MAX_LABELLED = 6_000
 DISCOUNT = 0.75
+#: A word in fewer documents of the sample stands for any unknown word, so that both models learn where such words occur.
+KNOWN = 2
 ROUNDS = 4
 FOLDS = 4
 #: Spans of 2 to MOST words; a span's sum of differences is divided by its length plus PRIOR, so that a word or two cannot win alone.
@@ -45,9 +46,15 @@ LEAST, MOST, PRIOR = 2, 14, 3.0
 _LEET = str.maketrans("013457@$!|+", "oieastasiit")
 _APART = re.compile(r"(?<![a-z0-9*])[a-z*]([ ._\-])(?:[a-z*]\1)+[a-z*](?![a-z0-9*])")
 _REPEAT = re.compile(r"([a-z])\1{2,}")
+_SPLIT = re.compile(r"[()\[\]{}<>=\"|]+")
 END = "</s>"
 
 
+def unknown(w: str) -> str:
+    """What stands for a word that is no part of the models."""
+    return "<unk*>" if "*" in w else "<unk>"
+
+
 def folded(text: str) -> str:
     """Latin letters without accents and look-alikes, without invisible characters; case is kept."""
     if text.isascii():
@@ -63,7 +70,7 @@ def words(text: str) -> list[str]:
     for line in folded(text).replace("\r", "\n").split("\n"):
         if _APART.search(low := line.lower()):
             line = _APART.sub(_together, low)
-        for raw in line.split():
+        for raw in _SPLIT.sub(" ", line).split():
             core = raw.strip("\"'`()[]{}<>,.;:!?#>*“”‘’«»¿¡…-")
             tail = raw[-1] in ".!?;:" or len(raw) > 1 and raw[-2] in ".!?"
             if core:
@@ -102,8 +109,9 @@ def _token(core: str) -> str:
 class Models:
     """Both models as differences of log-probabilities: of known pairs, and of words after contexts without them."""
 
-    def __init__(self, toxic: Counter, ordinary: Counter):
-        """Counts of (previous, word) pairs of each class."""
+    def __init__(self, toxic: Counter, ordinary: Counter, known: frozenset[str] = frozenset()):
+        """Counts of (previous, word) pairs of each class; words other than ``known`` have been replaced by ``unknown``."""
+        self.known = known
         after: dict[str, set] = defaultdict(set)
         for a, b in (*toxic, *ordinary):
             after[b].add(a)
@@ -153,9 +161,11 @@ class Models:
 
     def differences(self, toks: list[str]) -> list[float]:
         """log p_toxic - log p_ordinary of each token after the one before."""
-        pairs, single, back = self.pairs, self.single, self.back
+        pairs, single, back, known = self.pairs, self.single, self.back, self.known
         out, prev = [], END
         for w in toks:
+            if w not in known:
+                w = unknown(w)
             d = pairs.get((prev, w))
             if d is None:
                 d = back.get(prev, 0.0) + single.get(w, self.unseen)
@@ -201,6 +211,9 @@ def _pairs(toks: list[str], spans: Iterable[tuple[int, int]] = ()) -> tuple[Coun
 
 def fit(rated: list[tuple[list[str], float]], rounds: int = ROUNDS) -> Models | None:
     """Models from (tokens, share of raters who found it offensive)."""
+    in_docs = Counter(w for t, _ in rated for w in set(t))
+    known = frozenset(w for w, n in in_docs.items() if n >= KNOWN)
+    rated = [([w if w in known else unknown(w) for w in t], r) for t, r in rated]
     clean = [t for t, r in rated if r < 0.5]
     bad = [t for t, r in rated if r >= 0.5]
     if not clean or not bad:
@@ -216,17 +229,13 @@ def fit(rated: list[tuple[list[str], float]], rounds: int = ROUNDS) -> Models |
     for t in bad:
         d = [0.5 * (odds(in_bad[p], in_clean[p]) + odds(one_bad[p[1]], one_clean[p[1]])) - 0.2 for p in zip([END, *t], t)]
         spans.append(_toxic_spans(d, 0.4))
-    left_out: list[list[tuple[int, int]]] = [[] for _ in clean]
     models = None
     for _ in range(rounds):
-        toxic, ordinary = Counter(), Counter()
+        toxic = Counter()
         for t, s in zip(bad, spans):
             toxic.update(_pairs(t, s)[0])  # the rest may hold remarks not found yet, so it is no ordinary text
-        for t, s in zip(clean, left_out):
-            ordinary.update(_pairs(t, s)[1])
-        models = Models(toxic, ordinary)
+        models = Models(toxic, ordinary, known | {"<unk>", "<unk*>"})
         spans = [_toxic_spans(models.differences(t)) for t in bad]
-        left_out = [_toxic_spans(models.differences(t), 1.2) for t in clean]
     return models
 
 
@@ -290,7 +299,7 @@ def rated_documents(documents: DataFrame, labels: DataFrame, limit: int = MAX_LA
 
 def scored(documents: DataFrame, models: Models | None, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` of every row; a narrow pass over the text."""
-    shared = documents.sparkSession.sparkContext.broadcast((models.pairs, models.single, models.back) if models else None)
+    shared = documents.sparkSession.sparkContext.broadcast((models.pairs, models.single, models.back, models.known) if models else None)
     x = documents.select(*keep, F.col(text).cast("string").alias("_t"))
     schema = ", ".join(f"`{c}` {t}" for c, t in x.dtypes if c != "_t") + ", score double"
 
@@ -298,7 +307,7 @@ def scored(documents: DataFrame, models: Models | None, keep: list[str], text: s
         m = None
         if shared.value:
             m = Models.__new__(Models)
-            m.pairs, m.single, m.back = shared.value
+            m.pairs, m.single, m.back, m.known = shared.value
             m.unseen = 0.0
         for b in batches:
             s = [round(score(m, words(t)), 6) if t else 0.0 for t in b.column(b.num_columns - 1).to_pylist()]
