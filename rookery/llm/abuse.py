@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +36,12 @@ from rookery.llm.leakage import _FOLD
 from rookery.sources.tables import table
 
 #: Bound of the sample the models are fit on, in documents.
-MAX_LABELLED = 6_000
+MAX_LABELLED = 20_000
 DISCOUNT = 0.75
 #: A word in fewer documents of the sample stands for any unknown word, so that both models learn where such words occur.
 KNOWN = 2
 ROUNDS = 4
-FOLDS = 4
+FOLDS = 3
 #: Spans of 2 to MOST words; a span's sum of differences is divided by its length plus PRIOR, so that a word or two cannot win alone.
 LEAST, MOST, PRIOR = 2, 14, 3.0
 
@@ -50,9 +52,11 @@ _SPLIT = re.compile(r"[()\[\]{}<>=\"|]+")
 END = "</s>"
 
 
-def unknown(w: str) -> str:
-    """What stands for a word that is no part of the models."""
-    return "<unk*>" if "*" in w else "<unk>"
+#: The first words of every vocabulary; the last two stand for unknown words, plain and masked ones.
+SPECIAL = (END, "<unk>", "<unk*>")
+UNKNOWN, UNKNOWN_MASKED = 1, 2
+_FIRST = np.zeros(1, np.int64)
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 def folded(text: str) -> str:
@@ -107,72 +111,72 @@ def _token(core: str) -> str:
 
 
 class Models:
-    """Both models as differences of log-probabilities: of known pairs, and of words after contexts without them."""
-
-    def __init__(self, toxic: Counter, ordinary: Counter, known: frozenset[str] = frozenset()):
-        """Counts of (previous, word) pairs of each class; words other than ``known`` have been replaced by ``unknown``."""
-        self.known = known
-        after: dict[str, set] = defaultdict(set)
-        for a, b in (*toxic, *ordinary):
-            after[b].add(a)
-        total = sum(len(v) for v in after.values())
-        self.floor = 1 / (total + len(after) + 1)
-        low = {w: len(v) / (total + len(after) + 1) for w, v in after.items()}
-        self.sides = [self._side(c, low) for c in (toxic, ordinary)]
-        self.low = low
-        self.pairs: dict[tuple[str, str], float] = {}
-        self.single: dict[str, float] = {}
-        (_, _, u1), (_, _, u2) = self.sides
-        for w in low:
-            self.single[w] = math.log(self._unigram(0, w) / self._unigram(1, w))
-        for p in {*toxic, *ordinary}:
-            self.pairs[p] = math.log(self.prob(0, *p) / self.prob(1, *p))
-        self.back = {a: math.log(self._lam(0, a) / self._lam(1, a)) for a in {*self.sides[0][1], *self.sides[1][1]}}
-        self.unseen = 0.0
-
-    @staticmethod
-    def _side(counts: Counter, low: dict[str, float]):
-        context: dict[str, list] = {}
-        uni: Counter = Counter()
-        for (a, b), n in counts.items():
-            c = context.setdefault(a, [0, 0])
-            c[0] += n
-            c[1] += 1
-            uni[b] += n
-        return counts, context, (uni, sum(uni.values()))
-
-    def _unigram(self, side: int, w: str) -> float:
-        """Class frequency with absolute discount, backed off to the shared continuation probability."""
-        uni, n = self.sides[side][2]
-        if not n:
-            return self.low.get(w, self.floor)
-        return (max(uni.get(w, 0) - DISCOUNT, 0) + DISCOUNT * len(uni) * self.low.get(w, self.floor)) / n
-
-    def _lam(self, side: int, a: str) -> float:
-        c = self.sides[side][1].get(a)
-        return DISCOUNT * c[1] / c[0] if c else 1.0
+    """Both models as differences of log-probabilities: of known pairs, and of words after contexts without them.
+
+    Words are numbers; a pair is ``previous * V + word``. Pairs are sorted keys, so a batch of texts is looked up at once."""
+
+    def __init__(self, words_: list[str], toxic: Counts, ordinary: Counts):
+        """Pair counts of each class as (sorted keys, counts)."""
+        v = len(words_)
+        self.index = {w: i for i, w in enumerate(words_)}
+        keys = np.union1d(toxic[0], ordinary[0])
+        prev, word = keys // v, keys % v
+        after = np.bincount(word, minlength=v).astype(np.float64)
+        self.low = (after + (after == 0)) / (after.sum() + v + 1)  # shared continuation probabilities, a floor for unseen words
+        count, self.unigram, self.lam, self.total = [], [], [], []
+        for k, n in (toxic, ordinary):
+            c = np.zeros(len(keys))
+            c[np.searchsorted(keys, k)] = n
+            uni = np.bincount(word, c, v)
+            types, all_ = (uni > 0).sum(), uni.sum()
+            self.unigram.append((np.maximum(uni - DISCOUNT, 0) + DISCOUNT * types * self.low) / all_ if all_ else self.low)
+            total, kinds = np.bincount(prev, c, v), np.bincount(prev[c > 0], minlength=v)
+            self.lam.append(np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))
+            self.total.append(total)
+            count.append(c)
+        p = [np.maximum(c - DISCOUNT, 0) / np.maximum(t[prev], 1) + lam[prev] * u[word] for c, t, lam, u in zip(count, self.total, self.lam, self.unigram)]
+        self.keys, self.pairs, self.side = keys, np.log(p[0] / p[1]), p
+        self.single, self.back = np.log(self.unigram[0] / self.unigram[1]), np.log(self.lam[0] / self.lam[1])
 
     def prob(self, side: int, a: str, w: str) -> float:
-        c = self.sides[side][1].get(a)
-        u = self._unigram(side, w)
-        if not c:
-            return u
-        return max(self.sides[side][0].get((a, w), 0) - DISCOUNT, 0) / c[0] + DISCOUNT * c[1] / c[0] * u
-
-    def differences(self, toks: list[str]) -> list[float]:
-        """log p_toxic - log p_ordinary of each token after the one before."""
-        pairs, single, back, known = self.pairs, self.single, self.back, self.known
-        out, prev = [], END
-        for w in toks:
-            if w not in known:
-                w = unknown(w)
-            d = pairs.get((prev, w))
-            if d is None:
-                d = back.get(prev, 0.0) + single.get(w, self.unseen)
-            out.append(d)
-            prev = w
+        """P(w | a) in one class."""
+        i, j = self.index[a], self.index[w]
+        at = np.searchsorted(self.keys, i * len(self.index) + j)
+        known = at < len(self.keys) and self.keys[at] == i * len(self.index) + j
+        return float(self.side[side][at] if known else self.lam[side][i] * self.unigram[side][j])
+
+    def scorer(self) -> Scorer:
+        return Scorer(self.index, self.keys, self.pairs.astype(np.float32), self.single.astype(np.float32), self.back.astype(np.float32))
+
+
+class Scorer:
+    """What of the models a task needs."""
+
+    def __init__(self, index: dict[str, int], keys: np.ndarray, pairs: np.ndarray, single: np.ndarray, back: np.ndarray):
+        self.index, self.keys, self.pairs, self.single, self.back = index, keys, pairs, single, back
+
+    def numbers(self, toks: list[str]) -> np.ndarray:
+        get = self.index.get
+        return np.fromiter((i if (i := get(w)) is not None else UNKNOWN_MASKED if "*" in w else UNKNOWN for w in toks), np.int64, len(toks))
+
+    def differences(self, ids: list[np.ndarray]) -> list[list[float]]:
+        """log p_toxic - log p_ordinary of each token after the one before, for each text."""
+        if not ids:
+            return []
+        word = np.concatenate([*ids, np.empty(0, np.int64)])
+        prev = np.concatenate([x for t in ids for x in (_FIRST, t[:-1]) if len(t)] or [np.empty(0, np.int64)])
+        k = prev * len(self.index) + word
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        d = np.where(self.keys[at] == k, self.pairs[at], self.back[prev] + self.single[word]).tolist()
+        out, start = [], 0
+        for t in ids:
+            out.append(d[start : start + len(t)])
+            start += len(t)
         return out
 
+    def scores(self, texts: list[list[str]]) -> list[float]:
+        return [max(0.0, best_span(d)[0]) for d in self.differences([self.numbers(t) for t in texts])]
+
 
 def best_span(diffs: list[float], least: int = LEAST, most: int = MOST, prior: float = PRIOR) -> tuple[float, int, int]:
     """(score, begin, end) of the span with the greatest sum / (length + prior)."""
@@ -195,47 +199,43 @@ def best_span(diffs: list[float], least: int = LEAST, most: int = MOST, prior: f
     return best
 
 
-def _pairs(toks: list[str], spans: Iterable[tuple[int, int]] = ()) -> tuple[Counter, Counter]:
-    """Pairs inside and outside of the spans."""
-    inside, outside = Counter(), Counter()
-    mark = [False] * len(toks)
-    for a, b in spans:
-        for i in range(a, b):
-            mark[i] = True
-    prev = END
-    for w, m in zip(toks, mark):
-        (inside if m else outside)[(prev, w)] += 1
-        prev = w
-    return inside, outside
+def _counted(keys: list[np.ndarray]) -> Counts:
+    return np.unique(np.concatenate([*keys, np.empty(0, np.int64)]), return_counts=True)
+
+
+def _at(counts: Counts, keys: np.ndarray) -> np.ndarray:
+    """Counts of keys."""
+    k, n = counts
+    if not len(k):
+        return np.zeros(len(keys))
+    i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+    return np.where(k[i] == keys, n[i], 0)
 
 
 def fit(rated: list[tuple[list[str], float]], rounds: int = ROUNDS) -> Models | None:
     """Models from (tokens, share of raters who found it offensive)."""
-    in_docs = Counter(w for t, _ in rated for w in set(t))
-    known = frozenset(w for w, n in in_docs.items() if n >= KNOWN)
-    rated = [([w if w in known else unknown(w) for w in t], r) for t, r in rated]
-    clean = [t for t, r in rated if r < 0.5]
-    bad = [t for t, r in rated if r >= 0.5]
-    if not clean or not bad:
+    if not any(r < 0.5 for _, r in rated) or not any(r >= 0.5 for _, r in rated):
         return None
-    ordinary = Counter()
-    for t in clean:
-        ordinary.update(_pairs(t)[1])
+    in_docs = Counter(w for t, _ in rated for w in set(t))
+    words_ = [*SPECIAL, *sorted(w for w, n in in_docs.items() if n >= KNOWN and w not in SPECIAL)]
+    v, number = len(words_), Scorer({w: i for i, w in enumerate(words_)}, *[np.empty(0)] * 4).numbers
+    docs: tuple[list, list] = ([], [])  # clean, bad: keys of the pairs
+    for t, r in rated:
+        ids = number(t)
+        docs[r >= 0.5].append(np.concatenate([_FIRST, ids[:-1]]) * v + ids if len(ids) else ids)
+    clean, bad = docs
+    ordinary = _counted(clean)
     # first round: pairs of words that documents rated 1 have more often; ratings err, so either side may hold any pair
-    in_bad, in_clean = (Counter(p for t in side for p in set(zip([END, *t], t))) for side in (bad, clean))
-    one_bad, one_clean = (Counter(w for t in side for w in set(t)) for side in (bad, clean))
-    odds = lambda x, y: math.log((x + 0.5) / (len(bad) + 1)) - math.log((y + 0.5) / (len(clean) + 1))
-    spans = []
-    for t in bad:
-        d = [0.5 * (odds(in_bad[p], in_clean[p]) + odds(one_bad[p[1]], one_clean[p[1]])) - 0.2 for p in zip([END, *t], t)]
-        spans.append(_toxic_spans(d, 0.4))
+    df = [_counted([np.unique(k) for k in side]) for side in (bad, clean)]
+    dw = [_counted([np.unique(k % v) for k in side]) for side in (bad, clean)]
+    odds = lambda x, y: np.log((x + 0.5) / (len(bad) + 1)) - np.log((y + 0.5) / (len(clean) + 1))
+    spans = [_toxic_spans((0.5 * (odds(_at(df[0], k), _at(df[1], k)) + odds(_at(dw[0], k % v), _at(dw[1], k % v))) - 0.2).tolist(), 0.4) for k in bad]
     models = None
     for _ in range(rounds):
-        toxic = Counter()
-        for t, s in zip(bad, spans):
-            toxic.update(_pairs(t, s)[0])  # the rest may hold remarks not found yet, so it is no ordinary text
-        models = Models(toxic, ordinary, known | {"<unk>", "<unk*>"})
-        spans = [_toxic_spans(models.differences(t)) for t in bad]
+        # the rest of a document rated 1 may hold remarks not found yet, so it is no ordinary text
+        toxic = _counted([k[a:b] for k, s in zip(bad, spans) for a, b in s])
+        models = Models(words_, toxic, ordinary)
+        spans = [_toxic_spans(d) for d in models.scorer().differences([k % v for k in bad])]
     return models
 
 
@@ -254,7 +254,7 @@ def _toxic_spans(d: list[float], least: float = 0.5) -> list[tuple[int, int]]:
 
 
 def score(models: Models | None, toks: list[str]) -> float:
-    return max(0.0, best_span(models.differences(toks))[0]) if models and toks else 0.0
+    return models.scorer().scores([toks])[0] if models and toks else 0.0
 
 
 def threshold(rated: list[tuple[list[str], float]], folds: int = FOLDS) -> float:
@@ -262,7 +262,8 @@ def threshold(rated: list[tuple[list[str], float]], folds: int = FOLDS) -> float
     got = []
     for k in range(folds):
         m = fit([x for i, x in enumerate(rated) if i % folds != k])
-        got += [(score(m, t), r >= 0.5) for i, (t, r) in enumerate(rated) if i % folds == k]
+        held = [x for i, x in enumerate(rated) if i % folds == k]
+        got += zip(m.scorer().scores([t for t, _ in held]) if m else [0.0] * len(held), [r >= 0.5 for _, r in held])
     got.sort(reverse=True)
     positives, best, cut, hit = sum(y for _, y in got), -1.0, math.inf, 0
     for n, (s, y) in enumerate(got, 1):
@@ -292,25 +293,22 @@ def rated_documents(documents: DataFrame, labels: DataFrame, limit: int = MAX_LA
     rated = labels.where("doc_id is not null and offensive is not null").groupBy("doc_id").agg(F.avg("offensive").alias("rating"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     x = documents.where("text <> ''")
-    got = tokenized(x.join(F.broadcast(sample), "doc_id"), ["doc_id", "rating"]).collect()  # the sample's size is bounded
-    once = {r["doc_id"]: (list(r["toks"]), float(r["rating"])) for r in got}
+    got = tokenized(x.join(F.broadcast(sample), "doc_id"), ["doc_id", "rating"]).toLocalIterator()  # the sample's size is bounded
+    once = {r["doc_id"]: ([sys.intern(w) for w in r["toks"]], float(r["rating"])) for r in got}
     return [once[k] for k in sorted(once)]
 
 
 def scored(documents: DataFrame, models: Models | None, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` of every row; a narrow pass over the text."""
-    shared = documents.sparkSession.sparkContext.broadcast((models.pairs, models.single, models.back, models.known) if models else None)
+    shared = documents.sparkSession.sparkContext.broadcast(models.scorer() if models else None)
     x = documents.select(*keep, F.col(text).cast("string").alias("_t"))
     schema = ", ".join(f"`{c}` {t}" for c, t in x.dtypes if c != "_t") + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = None
-        if shared.value:
-            m = Models.__new__(Models)
-            m.pairs, m.single, m.back, m.known = shared.value
-            m.unseen = 0.0
+        m = shared.value
         for b in batches:
-            s = [round(score(m, words(t)), 6) if t else 0.0 for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = b.column(b.num_columns - 1).to_pylist()
+            s = [round(x, 6) for x in m.scores([words(t) if t else [] for t in texts])] if m else [0.0] * len(texts)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
     return x.mapInArrow(run, schema)

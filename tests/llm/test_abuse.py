@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from rookery.llm import abuse as A
 
 rnd = random.Random(3)
@@ -48,15 +50,15 @@ def test_spelling_is_undone():
 
 
 def test_models_are_proper():
-    rated = noisy(DATA[:200])
-    m = A.fit(rated)
-    vocabulary = list(m.low)
+    m = A.fit(noisy(DATA[:200]))
+    vocabulary = list(m.index)
     for side in (0, 1):
-        context = next(iter(m.sides[side][1]))
-        total = sum(m.prob(side, context, w) for w in vocabulary)
-        assert 0.9 < total <= 1.0 + 1e-9
-    for a, b in list(m.pairs)[:50]:
-        assert abs(m.pairs[a, b] - A.math.log(m.prob(0, a, b) / m.prob(1, a, b))) < 1e-12
+        for context in rnd.sample(vocabulary, 5):
+            total = sum(m.prob(side, context, w) for w in vocabulary)
+            assert 0.85 < total <= 1.0 + 1e-9
+    d = m.scorer().differences([m.scorer().numbers(["what", "a", "nosuchword"]), m.scorer().numbers([]), m.scorer().numbers(["a"])])
+    want = [np.log(m.prob(0, a, w) / m.prob(1, a, w)) for a, w in ((A.END, "what"), ("what", "a"), ("a", "<unk>"))]
+    assert np.allclose(d[0], want, atol=1e-4) and d[1] == [] and np.isclose(d[2][0], np.log(m.prob(0, A.END, "a") / m.prob(1, A.END, "a")), atol=1e-4)
 
 
 def test_best_span_against_all_spans():
@@ -85,4 +87,5 @@ def test_sample_is_bounded_and_averages_raters(spark):
 def test_long_text(spark):
     m = A.fit(noisy(DATA[:200]))
     text = doc(False) * 400 + " What a moron you are, wren. " + doc(False) * 400
-    assert A.score(m, A.words(text)) > 1
+    short = A.score(m, A.words(" What a moron you are, wren. "))
+    assert A.score(m, A.words(text)) >= 0.8 * short > 0
