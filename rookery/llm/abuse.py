@@ -38,12 +38,14 @@ from rookery.sources.tables import table
 #: Bound of the sample the models are fit on, in documents.
 MAX_LABELLED = 20_000
 DISCOUNT = 0.75
+#: Least weight of the lower order. Without it a word that is new after a frequent one counts as toxic, however plain.
+MIX = 0.3
 #: A word in fewer documents of the sample stands for any unknown word, so that both models learn where such words occur.
 KNOWN = 2
 ROUNDS = 4
 FOLDS = 3
 #: Spans of 2 to MOST words; a span's sum of differences is divided by its length plus PRIOR, so that a word or two cannot win alone.
-LEAST, MOST, PRIOR = 2, 14, 3.0
+LEAST, MOST, PRIOR = 2, 14, 5.0
 
 _LEET = str.maketrans("013457@$!|+", "oieastasiit")
 _APART = re.compile(r"(?<![a-z0-9*])[a-z*]([ ._\-])(?:[a-z*]\1)+[a-z*](?![a-z0-9*])")
@@ -93,7 +95,7 @@ def _together(m: re.Match) -> str:
 
 
 def _token(core: str) -> str:
-    if core.isdigit() or core.replace(".", "").replace(",", "").isdigit():
+    if core[0].isdigit() and re.fullmatch(r"[\d.,:%x-]+[a-zA-Z]{0,2}", core):
         return "<n>"
     if re.search(r"[/\\_]|\w\.\w|::|=", core) or re.search(r"[a-z][A-Z]", core) and not re.fullmatch(r"(?:[a-z][A-Z])+[a-z]?|(?:[A-Z][a-z])+[A-Z]?", core):
         return "<id>"
@@ -131,10 +133,10 @@ class Models:
             types, all_ = (uni > 0).sum(), uni.sum()
             self.unigram.append((np.maximum(uni - DISCOUNT, 0) + DISCOUNT * types * self.low) / all_ if all_ else self.low)
             total, kinds = np.bincount(prev, c, v), np.bincount(prev[c > 0], minlength=v)
-            self.lam.append(np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))
+            self.lam.append(MIX + (1 - MIX) * np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))
             self.total.append(total)
             count.append(c)
-        p = [np.maximum(c - DISCOUNT, 0) / np.maximum(t[prev], 1) + lam[prev] * u[word] for c, t, lam, u in zip(count, self.total, self.lam, self.unigram)]
+        p = [(1 - MIX) * np.maximum(c - DISCOUNT, 0) / np.maximum(t[prev], 1) + lam[prev] * u[word] for c, t, lam, u in zip(count, self.total, self.lam, self.unigram)]
         self.keys, self.pairs, self.side = keys, np.log(p[0] / p[1]), p
         self.single, self.back = np.log(self.unigram[0] / self.unigram[1]), np.log(self.lam[0] / self.lam[1])
 
