@@ -91,6 +91,21 @@ def _python_defs(spark, d: str) -> DataFrame:
     return extracted(f, "root").where("kind <> 'class' and kind <> 'section' and class_name is null").select("root", "path", F.regexp_replace("symbol", "^.*/", "").alias("name"), "start_line")
 
 
+def _definitions(language: str):
+    """Path and first line of each definition of one language's files, classes and fallback sections left out."""
+
+    def run(spark, d: str) -> DataFrame:
+        f = fallback_files(spark, d).where(F.col("language") == language)
+        return extracted(f, "root").where("kind <> 'section' or form_operator = 'def'").where("kind <> 'class'").select("root", "path", "start_line").distinct()
+
+    return run
+
+
+def _line_sql(language: str, rx: str, unless: str = "false") -> str:
+    return _FILES + rf""", l as (select root, path, unnest(string_split_regex(ltrim(text, chr(65279)), '\r?\n')) as line, generate_subscripts(string_split_regex(ltrim(text, chr(65279)), '\r?\n'), 1) as start_line from g where language = '{language}')
+    select distinct root, path, start_line::int as start_line from l where regexp_matches(line, '{rx}') and not ({unless})"""
+
+
 def _extracted_edges(spark, d: str) -> DataFrame:
     from rookery.sources.tables import written
 
@@ -104,10 +119,19 @@ QUERIES = {
     "ext_01_units": _extracted_units,
     "ext_04_edges": _extracted_edges,
     "ext_17_python_functions": _python_defs,
+    "ext_04_clojure": _definitions("clojure"),
+    "ext_12_java": _definitions("java"),
+    "ext_21_lua": _definitions("lua"),
+    "ext_24_typescript": _definitions("typescript"),
+    "ext_28_elixir": _definitions("elixir"),
     "agg_26_language_counts": lambda s, d: language_counts(fallback_files(s, d)),
     "src_01_not_ignored": lambda s, d: fallback_files(s, d).where(not_ignored(F.col("path"))).select("root", "path"),
 }
 SQL = {
+    "ext_04_clojure": _line_sql("clojure", r"^\((defn-|defn|defmacro|defmulti|defmethod|defprotocol|def|deftest)\s+[^\s\[\]\)]+"),
+    "ext_12_java": _line_sql("java", r"^\s*(?:(?:public|private|protected)\s+)?(?:(?:static|final)\s+)*[A-Za-z0-9_<>,\[\]\.\?]+\s+[A-Za-z_][A-Za-z0-9_]*\s*\([^)]*\)\s*(?:\{|throws|;)", r"regexp_matches(line, '^\s*(?:return|new|throw|if|for|while|switch|catch)\s', 'i')"),
+    "ext_21_lua": _line_sql("lua", r"^(?:local )?function [A-Za-z_]\w*(?:[.:][A-Za-z_]\w*)?\s*\(|^(?:local )?[A-Za-z_]\w*(?:\.\w+)?\s*=\s*function\s*\("),
+    "ext_28_elixir": _line_sql("elixir", r"^\s*(defdelegate|defp?|defmacrop?)\s+[a-zA-Z_][a-zA-Z0-9_!?]*"),
     "agg_26_language_counts": _FILES + "select language, count(*) as n_files from g where language <> '' group by language",
     "src_01_not_ignored": _FILES + f"select root, path from g where not list_has_any(string_split_regex(path, '/+'), [{', '.join(repr(x) for x in IGNORED)}])",
     "ext_17_python_functions": _FILES
