@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from rookery.operators import context, diff, evaluate, graph, identity, quality, retrieval, snapshots, structure, trailing, usage
+from rookery.operators import context, diff, evaluate, graph, identity, projections, quality, retrieval, snapshots, structure, trailing, usage
 from rookery.sources import scan
 
 FLAGSHIP = "p2_rolling"
-MODULES = (trailing, snapshots, usage, identity, diff, graph, retrieval, context, quality, evaluate, structure, scan)
+MODULES = (trailing, snapshots, usage, identity, diff, graph, retrieval, context, quality, evaluate, structure, scan, projections)
 
 
 def queries() -> dict:
