@@ -5,7 +5,7 @@ Every file is judged alone, from its layout, its head and its place; no shuffle,
 * Layout: thresholds, tuned per language, on the mean and maximum line length, the shares of white space and alphanumerics, the
   density of numeric literals, the length of names, the share of long encoded runs, and how many lines have one shape
   (names and literals blanked out), as generated tables and record lists repeat a line hundreds of times.
-* Head: comment lines before the code that say a tool put the file out, or name a foreign project's licence. The marker has
+* Head (and foot): comment lines before the code that say a tool put the file out, or name a foreign project's licence. The marker has
   to begin the comment, so that text about generation is no marker.
 * Place: a directory of the path, or of the root, that holds third-party copies or generated sources.
 
@@ -97,15 +97,11 @@ def place(path: str | None, root: str | None) -> str | None:
 
 
 def head(lines: list[str]) -> str | None:
-    """'generated' or 'vendored' by the comments before the code, or right behind its first lines."""
-    said = []
-    for line in lines[:20]:
-        m = COMMENT.match(line)
-        if m:
-            said.append(m[1])
-    for s in said:
-        if TOOL_SAYS.match(s):
-            return "generated"
+    """'generated' or 'vendored' by the comments before the code, or right behind its first lines; tools also sign the last ones."""
+    comments = lambda part: [m[1] for x in part if (m := COMMENT.match(x))]
+    said, last = comments(lines[:20]), comments([x for x in lines[-40:] if x.strip()][-4:])
+    if any(TOOL_SAYS.match(s) for s in (*said, *last)):
+        return "generated"
     texts = [s for s in said if s]
     copies = [s for s in texts if COPY_SAYS.match(s) and not OWN.search(s)]
     return "vendored" if copies and any(FOREIGN.search(s) for s in copies) else None

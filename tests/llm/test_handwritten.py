@@ -25,6 +25,7 @@ def test_hand_written():
 def test_generated_and_copied():
     for head in ("# Code generated by forge 1.2. DO NOT EDIT.", "# @generated by x", "# Fichier produit par x 1.2 - ne pas modifier.", "# Automatisch erzeugt aus a.xsd mit x. Nicht von Hand bearbeiten.", "# <auto-generated> x </auto-generated>", "#\n#\n# do not modify by hand: output of `x`"):
         assert why(head + "\n" + HAND) == "generated", head
+    assert why(HAND + "\n# Code generated by forge 1.2. DO NOT EDIT.\n\n") == "generated"
     for head in ("# flint v1.2.3\n# (c) the flint authors. Released under the MIT License.", "# Imported verbatim from the flint distribution, version 1.2.", "# vendored from flint@1.2.3, local patches marked PATCH", "# Copyright (c) 2019-2024 The flint Project Developers\n# Permission is hereby granted, free of charge"):
         assert why("﻿" + head + "\r\n" + HAND) == "vendored", head
     assert why("\n".join(f"  field :a_{i}, {i}, type: :string" for i in range(30)), "lib/a.ex", "elixir") in ("generated", "data")
