@@ -155,7 +155,7 @@ def judged(text: str | None, path: str | None, language: str | None, root: str |
     s = layout(t)
     if s["encoded"] >= k.encoded:
         return "data"
-    if s["mean_line"] >= k.mean_line and s["white"] <= k.white and s["name"] <= k.name:
+    if s["mean_line"] >= k.mean_line and s["white"] <= k.white and s["name"] <= k.name or s["mean_line"] >= 4 * k.mean_line and s["white"] <= 2 * k.white and s["name"] <= 1.15 * k.name:
         return "minified"
     if s["numbers"] >= k.numbers and (s["shape"] >= k.shape or s["mean_line"] >= 2 * k.mean_line):
         return "data"
