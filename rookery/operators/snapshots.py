@@ -15,11 +15,12 @@ Semantics for deliveries: a payload that is null, blank, cut off or no JSON obje
 one (directory, snapshot_id) the highest id holds. A delivery without ``units`` has none. Units without id are left out;
 of a repeated unit_id the last in the array holds. Spellings of one directory are unified. Null scalars equal absent ones
 but not empty strings. ``calls`` and ``imports`` are sets; null, absent and empty are equal. Snapshots follow each other by
-(indexed_at, id), null first. Extra columns are ignored. An empty table gives no rows.
+(indexed_at, id), null first. A delivery without id is left out. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,7 +48,7 @@ def parsed_units(snapshots: DataFrame, unit: str = UNIT) -> DataFrame:
 
     ``units`` comes as an object by unit_id or as an array, so it is first taken as text and then read by its kind."""
     outer = F.from_json("payload", "units string, broken string", {"columnNameOfCorruptRecord": "broken"})
-    x = snapshots.select("id", root_path("root_path").alias("root"), "snapshot_id", "indexed_at", "payload").where(F.col("payload").rlike(r"^\s*\{") & F.col("payload").rlike(r"\}\s*$"))
+    x = snapshots.where("id is not null").select("id", root_path("root_path").alias("root"), "snapshot_id", "indexed_at", "payload").where(F.col("payload").rlike(r"^\s*\{") & F.col("payload").rlike(r"\}\s*$"))
     x = x.withColumn("o", outer).where("o is not null and o.broken is null").withColumn("u", F.ltrim("o.units"))
     by_id = F.transform(F.map_entries(F.from_json("u", f"map<string, struct<{_colons(unit)}>>")), lambda e: e["value"].withField("unit_id", F.coalesce(e["value"]["unit_id"], e["key"])))
     in_array = F.from_json("u", f"array<struct<{_colons(unit)}>>")
@@ -116,10 +117,12 @@ def changed_fields(snapshots: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """The index of the last snapshot of any keyed table, in ``buckets`` hash buckets below ``folder``.
+    """The index of the last snapshot of any keyed table, as a bucketed and sorted table below ``folder``.
 
-    ``apply`` derives the changes of a new full snapshot and swaps the indexes. A version folder is complete before the
-    pointer file names it, so a job lost halfway leaves the old index in force and can be run again.
+    ``apply`` derives the changes of a new full snapshot and swaps the indexes. Only the new snapshot's hashes are shuffled, once,
+    into the buckets; the probe joins bucket with bucket and moves nothing. A version folder is complete before the pointer
+    file names it, so a job lost halfway leaves the old index in force and can be run again. All snapshots of a store need the
+    same number of ``buckets``.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, scalars: Sequence[str], sets: Sequence[str] = (), buckets: int = 64):
@@ -137,27 +140,35 @@ class SnapshotStore:
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
         return max([int(n[5:]) for n in names if n.startswith("live-")], default=0)
 
+    def _name(self, version: int) -> str:
+        return f"rookery_index_{hashlib.sha1(self.folder.encode()).hexdigest()[:16]}_{version}"
+
     def index(self, version: int | None = None) -> DataFrame | None:
+        """(k, h) of a version, by default the one in force; a new session registers the stored files again."""
         v = self.version() if version is None else version
-        return self.spark.read.schema("k string, h bigint, bucket int").parquet(f"{self.folder}/v{v}") if v else None
+        if not v:
+            return None
+        self.spark.sql(f"create table if not exists {self._name(v)} (k string, h bigint) using parquet clustered by (k) sorted by (k) into {self.buckets} buckets location '{self.folder}/v{v}'")
+        return self.spark.table(self._name(v))
 
     def hashed(self, snapshot: DataFrame) -> DataFrame:
-        """k, h, bucket of a snapshot; null keys are left out, of repeated keys the highest hash holds."""
+        """k, h of a snapshot; null keys are left out, of repeated keys the highest hash holds."""
         h = value_hash([F.col(c).cast("string") for c in self.scalars], [F.col(c) for c in self.sets])
         x = snapshot.select(F.col(self.key).cast("string").alias("k"), h.alias("h")).where("k is not null")
-        return x.groupBy("k").agg(F.max("h").alias("h")).withColumn("bucket", F.pmod(F.hash("k"), F.lit(self.buckets)))
+        return x.groupBy("k").agg(F.max("h").alias("h"))
 
     def apply(self, snapshot: DataFrame) -> DataFrame:
         """(k, change_type) against the index in force; the first snapshot has no changes. The new index is then in force."""
         v = self.version()
-        fresh, old = f"{self.folder}/v{v + 1}", self.index(v)
-        self.hashed(snapshot).repartition("bucket").sortWithinPartitions("bucket", "k").write.mode("overwrite").partitionBy("bucket").parquet(fresh)
+        old, name = self.index(v), self._name(v + 1)
+        self.spark.sql(f"drop table if exists {name}")
+        self.hashed(snapshot).repartition(self.buckets, "k").write.mode("overwrite").bucketBy(self.buckets, "k").sortBy("k").option("path", f"{self.folder}/v{v + 1}").saveAsTable(name)
         new = self.index(v + 1)
         jvm, fs = self._fs()
         fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/live-{v + 1}"), True).close()
         if old is None:
             return self.spark.createDataFrame([], "k string, change_type string")
-        both = old.alias("o").join(new.alias("n"), ["bucket", "k"], "full_outer")
+        both = old.alias("o").join(new.hint("merge").alias("n"), "k", "full_outer")
         kind = F.when(F.col("o.h").isNull(), "added").when(F.col("n.h").isNull(), "removed").when(F.col("o.h") != F.col("n.h"), "changed")
         return both.select("k", kind.alias("change_type")).where("change_type is not null")
 

@@ -190,7 +190,8 @@ def feedback_by_key(feedback: DataFrame) -> DataFrame:
 def correlated(events: DataFrame, feedback: DataFrame) -> DataFrame:
     """Successful retrieval events with the summary of their feedback (nulls where there is none)."""
     e = events.where("operation = 'resolve_context' and status = 'success'").withColumn("k", correlation_key())
-    return e.join(feedback_by_key(feedback), "k", "left")
+    e = e.withColumn("_j", F.coalesce("k", F.concat(F.lit("\0"), F.col("id").cast("string"))))  # null keys would meet in one task
+    return e.join(feedback_by_key(feedback).withColumnRenamed("k", "_j"), "_j", "left").drop("_j")
 
 
 def predicted() -> Column:

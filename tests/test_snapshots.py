@@ -39,6 +39,7 @@ def test_cases(spark):
         (8, "/r", "s6", 6, ""),
         (9, "/r", "s7", 7, body({"z": unit("z")})),
         (10, "/other", "s1", 1, body({"q": unit("q")})),
+        (None, "/other", "s2", 2, body({})),
     ]
     assert found(spark, rows) == sorted(
         [("s2", "a", "removed"), ("s2", "d", "added"), ("s3", "a", "added"), ("s3", "b", "changed")] + [("s4", u, "removed") for u in "abcd"] + [("s7", "z", "added")]
@@ -79,13 +80,16 @@ def test_histories_against_brute_force(spark):
 
 
 def test_store_swaps_indexes(spark, tmp_path):
-    store = S.SnapshotStore(spark, str(tmp_path), "k", ["v"], ["s"], buckets=3)
+    store = S.SnapshotStore(spark, str(tmp_path / "store"), "k", ["v"], ["s"], buckets=3)
     df = lambda rows: spark.createDataFrame(rows, "k string, v string, s array<string>, h string, bucket string")
     one = df([("a", "1", None, "", ""), ("b", None, ["y", "x"], "", ""), (None, "0", None, "", "")])
     assert store.apply(one).count() == 0 and store.version() == 1
     two = df([("a", "2", [], "", ""), ("b", None, ["x", "y", "y"], "", ""), ("c", "", None, "", "")])
     changes = store.apply(two)
     assert sorted(tuple(r) for r in changes.collect()) == [("a", "changed"), ("c", "added")]
+    assert "Exchange" not in changes._jdf.queryExecution().executedPlan().toString()  # buckets meet where they lie
+    spark.sql(f"drop table {store._name(2)}")  # a new session knows the files only
+    assert store.index().count() == 3
     assert [r["v"] for r in store.values(one, changes.where("change_type = 'changed'")).collect()] == ["1"]
     assert sorted(tuple(r) for r in store.apply(df([])).collect()) == [("a", "removed"), ("b", "removed"), ("c", "removed")]
 
