@@ -274,7 +274,7 @@ dep as (select distinct root, unnest(imports) as imported, module from fl where
 tt as (select distinct root, unnest(list_distinct(list_concat(imports, list_filter([regexp_replace(module, '[-_.]?(test|spec)s?$', '')], lambda m: m is not null and m <> '')))) as module, path as test_path from fl where path like 'test/%' or path like '%/test/%' or path like '%/tests/%')
 """
 )
-_NB = "select root, unit_id, neighbour, path, row_number() over (partition by root, unit_id order by path, start_line, neighbour) as place from (select e.root, e.{a} as unit_id, e.{b} as neighbour, path, start_line from edge e join cur u on u.root = e.root and u.unit_id = e.{b})"
+_NB = "select root, unit_id, neighbour, path, (row_number() over (partition by root, unit_id order by path, start_line, neighbour))::int as place from (select e.root, e.{a} as unit_id, e.{b} as neighbour, path, start_line from edge e join cur u on u.root = e.root and u.unit_id = e.{b})"
 IMPACT_SQL = """, us as (select *, coalesce(kind = 'test', false) or contains(path, '/test/') as is_test from cur),
 ic as (select s.query_id, s.root, u.unit_id as o_id, u.path || '::' || u.symbol as value from sel s join edge e on e.root = s.root and e.callee = s.unit_id join cur u on u.root = s.root and u.unit_id = e.caller),
 im as (select distinct query_id, root, module from sel where module is not null),
@@ -285,7 +285,7 @@ hv as (select query_id, 'callers' as hint, value from ic
   union select im.query_id, 'related_tests', u.path from im join us u on u.root = im.root and u.module = im.module where is_test
   union select im.query_id, 'related_tests', tt.test_path from im join tt using (root, module) where exists (select 1 from us u where u.root = im.root and u.path = tt.test_path and is_test)
   union select s.query_id, 'risky_neighbors', u.path || '::' || u.symbol from sel s join cur u on u.root = s.root and u.path = s.path and u.unit_id <> s.unit_id)
-select query_id, hint, value, row_number() over (partition by query_id, hint order by value) as place from hv qualify place <= 12"""
+select query_id, hint, value, (row_number() over (partition by query_id, hint order by value))::int as place from hv qualify place <= 12"""
 SQL = {
     "join_01_token_index": GRAPH_SQL + "select root, token, count(*) as n_targets from tk group by root, token",
     "join_03_candidates": GRAPH_SQL + "select * from cand",

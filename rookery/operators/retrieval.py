@@ -245,7 +245,7 @@ ev as (select * from ev0 union all select query_id, unit_id, code, {_case()} fro
 tr as (select query_id, unit_id, {', '.join(f'coalesce(sum(points) filter (tier = {i}), 0)::bigint as tier{i}' for i in (1, 2, 3, 4))}, list_sort(list(code)) as codes from (select *, {_case(True)} as tier from ev) group by query_id, unit_id),
 sc0 as (select tr.*, v.root, path, module, symbol, kind, language, parser_mode, start_line, end_line, signature, tier1 + tier2 + tier3 + tier4 as raw from tr join v using (query_id, unit_id)),
 sc as (select *, case when coalesce(parser_mode = 'fallback', false) then least(case when tier1 = 0 then least(raw, 89) else raw end, 59) else case when tier1 = 0 then least(raw, 89) else raw end end as score from sc0),
-rk as (select *, row_number() over (partition by query_id order by score desc, path, start_line, unit_id) as place, case when score >= 120 then 'top_authority' when score >= 80 then 'useful_support' when score >= 30 then 'exploratory' else 'below_threshold_noise' end as rank_band from sc where score > 0 qualify place <= 20)
+rk as (select *, (row_number() over (partition by query_id order by score desc, path, start_line, unit_id))::int as place, case when score >= 120 then 'top_authority' when score >= 80 then 'useful_support' when score >= 30 then 'exploratory' else 'below_threshold_noise' end as rank_band from sc where score > 0 qualify place <= 20)
 """
 )
 

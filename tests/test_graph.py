@@ -137,3 +137,43 @@ def test_expectations_match_in_order():
     e = [{"change_type": "removed", "path": "p"}, {"change_type": "meaning_changed", "path": "p"}, {"change_type": "added", "path": "q"}]
     assert [o for o, _, _ in match_lists(e, a)] == ["exact", "mismatch", "missing"]
     assert [o for o, _, _ in match_lists([], a)] == ["unexpected", "unexpected"]
+
+
+def test_graph_reasons_equal_the_step_by_step_rule(spark):
+    """The set form against a walk that scores each (unit, code) once, nearest hop first."""
+    from rookery.operators import retrieval as R
+
+    rnd = random.Random(9)
+    ids = [f"u{i}" for i in range(14)]
+    path, module = {i: rnd.choice("pqrs") for i in ids}, {i: rnd.choice(["m", "n", None]) for i in ids}
+    links = {(rnd.choice(ids), rnd.choice(ids)) for _ in range(22)}
+    links = {(a, b) for a, b in links if a != b}
+    seen_by = {"q1": (2, False, set(ids)), "q2": (3, True, set(ids[:10]))}
+    first = {"q1": {"u0", "u3"}, "q2": {"u1"}}
+    rows = [(q, "r", definitions, False, u, path[u], module[u]) for q, (_, definitions, vis) in seen_by.items() for u in vis]
+    v = spark.createDataFrame(rows, "query_id string, root string, definitions boolean, include_tests boolean, unit_id string, path string, module string")
+    e = spark.createDataFrame([("r", a, b) for a, b in links], "root string, caller string, callee string")
+    none = spark.createDataFrame([], "root string, module string, test_path string")
+    f = spark.createDataFrame([(q, u) for q, us in first.items() for u in us], "query_id string, unit_id string")
+    for q, (depth, definitions, vis) in seen_by.items():
+        got = {(r["unit_id"], r["code"]): r["points"] for r in R.graph_reasons(v.where(F.col("query_id") == q), e, none, f.where(F.col("query_id") == q), depth).groupBy("unit_id", "code").agg(F.max("points").alias("points")).collect()}
+        want, frontier, visited = {}, set(first[q]), set(first[q])
+        for d in range(depth):
+            grown = set()
+            for u in frontier & vis:
+                near = {
+                    "graph_callee_neighbor": {b for a, b in links if a == u},
+                    "graph_caller_neighbor": {a for a, b in links if b == u},
+                    "graph_module_neighbor": {x for x in ids if module[u] and module[x] == module[u]},
+                    "graph_path_neighbor": {x for x in ids if path[x] == path[u]},
+                }
+                for code, xs in near.items():
+                    points = max(0, R.POINTS[code][1] - 10 * d - (8 if definitions and "caller" in code else 0))
+                    for x in (xs & vis) - {u}:
+                        if points:
+                            want.setdefault((x, code), points)
+                        if code in ("graph_callee_neighbor", "graph_caller_neighbor") and x not in visited:
+                            grown.add(x)
+            visited |= grown
+            frontier = grown
+        assert got == want
