@@ -8,7 +8,7 @@ difference of the two log-likelihoods over its spans of words, as a remark is a
 Labels are given for whole documents and raters err, while a remark is one sentence of many. So training alternates: the
 ordinary model is fit on documents rated 0; in documents rated 1 the spans of words that such documents have more often, later
 those that the current models tell apart best, are taken as toxic, the rest of them is not used. The threshold is the one
-that agrees best with the ratings, by cross-validation.
+that agrees best with the ratings, by cross-validation, at the rate of the corpus rather than of the labelled sample.
 
 Spelling is undone first: letter case, accents, look-alike and invisible characters, digits and signs for letters, letters
 set apart, letters repeated, words masked by asterisks. Paths and identifiers become one token, numbers another, names of
@@ -43,6 +43,8 @@ MIX = 0.3
 #: A word in fewer documents of the sample stands for any unknown word, so that both models learn where such words occur.
 KNOWN = 2
 ROUNDS = 4
+#: Labelled documents are picked by hand, so abusive ones are several times as frequent among them as in the corpus.
+RARER = 4.0
 FOLDS = 3
 #: Spans of 2 to MOST words; a span's sum of differences is divided by its length plus PRIOR, so that a word or two cannot win alone.
 LEAST, MOST, PRIOR = 2, 14, 5.0
@@ -259,18 +261,18 @@ def score(models: Models | None, toks: list[str]) -> float:
     return models.scorer().scores([toks])[0] if models and toks else 0.0
 
 
-def threshold(rated: list[tuple[list[str], float]], folds: int = FOLDS) -> float:
-    """The score that separates held-out ratings with the best F1."""
+def threshold(rated: list[tuple[list[str], float]], folds: int = FOLDS, rarer: float = RARER) -> float:
+    """The score that separates held-out ratings with the best F1, where documents rated 0 count ``rarer`` times."""
     got = []
     for k in range(folds):
         m = fit([x for i, x in enumerate(rated) if i % folds != k])
         held = [x for i, x in enumerate(rated) if i % folds == k]
         got += zip(m.scorer().scores([t for t, _ in held]) if m else [0.0] * len(held), [r >= 0.5 for _, r in held])
     got.sort(reverse=True)
-    positives, best, cut, hit = sum(y for _, y in got), -1.0, math.inf, 0
+    positives, best, cut, hit, found = sum(y for _, y in got), -1.0, math.inf, 0, 0.0
     for n, (s, y) in enumerate(got, 1):
-        hit += y
-        f = 2 * hit / (n + positives)
+        hit, found = hit + y, found + (1 if y else rarer)
+        f = 2 * hit / (found + positives)
         if f > best and s > 0:
             following = next((x for x, _ in got[n:] if x < s), 0.0)
             best, cut = f, (s + following) / 2
