@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rookery import errors
 from rookery.operators import context, diff, graph, retrieval
+from rookery.operators.projections import change_order
 from rookery.operators.structure import anchors, repo_map
 from rookery.sources import scan
 from rookery.sources.extract import extracted, with_use_imports
@@ -184,14 +185,14 @@ class Workspace:
         return r.asDict()
 
     def snapshot_diff(self, root: str, current: str | None = None, baseline: str | None = None, **options) -> DataFrame:
-        """Changes from one snapshot to another; by default from the last but one to the last."""
+        """Changes from one snapshot to another in a fixed order; by default from the last but one to the last."""
         ids = self.store.snapshots(self._guard(root))
         current = current or (ids[-1] if ids else None)
         baseline = baseline or (ids[ids.index(current) - 1] if current in ids and ids.index(current) else None)
         if current not in ids or baseline not in ids:
             raise errors.InvalidRequest(f"no such pair of snapshots: {baseline}, {current}")
         of = lambda sid, seq, nxt: self.store.units(root, sid).withColumns({"root": F.lit(root), "seq": F.lit(seq), "snapshot_id": F.lit(sid), "next_snapshot": F.lit(nxt).cast("string")})
-        return diff.changes(of(baseline, 1, current).unionByName(of(current, 2, None), allowMissingColumns=True), **options)
+        return diff.changes(of(baseline, 1, current).unionByName(of(current, 2, None), allowMissingColumns=True), **options).orderBy(*change_order())
 
     def query_units(self, root: str, **filters) -> DataFrame:
         return self.store.units(self._guard(root), **filters)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,10 @@ ROUTES = {
     "/v1/file/slice": ("literal_file_slice", ("root", "path", "start_line", "end_line", "snapshot_id")),
     "/v1/snapshot/diff": ("snapshot_diff", ("root", "current", "baseline")),
 }
-ROWS = 1000
 
 
-def answer(workspace: Workspace, route: str, body: dict) -> tuple[int, dict]:
-    """Status and JSON of one request."""
+def outcome(workspace: Workspace, route: str, body: dict) -> tuple[int, dict | DataFrame]:
+    """Status and result of one request."""
     if route == "/health":
         return 200, {"status": "ok"}
     if route not in ROUTES:
@@ -42,19 +42,46 @@ def answer(workspace: Workspace, route: str, body: dict) -> tuple[int, dict]:
         return e.status, e.payload()
     except (TypeError, KeyError) as e:
         return 400, {"code": "invalid_request", "category": "client", "message": str(e)}
-    return 200, {"rows": [r.asDict(True) for r in got.take(ROWS)]} if isinstance(got, DataFrame) else got
+    return 200, got
+
+
+def rows(got: DataFrame) -> Iterator[dict]:
+    """All rows in their order; one partition at a time comes to the driver."""
+    return (r.asDict(True) for r in got.toLocalIterator())
+
+
+def answer(workspace: Workspace, route: str, body: dict) -> tuple[int, dict]:
+    """Status and JSON of one request, every row of a frame included."""
+    status, got = outcome(workspace, route, body)
+    return status, {"rows": list(rows(got))} if isinstance(got, DataFrame) else got
+
+
+def written_out(got: dict | DataFrame) -> Iterator[bytes]:
+    """The JSON of a result in parts, a row each; a frame's text is no whole JSON before its last part."""
+    if not isinstance(got, DataFrame):
+        yield json.dumps(got, default=str).encode()
+        return
+    before = '{"rows": ['
+    for r in rows(got):
+        yield (before + json.dumps(r, default=str)).encode()
+        before = ", "
+    yield b"]}" if before == ", " else (before + "]}").encode()
 
 
 def server(workspace: Workspace, port: int = 8080) -> HTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def _send(self, body: dict) -> None:
-            status, out = answer(workspace, self.path, body)
-            data = json.dumps(out, default=str).encode()
+            status, got = outcome(workspace, self.path, body)
+            parts = written_out(got)
+            first = next(parts)  # a job that fails does so before the status is sent
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
-            self.send_header("Content-Length", str(len(data)))
+            if not isinstance(got, DataFrame):  # the end of a frame's rows is the connection's
+                self.send_header("Content-Length", str(len(first)))
             self.end_headers()
-            self.wfile.write(data)
+            self.wfile.write(first)
+            for part in parts:
+                self.wfile.write(part)
 
         def do_GET(self) -> None:
             self._send({})

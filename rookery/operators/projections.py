@@ -98,10 +98,15 @@ def end_lines(defs: DataFrame, n_lines: DataFrame) -> DataFrame:
     return x.withColumn("end_line", F.greatest(F.col("start_line"), F.coalesce(F.lead("start_line").over(w) - 1, F.col("n_lines"))))
 
 
-def ordered_changes(changed: DataFrame) -> DataFrame:
-    """The place of each change in the order of type, path, former path, symbol and unit, per snapshot."""
+def change_order() -> list[Column]:
+    """The order of one snapshot's changes: type, path, former path, symbol and unit."""
     c = lambda a: F.coalesce(a, f"baseline_{a}", F.lit(""))
-    w = Window.partitionBy("root", "snapshot_id").orderBy("change_type", c("path"), F.coalesce("baseline_path", F.lit("")), c("symbol"), c("unit_id"))
+    return [F.col("change_type"), c("path"), F.coalesce("baseline_path", F.lit("")), c("symbol"), c("unit_id")]
+
+
+def ordered_changes(changed: DataFrame) -> DataFrame:
+    """The place of each change in the order of ``change_order``, per snapshot."""
+    w = Window.partitionBy("root", "snapshot_id").orderBy(*change_order())
     return changed.withColumn("place", F.row_number().over(w))
 
 
