@@ -3,8 +3,9 @@
 Every file is judged alone, from its layout, its head and its place; no shuffle, no model.
 
 * Layout: thresholds, tuned per language, on the mean and maximum line length, the shares of white space and alphanumerics, the
-  density of numeric literals, the length of names, the share of long encoded runs, and how many lines have one shape
-  (names and literals blanked out), as generated tables and record lists repeat a line hundreds of times.
+  density of numeric literals, the length of names, the share of long encoded runs, and how many lines, or records inside long lines,
+  have one shape (names and literals blanked out), as generated tables and record lists repeat it hundreds of times. Long lines are
+  also judged by themselves, so that short lines beside them do not hide them.
 * Head (and foot): comment lines before the code that say a tool put the file out, or name a foreign project's licence. The marker has
   to begin the comment, so that text about generation is no marker.
 * Place: a directory of the path, or of the root, that holds third-party copies or generated sources.
@@ -37,6 +38,10 @@ class Limits:
     numbers: float = 0.28  # numeric literals among tokens in a table
     shape: float = 0.7  # lines of one shape in a generated or record file
     encoded: float = 0.5  # share of encoded runs in a blob
+    longest: int = 1000  # lines as long as this are judged by themselves
+    long_share: float = 0.3  # of the text that minified long lines make up
+    records: float = 0.5  # of the text that alike records inside long lines make up
+    alnum: tuple[float, float] = (0.3, 0.88)  # alphanumerics of code; fewer or more are data
 
 
 #: Tuned on labelled-by-eye files of the smallest tables; where a language is not listed the general values hold.
@@ -81,7 +86,7 @@ _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]
 _TOKEN = re.compile(r"\w+")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{60,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-fA-F]{2},\s*){16,}")
-_RECORD = re.compile(r"[\[{(][^\[\]{}()]{8,400}[\]})]")
+_RECORD = re.compile(r"[\[{(][^\[\]{}()]{8,}[\]})]")
 
 
 def place(path: str | None, root: str | None) -> str | None:
@@ -113,26 +118,52 @@ def shape(line: str) -> str:
     return re.sub(r"N(?:[,\s]+N)+", "N+", re.sub(r"\w+", lambda m: "N" if m[0][0].isdigit() else "W", s)).strip()
 
 
-def layout(text: str) -> dict[str, float]:
+def _white(text: str) -> float:
+    return sum(map(len, re.findall(r"\s+", text))) / max(1, len(text))
+
+
+def _name(text: str) -> float:
+    words = _WORD.findall(text)
+    return sum(map(len, words)) / max(1, len(words))
+
+
+def records(lines: list[str], least: int = 8) -> int:
+    """Characters of the records of two shapes that occur ``least`` times; nested ones count for themselves or for what holds them."""
+    best = 0
+    blank = lambda m: '"' + "x" * (len(m[0]) - 2) + '"'
+    lines = [_STRING.sub(blank, x) for x in lines]
+    for _ in range(3):
+        sizes: dict[str, list[int]] = {}
+        for m in (m for x in lines for m in _RECORD.findall(x)):
+            sizes.setdefault(shape(m), []).append(len(m))
+        best = max(best, sum(sorted(sum(x) for x in sizes.values() if len(x) >= least)[-2:]))
+        lines = [re.sub(r"[\[{(][^\[\]{}()]*[\]})]", blank, x) for x in lines]
+    return best
+
+
+def layout(text: str, long: int = Limits.longest) -> dict[str, float]:
     """The statistics the thresholds apply to."""
     lines = [x for x in text.split("\n") if x.strip()]
     n = len(text)
     code = [x for x in lines if not COMMENT.match(x)] or lines
-    words = _WORD.findall(text)
-    shapes = Counter(shape(x) for x in code if len(x) < 2000 and re.search(r"\w", x) and len(x.strip()) > 6)
+    wide = [x for x in code if len(x) >= long]
+    shapes = Counter(shape(x) for x in code if re.search(r"\w", x) and len(x.strip()) > 6)
     top = [c for _, c in shapes.most_common(2)]
     tokens = max(1, len(_TOKEN.findall(text)))
     runs = [len(m) for m in _RUN.findall(text)]
     return {
         "lines": len(lines),
-        "longest": max(map(len, lines), default=0),
+        "longest": max(map(len, code), default=0),
+        "long_share": sum(map(len, wide)) / max(1, n),
+        "long_white": _white("\n".join(wide)),
+        "long_name": _name("\n".join(wide)),
+        "records": records(wide) / max(1, n),
         "mean_line": sum(map(len, code)) / max(1, len(code)),
-        "white": sum(map(len, re.findall(r"\s+", text))) / max(1, n),
+        "white": _white(text),
         "alnum": sum(map(len, _TOKEN.findall(text))) / max(1, n),
         "numbers": len(_NUMBER.findall(text)) / tokens,
-        "name": sum(map(len, words)) / max(1, len(words)),
+        "name": _name(text),
         "encoded": sum(runs) / max(1, n),
-        "run": max(runs, default=0),
         "shape": (top[0] if top else 0) / max(1, len(code)),
         "shapes": sum(top) / max(1, len(code)),
         "repeats": top[0] if top else 0,
@@ -152,11 +183,15 @@ def judged(text: str | None, path: str | None, language: str | None, root: str |
         return said or where
     ending = (path or "").rsplit(".", 1)[-1].lower()
     k = LANGUAGES.get((language or ENDINGS.get(ending, "")).lower(), Limits())
-    s = layout(t)
-    if s["encoded"] >= k.encoded:
+    s = layout(t, k.longest)
+    if s["encoded"] >= k.encoded or len(t) >= 200 and not k.alnum[0] <= s["alnum"] <= k.alnum[1]:
         return "data"
     if s["mean_line"] >= k.mean_line and s["white"] <= k.white and s["name"] <= k.name or s["mean_line"] >= 4 * k.mean_line and s["white"] <= 2 * k.white and s["name"] <= 1.15 * k.name:
         return "minified"
+    if s["longest"] >= k.longest and s["long_share"] >= k.long_share and s["long_white"] <= k.white and s["long_name"] <= k.name:
+        return "minified"
+    if s["records"] >= k.records:
+        return "data"
     if s["numbers"] >= k.numbers and (s["shape"] >= k.shape or s["mean_line"] >= 2 * k.mean_line):
         return "data"
     if s["repeats"] >= 8 and (s["shape"] >= k.shape or s["shapes"] >= 1.1 * k.shape):
