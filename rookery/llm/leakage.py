@@ -1,8 +1,9 @@
 """Evaluation passages inside a training corpus, by q-gram filtering in diagonal bands and banded alignment.
 
 Both sides are reduced to what does not depend on layout: case, punctuation, markup, escapes, comment marks, invisible and
-look-alike characters go, what is left is a stream of ``[a-z0-9]`` and the words it came from. Sentences that several items
-have in common are not part of an item's own passage.
+look-alike characters go, what is left is a stream of ``[a-z0-9]`` and the words it came from. Documents with markup are read
+without tags, with the words inside tags, and without comments, so that passages inside and around them are found. Sentences
+that several items have in common are not part of an item's own passage.
 
 1. Filter. Every 8-gram of a document's stream is an exact 64-bit key, looked up in the items' 8-grams for all documents
    of a batch at once. A hit at document position p and item position i lies on the diagonal p - i. Hits are counted per
@@ -54,26 +55,44 @@ LOOKALIKE = {
 }
 _FOLD = {ord(x): a for a, xs in LOOKALIKE.items() for x in xs} | {ord("ß"): "ss", ord("ø"): "o", ord("ł"): "l", ord("æ"): "ae"}
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrtbf])|\\([\"'/\\])")
-_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
+_NOTE = re.compile(r"<!--.*?-->", re.S)
+_NOTE_MARK = re.compile(r"<!--|-->")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
-def plain(text: str) -> str:
-    """Lower-case ASCII text without markup, escapes, accents and invisible characters; blanks stay blanks."""
+def _unescaped(text: str) -> str:
     t = text
     if "&" in t:
         t = html.unescape(t)
     if "\\" in t:
         t = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " " if m[2] else m[3], t)
         t = t.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if "\\u" in text else t
-    if "<" in t:
-        t = _TAG.sub(" ", t)
+    return t
+
+
+def _letters(t: str) -> str:
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t.lower()).translate(_FOLD)
         t = "".join(c if c.isascii() else "" if unicodedata.category(c) in ("Mn", "Cf", "Me") else " " if c.isspace() else "~" for c in t)
     return t.lower()
 
 
+def plain(text: str) -> str:
+    """Lower-case ASCII text without tags, escapes, accents and invisible characters; blanks stay blanks, comments lose their marks only."""
+    t = _unescaped(text)
+    return _letters(_TAG.sub(" ", _NOTE_MARK.sub(" ", t)) if "<" in t else t)
+
+
+def readings(text: str) -> list[str]:
+    """A document as by ``plain``, also with the words inside tags and without comments of markup, as a passage may lie inside or around them."""
+    t = _unescaped(text)
+    if "<" not in t:
+        return [_letters(t)]
+    marked = _NOTE_MARK.sub(" ", t)
+    return [_letters(x) for x in dict.fromkeys((_TAG.sub(" ", marked), marked, _TAG.sub(" ", _NOTE.sub(" ", t))))]
+
+
 def tokens(cleaned: str) -> tuple[list[str], list[int]]:
     """Alphanumeric tokens and, for each, the number of its word among those split at blanks that have any."""
     out, at, n = [], [], 0
@@ -280,12 +299,13 @@ def leaks(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int, int]])
 
 def found_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """(place in the batch, item_id) of the leaks of a batch of texts."""
-    cleaned = [plain(t) if t else "" for t in texts]
+    read = [(i, c) for i, t in enumerate(texts) if t for c in readings(t)]
+    cleaned = [c for _, c in read]
     streams = ["".join(_TOKEN.findall(c)).encode() for c in cleaned]
     parsed: dict[int, tuple] = {}
     done: set[tuple[int, int]] = set()
     for d, w, lo, hi in candidates(index, streams):
-        if (d, w) in done:
+        if (read[d][0], w) in done:
             continue
         if d not in parsed:
             toks, words = tokens(cleaned[d])
@@ -297,8 +317,8 @@ def found_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int]]
         b, bw = toks[x:y], words[x:y]
         for centre in _centres(item.tokens, b):
             if leaks(item, b, bw, aligned(item.tokens, b, centre)):
-                done.add((d, w))
-                yield d, item.item_id
+                done.add((read[d][0], w))
+                yield read[d][0], item.item_id
                 break
 
 
