@@ -12,8 +12,11 @@ that several items have in common are not part of an item's own passage.
    E words more or less move its diagonal by less than a band. Bands with fewer hits than the least such bound of the item hold no
    passage and are dropped, so nothing that satisfies the definition is lost.
 2. Verification. The region of each kept band is aligned with the item, token by token, inside a band around its
-   diagonal. Matched words, altered, missing and added ones are read off the path; a run of at least 18 words with at
-   most one edit in ten is a leak, or the whole item where it has fewer words.
+   token diagonals, all those its hits lie on. Matched words, altered, missing and added ones are read off the path; a run of
+   at least 18 words with at most one edit in ten is a leak, or the whole item where it has fewer words. An edit may be the run's
+   first or last word where the run is the whole item or the altered word still resembles the item's; next to a run any
+   other word is just the surrounding text. Items so short that an edit can leave no gram whole are aligned with every text
+   that has enough of their tokens.
 
 The item side is a stated query set of fixed size: it is split into blocks of at most ``BLOCK`` items and ``BLOCK_BYTES`` of text, each
 block's index is bounded and goes to the tasks by broadcast, and the corpus is passed once per block. The corpus is never
@@ -29,6 +32,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,8 @@ EDITS = 2
 BAND = 96
 BLOCK = 4096
 BLOCK_BYTES = 8_000_000
+#: Least likeness of an altered word at the end of a run to the item's.
+ALIKE = 0.6
 #: Tokens an alignment may leave its diagonal by.
 DRIFT = 40
 
@@ -111,7 +117,7 @@ class Item:
     tokens: list[str]
     words: list[int]
     stream: bytes
-    least: int  # hits of a band that may hold a leak
+    least: int  # hits of a band that may hold a leak; below 1 where a leak may have none
 
 
 def own_passages(items: list[tuple[int, str | None]]) -> list[Item]:
@@ -137,7 +143,7 @@ def _least(toks: list[str], words: list[int]) -> int:
     for i in range(n - run + 1):
         w = np.sort(size[i : i + run])
         bounds.append(w.sum() + 1 - Q - sum(int(x) + Q - 1 for x in w[len(w) - edits :]))
-    return max(1, min(bounds))
+    return int(min(bounds))
 
 
 class Index:
@@ -161,7 +167,12 @@ class Index:
         self.first, self.count = first, np.diff(np.r_[first, len(k)])
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[self._slot(self.keys)] = True
-        self.least = np.array([it.least for it in items], np.int64)
+        self.least = np.maximum(1, np.array([it.least for it in items], np.int64))
+        self.short = [(i, Counter(it.tokens)) for i, it in enumerate(items) if it.least < 1]
+
+    def ends(self, item: int) -> np.ndarray:
+        """Positions in the item's stream at which its tokens begin, and its length."""
+        return np.cumsum([0, *map(len, self.items[item].tokens)])
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
         return (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
@@ -189,8 +200,8 @@ def grams(a: np.ndarray) -> np.ndarray:
     return k
 
 
-def candidates(index: Index, streams: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-    """(document of the batch, item, first and last position of the hits) of every band that may hold a leak."""
+def candidates(index: Index, streams: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(document of the batch, item, positions in both of the hits) of every band that may hold a leak."""
     gap = b"\n" * Q
     sizes = np.array([len(s) + Q for s in streams])
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -201,22 +212,18 @@ def candidates(index: Index, streams: list[bytes]) -> Iterator[tuple[int, int, i
     pos = pos - starts[doc]
     band = (pos - where + (1 << 30)) // BAND
     order = np.lexsort((pos, band, who, doc))
-    doc, who, band, pos = doc[order], who[order], band[order], pos[order]
+    doc, who, band, pos, where = doc[order], who[order], band[order], pos[order], where[order]
     new = np.r_[True, (doc[1:] != doc[:-1]) | (who[1:] != who[:-1]) | (band[1:] != band[:-1])]
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(pos)])
-    last = first + count - 1
     d, w, b = doc[first], who[first], band[first]
-    low, high = pos[first], pos[last]
     # a band and the next one overlap in no diagonal, so the pair is the window that slides by one band
     follows = np.r_[(d[1:] == d[:-1]) & (w[1:] == w[:-1]) & (b[1:] == b[:-1] + 1), False]
     both = count + np.where(follows, np.r_[count[1:], 0], 0)
     keep = np.flatnonzero(both >= index.least[w])
     for j in keep:
-        lo, hi = int(low[j]), int(high[j])
-        if follows[j]:
-            lo, hi = min(lo, int(low[j + 1])), max(hi, int(high[j + 1]))
-        yield int(d[j]), int(w[j]), lo, hi
+        some = slice(int(first[j]), int(first[j] + both[j]))
+        yield int(d[j]), int(w[j]), pos[some], where[some]
 
 
 def aligned(a: list[str], b: list[str], centre: int, drift: int = DRIFT) -> list[tuple[int, int]]:
@@ -261,8 +268,8 @@ def aligned(a: list[str], b: list[str], centre: int, drift: int = DRIFT) -> list
     return pairs[::-1]
 
 
-def longest_run(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(words, edits) of every run of item words that begins and ends with a word left whole, longest first per begin."""
+def longest_run(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(words, edits, first word) of every run of item words that begins and ends with a word left whole, longest first per begin."""
     if not pairs:
         return []
     hit = {i: j for i, j in pairs}
@@ -287,14 +294,49 @@ def longest_run(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int,
     for x, w in enumerate(good):
         for v in reversed(good[x:]):
             n, e = v - w + 1, int(spent[v] - spent[w])
-            out.append((n, e))
+            out.append((n, e, w))
     return out
 
 
 def leaks(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int, int]]) -> bool:
     n_item = item.words[-1] + 1
     need = min(RUN, n_item)
-    return any(n >= need and e <= n // ONE_IN for n, e in longest_run(item, b, bw, pairs)) if len(pairs) * 2 >= need else False
+    if len(pairs) * 2 < need:
+        return False
+    runs = longest_run(item, b, bw, pairs)
+    return any(n >= need and e <= n // ONE_IN for n, e, _ in runs) or _leaks_with_ends(item, b, bw, pairs, runs, need)
+
+
+def _leaks_with_ends(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int, int]], runs: list[tuple[int, int, int]], need: int) -> bool:
+    """Whether a run is a leak with edits at its ends: missing words of a whole item, or one word at each end that was altered."""
+    n_item = item.words[-1] + 1
+    if any(e + n_item - n <= n_item // ONE_IN for n, e, _ in runs):
+        return True
+    runs = [(n, e, w) for n, e, w in runs if n + 2 >= need and n < need]
+    if not runs:
+        return False
+    at: dict[int, list[int]] = {}
+    for i, j in pairs:
+        at.setdefault(item.words[i], []).append(j)
+    mine: dict[int, str] = {}
+    for t, w in zip(item.tokens, item.words):
+        mine[w] = mine.get(w, "") + t
+    theirs: dict[int, str] = {}
+    for t, w in zip(b, bw):
+        theirs[w] = theirs.get(w, "") + t
+
+    def altered(w: int, beside: int, step: int) -> int:
+        if w not in mine or beside not in at:
+            return 0
+        j = (min if step < 0 else max)(at[beside])
+        other = theirs.get(bw[j] + step, "")
+        return int(bool(other) and SequenceMatcher(None, mine[w], other, False).ratio() >= ALIKE)
+
+    for n, e, w in runs:
+        more = altered(w - 1, w, -1) + altered(w + n, w + n - 1, 1)
+        if n + more >= need and e + more <= (n + more) // ONE_IN:
+            return True
+    return False
 
 
 def found_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -304,7 +346,7 @@ def found_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int]]
     streams = ["".join(_TOKEN.findall(c)).encode() for c in cleaned]
     parsed: dict[int, tuple] = {}
     done: set[tuple[int, int]] = set()
-    for d, w, lo, hi in candidates(index, streams):
+    for d, w, pos, where in candidates(index, streams):
         if (read[d][0], w) in done:
             continue
         if d not in parsed:
@@ -313,22 +355,42 @@ def found_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int]]
         toks, words, ends = parsed[d]
         item = index.items[w]
         slack = 2 * BAND
-        x, y = np.searchsorted(ends, [max(0, lo - slack), hi + Q + slack])
+        x, y = np.searchsorted(ends, [max(0, int(pos.min()) - slack), int(pos.max()) + Q + slack])
         b, bw = toks[x:y], words[x:y]
-        for centre in _centres(item.tokens, b):
+        place = lambda ends, p: np.searchsorted(ends, p, side="right") - 1
+        for centre in _centres(place(ends, pos) - x - place(index.ends(w), where)):
             if leaks(item, b, bw, aligned(item.tokens, b, centre)):
                 done.add((read[d][0], w))
                 yield read[d][0], item.item_id
                 break
+    for w, has in index.short:
+        item = index.items[w]
+        n = item.words[-1] + 1
+        least = min(RUN, n) - (EDITS if n >= RUN else n // ONE_IN)  # a word left whole has a token at least
+        for d, c in enumerate(cleaned):
+            if (read[d][0], w) in done:
+                continue
+            toks, words = parsed[d][:2] if d in parsed else tokens(c)
+            if sum((has & Counter(toks)).values()) >= least and _anywhere(item, toks, words):
+                done.add((read[d][0], w))
+                yield read[d][0], item.item_id
 
 
-def _centres(a: list[str], b: list[str]) -> list[int]:
-    """The token diagonals to align around: those with most equal tokens, far enough apart."""
-    places: dict[str, list[int]] = {}
-    for i, x in enumerate(a):
-        places.setdefault(x, []).append(i)
-    votes = Counter((j - i) // DRIFT for j, y in enumerate(b) for i in places.get(y, ()))
-    return [(c + 1) * DRIFT - DRIFT // 2 for c, n in votes.most_common(3) if n >= 4]
+def _centres(diagonals: np.ndarray) -> list[int]:
+    """The token diagonals to align around: every strip of ``DRIFT`` that holds some, the fullest first."""
+    strips, n = np.unique(diagonals // DRIFT, return_counts=True)
+    return [int(c) * DRIFT + DRIFT // 2 for c in strips[np.argsort(-n, kind="stable")]]
+
+
+def _anywhere(item: Item, toks: list[str], words: list[int]) -> bool:
+    """Whether the text holds the item, by alignment of overlapping windows of it."""
+    n = len(item.tokens)
+    for x in range(-n, max(1, len(toks)), DRIFT):
+        at = max(0, x)
+        b, bw = toks[at : x + n + 2 * DRIFT], words[at : x + n + 2 * DRIFT]
+        if set(b) & set(item.tokens) and leaks(item, b, bw, aligned(item.tokens, b, x - at + DRIFT // 2)):
+            return True
+    return False
 
 
 def blocks(items: list[Item]) -> Iterator[list[Item]]:
