@@ -78,17 +78,19 @@ def _owner(call: Column) -> Column:
     return F.lower(c)
 
 
-def superclass_chain(units: DataFrame, rounds: int = 12) -> DataFrame:
-    """(root, module, super) of all superclass modules reached from a module, in lower case; cycles end by the distinct."""
+def superclass_chain(units: DataFrame) -> DataFrame:
+    """(root, module, super) of all superclass modules reached from a module, in lower case; cycles end by the distinct.
+
+    Paths double every round, so a chain of n levels takes about log2(n) of them."""
     step = units.where("module is not null and superclass_module is not null").select("root", F.lower("module").alias("module"), F.lower("superclass_module").alias("super")).distinct()
-    reached = step
-    for _ in range(rounds):
-        more = reached.alias("a").join(step.alias("b"), (F.col("a.root") == F.col("b.root")) & (F.col("a.super") == F.col("b.module"))).select("a.root", "a.module", "b.super")
-        grown = checkpointed(reached.unionByName(more).distinct())
-        if grown.count() == reached.count():
-            return grown
-        reached = grown
-    return reached
+    reached = checkpointed(step)
+    n = reached.count()
+    while True:
+        more = reached.alias("a").join(reached.alias("b"), (F.col("a.root") == F.col("b.root")) & (F.col("a.super") == F.col("b.module"))).select("a.root", "a.module", "b.super")
+        reached = checkpointed(reached.unionByName(more).distinct())
+        before, n = n, reached.count()
+        if n == before:
+            return reached
 
 
 def priority_select(rows: DataFrame, group: list[str], flags: list[str]) -> DataFrame:
@@ -156,24 +158,28 @@ def call_edges(units: DataFrame) -> DataFrame:
     return direct.where("caller <> target").select("root", "caller", F.col("target").alias("callee")).distinct()
 
 
-def _through_macros(units: DataFrame, direct: DataFrame, rounds: int = 12) -> DataFrame:
-    """Targets of generated calls of macros that are called, followed through macros that generate macros."""
+def _through_macros(units: DataFrame, direct: DataFrame) -> DataFrame:
+    """Targets of generated calls of macros that are called, followed through macros that generate macros.
+
+    Which macros a macro reaches is closed by doubling the paths; calls and ends are joined to that once."""
     macros = units.where("form_operator = 'defmacro'")
     ids = macros.select("root", F.col("unit_id").alias("target"), F.lit(True).alias("is_macro"))
     step = resolved(units.withColumn("calls", F.when(F.col("form_operator") == "defmacro", F.col("generated_calls")).otherwise(F.array().cast(_EMPTY))))
     step = step.select("root", F.col("caller").alias("macro"), "target").distinct()
     reach = direct.join(ids, ["root", "target"]).select("root", "caller", "call", F.col("target").alias("macro")).distinct()
-    seen, out = reach, None
-    for _ in range(rounds):
-        hop = reach.join(step, ["root", "macro"]).join(ids, ["root", "target"], "left")
-        ends = hop.where("is_macro is null").select("root", "caller", "call", "target")
-        out = ends if out is None else out.unionByName(ends)
-        more = hop.where("is_macro").select("root", "caller", "call", F.col("target").alias("macro")).distinct()
-        reach = checkpointed(more.join(seen, ["root", "caller", "call", "macro"], "left_anti"))
-        if reach.isEmpty():
+    inner = step.join(ids, ["root", "target"]).select("root", "macro", F.col("target").alias("inner"))
+    own = macros.select("root", F.col("unit_id").alias("macro"), F.col("unit_id").alias("inner"))
+    reached = checkpointed(inner.unionByName(own).distinct())
+    n = reached.count()
+    while True:
+        more = reached.alias("a").join(reached.alias("b"), (F.col("a.root") == F.col("b.root")) & (F.col("a.inner") == F.col("b.macro"))).select("a.root", "a.macro", "b.inner")
+        reached = checkpointed(more.distinct())  # every macro reaches itself, so no path is lost
+        before, n = n, reached.count()
+        if n == before:
             break
-        seen = seen.unionByName(reach)
-    return out.distinct()
+    ends = step.join(ids, ["root", "target"], "left_anti").select("root", F.col("macro").alias("inner"), "target")
+    ends = reached.join(ends, ["root", "inner"]).select("root", "macro", "target").distinct()
+    return reach.join(ends, ["root", "macro"]).select("root", "caller", "call", "target").distinct()
 
 
 def neighbours(edges: DataFrame, units: DataFrame, callers: bool = True) -> DataFrame:
