@@ -8,7 +8,8 @@ difference of the two log-likelihoods over its spans of words, as a remark is a
 Labels are given for whole documents and raters err, while a remark is one sentence of many. So training alternates: the
 ordinary model is fit on documents rated 0; in documents rated 1 the spans of words that such documents have more often, later
 those that the current models tell apart best, are taken as toxic, the rest of them is not used. The threshold is the one
-that agrees best with the ratings, by cross-validation, at the rate of the corpus rather than of the labelled sample.
+that agrees best with the ratings, by cross-validation, where documents rated 0 count ``RARER`` times. That weight is a fixed
+assumption about how much rarer abuse is in the corpus than in the labelled sample; the corpus' rate is not estimated.
 
 Spelling is undone first: letter case, accents, look-alike and invisible characters, digits and signs for letters, letters
 set apart, letters repeated, words masked by asterisks. Paths and identifiers become one token, numbers another, names of
@@ -43,7 +44,8 @@ MIX = 0.3
 #: A word in fewer documents of the sample stands for any unknown word, so that both models learn where such words occur.
 KNOWN = 2
 ROUNDS = 4
-#: Labelled documents are picked by hand, so abusive ones are several times as frequent among them as in the corpus.
+#: An assumption, not an estimate: labelled documents are picked by hand, and abusive ones are taken to be several times as frequent
+#: among them as in the corpus. Where they are no more frequent the cut is too high, where they are much more so too low.
 RARER = 4.0
 FOLDS = 3
 #: Spans of 2 to MOST words; a span's sum of differences is divided by its length plus PRIOR, so that a word or two cannot win alone.
