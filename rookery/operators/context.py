@@ -159,6 +159,16 @@ def _slices(spark, d: str) -> DataFrame:
     return slices(f, "fallback_id", "raw_context", F.col("start_line") + 4, F.col("end_line") - 2, 60, 1500)
 
 
+def _whole_slices(spark, d: str) -> DataFrame:
+    """The table's own lines under the default caps."""
+    return slices(table(spark, d, "degraded_fallback"), "fallback_id", "raw_context", F.col("start_line"), F.col("end_line"))
+
+
+def _whole_raw(spark, d: str) -> DataFrame:
+    """The table's own lines under the default budget."""
+    return raw_fetch(table(spark, d, "degraded_fallback"), "raw_context", "packet_id", "fallback_id").select("packet_id", "fallback_id", "from", "to", "bytes", "used", F.sha2("content", 256).alias("content_hash"))
+
+
 def _raw(spark, d: str) -> DataFrame:
     f = table(spark, d, "degraded_fallback").withColumns({"start_line": F.col("fallback_id").cast("int") % 20 + 1, "end_line": F.col("fallback_id").cast("int") % 20 + 12})
     return raw_fetch(f, "raw_context", "packet_id", "fallback_id", 400).select("packet_id", "fallback_id", "from", "to", "bytes", "used", F.sha2("content", 256).alias("content_hash"))
@@ -175,7 +185,9 @@ QUERIES = {
     "scr_10_selection": _selections,
     "scr_15_stage_budgets": _budgets,
     "scr_16_raw_fetch": _raw,
+    "scr_16_raw_fetch_whole": _whole_raw,
     "scr_17_literal_slice": _slices,
+    "scr_17_literal_slice_whole": _whole_slices,
     "orc_06_expand_impact": _impact,
     "src_03_line_counts": lambda s, d: table(s, d, "degraded_fallback").select("fallback_id", F.size(lines(F.col("raw_context"))).alias("n_lines")),
 }
@@ -208,3 +220,8 @@ SQL = {
     "orc_06_expand_impact": RANK_SQL + f", sel as (select query_id, root, unit_id, path, module from (select *, sum({_COMPACT}) over (partition by query_id order by place) as used from rk) where used <= 180 and place <= 5)" + IMPACT_SQL,
     "src_03_line_counts": f"select fallback_id, len({_LINES('raw_context')})::int as n_lines from degraded_fallback",
 }
+_swapped = lambda text, *pairs: _swapped(text.replace(*pairs[0]), *pairs[1:]) if pairs else text
+SQL |= {
+    "scr_16_raw_fetch_whole": _swapped(SQL["scr_16_raw_fetch"], ("fallback_id % 20 + 1 as s, fallback_id % 20 + 12 as e", "start_line as s, end_line as e"), ("used <= 1600", f"used <= {4 * BUDGET}")),
+    "scr_17_literal_slice_whole": _swapped(SQL["scr_17_literal_slice"], ("start_line + 4", "start_line"), ("end_line - 2", "end_line"), ("60", str(MAX_LINES)), ("1500", str(MAX_BYTES))),
+}
