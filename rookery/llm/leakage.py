@@ -1,27 +1,30 @@
 """Evaluation passages inside a training corpus, by q-gram filtering in diagonal bands and banded alignment.
 
 Both sides are reduced to what does not depend on layout: case, punctuation, markup, escapes, comment marks, invisible and
-look-alike characters go, what is left is a stream of ``[a-z0-9]`` and the words it came from. Documents with markup are read
-without tags, with the words inside tags, and without comments, so that passages inside and around them are found. Sentences
-that several items have in common are not part of an item's own passage.
+look-alike characters go, what is left is a stream of letters and digits of any script (UTF-8) and the words it came from.
+Documents with markup are read without tags, with the words inside tags, and without comments, so that passages inside and
+around them are found. Sentences that several items have in common are not part of an item's own passage.
 
 1. Filter. Every 8-gram of a document's stream is an exact 64-bit key, looked up in the items' 8-grams for all documents
-   of a batch at once. A hit at document position p and item position i lies on the diagonal p - i. Hits are counted per
-   item in overlapping bands of diagonals. A passage of 18 words with E edited words keeps at least
-   ``c + 1 - q - sum(len(w) + q - 1)`` of its c - q + 1 grams, the sum over its E longest words (the q-gram lemma, with word edits), and
-   E words more or less move its diagonal by less than a band. Bands with fewer hits than the least such bound of the item hold no
-   passage and are dropped, so nothing that satisfies the definition is lost.
-2. Verification. The region of each kept band is aligned with the item, token by token, inside a band around its
-   token diagonals, all those its hits lie on. Matched words, altered, missing and added ones are read off the path; a run of
-   at least 18 words with at most one edit in ten is a leak, or the whole item where it has fewer words. An edit may be the run's
-   first or last word where the run is the whole item or the altered word still resembles the item's; next to a run any
-   other word is just the surrounding text. Items so short that an edit can leave no gram whole are aligned with every text
-   that has enough of their tokens.
-
-The item side is a stated query set of fixed size: it is split into blocks of at most ``BLOCK`` items and ``BLOCK_BYTES`` of text, each
-block's index is bounded and goes to the tasks by broadcast, and the corpus is passed once per block. The corpus is never
-shuffled; documents are not compared with each other. Null and empty texts and items have no cases; repeated texts are
-cases each; other columns are ignored.
+   of a batch at once. By the q-gram lemma for word edits, n words of c bytes with e edited words keep at least
+   ``c + 1 - q - sum(len(w) + q - 1)`` of their grams whole, the sum over the e longest words. A leak has 18, 20, 30, 40, ... words
+   at least for 1, 2, 3, 4, ... edits, so it meets the bound of one such window of the item. Hits are counted in overlapping bands
+   of word diagonals (word of the document less word of the item) as wide as an item's words and edits: no run can leave
+   its pair of bands, however long its added words are. Bands in which no window of the item has its bound are dropped, no other.
+2. Verification. Each stretch of contiguous hits of a kept band is extended to both sides by banded alignment: for every number of edits,
+   and every diagonal that many edits can reach, the furthest word that can be matched. Words match on the streams, so words joined
+   or split by layout cost nothing; altered, missing and added words cost one. Every stretch is tried, so no path is left out. A run of
+   at least 18 words with at most one edit in ten is a leak, or the whole item where it has fewer words. A run begins and ends
+   with a word left whole; the first and last may also be altered where they still resemble the item's, and a whole item
+   may lack words at its ends. Next to a run any other word is just the surrounding text.
+
+Items with a window whose bound is below 1 (very short ones, or with very long words) are not filtered: e edits leave one of e + 1 parts
+of a run whole, so every stretch of that many words is searched for literally and extended in the same way.
+
+The item side is a stated query set of fixed size, collected once. It is split into blocks of at most ``BLOCK_BYTES`` of text; each
+block's index is built once, is bounded (about 50 bytes per byte of text) and goes to the tasks by broadcast; the corpus is passed once
+per block. The corpus is never shuffled; documents are not compared with each other. Null and empty texts and items have no
+cases; repeated texts are cases each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +48,11 @@ from rookery.sources.tables import table
 
 Q = 8
 RUN = 18
-#: One word in ten may be edited; a run of 20 words has two, so 18 of its words may hold two as well.
+#: One word in ten may be edited.
 ONE_IN = 10
-EDITS = 2
-BAND = 96
-BLOCK = 4096
 BLOCK_BYTES = 8_000_000
 #: Least likeness of an altered word at the end of a run to the item's.
 ALIKE = 0.6
-#: Tokens an alignment may leave its diagonal by.
-DRIFT = 40
 
 #: Look-alike letters outside Latin, by the ASCII letter they resemble (fixed values).
 LOOKALIKE = {
@@ -64,7 +64,8 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrtbf])|\\([\"'/\\])")
 _NOTE = re.compile(r"<!--.*?-->", re.S)
 _NOTE_MARK = re.compile(r"<!--|-->")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
-_TOKEN = re.compile(r"[a-z0-9]+")
+_TOKEN = re.compile(r"[^\W_]+")
+_OTHER = re.compile(r"[^\x00-\x7f]+")
 
 
 def _unescaped(text: str) -> str:
@@ -77,15 +78,19 @@ def _unescaped(text: str) -> str:
     return t
 
 
+@lru_cache(maxsize=1 << 16)
+def _folded(run: str) -> str:
+    t = unicodedata.normalize("NFKD", run).translate(_FOLD)
+    return "".join(c if c.isascii() or c.isalnum() else "" if unicodedata.category(c) in ("Mn", "Cf", "Me") else " " if c.isspace() else "~" for c in t)
+
+
 def _letters(t: str) -> str:
-    if not t.isascii():
-        t = unicodedata.normalize("NFKD", t.lower()).translate(_FOLD)
-        t = "".join(c if c.isascii() else "" if unicodedata.category(c) in ("Mn", "Cf", "Me") else " " if c.isspace() else "~" for c in t)
-    return t.lower()
+    t = t.lower()
+    return t if t.isascii() else _OTHER.sub(lambda m: _folded(m[0]), t).lower()
 
 
 def plain(text: str) -> str:
-    """Lower-case ASCII text without tags, escapes, accents and invisible characters; blanks stay blanks, comments lose their marks only."""
+    """Lower-case text without tags, escapes, accents, look-alikes and invisible characters; blanks stay blanks, comments lose their marks only."""
     t = _unescaped(text)
     return _letters(_TAG.sub(" ", _NOTE_MARK.sub(" ", t)) if "<" in t else t)
 
@@ -99,25 +104,50 @@ def readings(text: str) -> list[str]:
     return [_letters(x) for x in dict.fromkeys((_TAG.sub(" ", marked), marked, _TAG.sub(" ", _NOTE.sub(" ", t))))]
 
 
-def tokens(cleaned: str) -> tuple[list[str], list[int]]:
-    """Alphanumeric tokens and, for each, the number of its word among those split at blanks that have any."""
-    out, at, n = [], [], 0
-    for w in cleaned.split():
-        found = _TOKEN.findall(w)
-        if found:
-            out += found
-            at += [n] * len(found)
-            n += 1
-    return out, at
+class Read:
+    """A cleaned text: its stream, where its tokens begin (and its length), and where its words, split at blanks, begin."""
+
+    __slots__ = ("stream", "edges", "words", "ends")
+
+    def __init__(self, cleaned: str):
+        parts, self.words, n = [], [], 0
+        edges = [0]
+        for w in cleaned.split():
+            at = n
+            for t in _TOKEN.findall(w):
+                b = t.encode()
+                parts.append(b)
+                n += len(b)
+                edges.append(n)
+            if n > at:
+                self.words.append(at)
+        self.stream, self.edges = b"".join(parts), frozenset(edges)
+        self.ends = [*self.words, n]
+
+    def reversed(self) -> Read:
+        r, n = Read.__new__(Read), len(self.stream)
+        r.stream, r.edges = self.stream[::-1], frozenset(n - x for x in self.edges)
+        r.ends = [n - x for x in self.ends[::-1]]
+        r.words = r.ends[:-1]
+        return r
 
 
 @dataclass
 class Item:
     item_id: int
-    tokens: list[str]
-    words: list[int]
-    stream: bytes
-    least: int  # hits of a band that may hold a leak; below 1 where a leak may have none
+    words: list[bytes]
+    starts: np.ndarray  # of the words in the stream, and its length
+    windows: np.ndarray  # first gram, last gram + 1 and least hits of every window that a leak has to fill
+    needle: int  # 0, or how many words in a row are left whole at least, where some window's bound is below 1
+
+    @property
+    def stream(self) -> bytes:
+        return b"".join(self.words)
+
+    @property
+    def band(self) -> int:
+        """Words by which a run can leave its diagonal."""
+        return len(self.words) + len(self.words) // ONE_IN + 1
 
 
 def own_passages(items: list[tuple[int, str | None]]) -> list[Item]:
@@ -127,23 +157,26 @@ def own_passages(items: list[tuple[int, str | None]]) -> list[Item]:
     shared = Counter(k for _, t in items if t for k in {key(s) for s in split(t)})
     out = []
     for item_id, t in items:
-        own = " ".join(s for s in split(t) if shared[key(s)] < 2) if t else ""
-        toks, words = tokens(plain(own))
-        if toks:
-            out.append(Item(item_id, toks, words, "".join(toks).encode(), _least(toks, words)))
+        own = Read(plain(" ".join(s for s in split(t) if shared[key(s)] < 2) if t else ""))
+        if own.words:
+            out.append(_item(item_id, [own.stream[a:b] for a, b in zip(own.ends, own.ends[1:])]))
     return out
 
 
-def _least(toks: list[str], words: list[int]) -> int:
-    n = words[-1] + 1
-    size = np.bincount(words, [len(t) for t in toks], n).astype(int)
-    run = min(RUN, n)
-    edits = EDITS if n >= RUN else n // ONE_IN
-    bounds = []
-    for i in range(n - run + 1):
-        w = np.sort(size[i : i + run])
-        bounds.append(w.sum() + 1 - Q - sum(int(x) + Q - 1 for x in w[len(w) - edits :]))
-    return int(min(bounds))
+def _item(item_id: int, words: list[bytes]) -> Item:
+    n = len(words)
+    size = np.array([len(w) for w in words], np.int64)
+    starts = np.r_[0, np.cumsum(size)]
+    # of all runs with e edits the shortest one has the least bound
+    runs = [(n, n // ONE_IN)] if n < RUN else [(RUN, 1), *((m, m // ONE_IN) for m in range(2 * ONE_IN, n + 1, ONE_IN))]
+    windows = []
+    for m, e in runs:
+        w = np.sort(np.lib.stride_tricks.sliding_window_view(size, m), axis=1)
+        least = w.sum(1) + 1 - Q - (w[:, m - e :].sum(1) + e * (Q - 1))
+        windows.append(np.stack([starts[: n - m + 1], np.maximum(starts[m:] - Q + 1, starts[: n - m + 1]), least], 1))
+    windows = np.concatenate(windows)
+    needle = min(-(-(m - e) // (e + 1)) for m, e in runs) if windows[:, 2].min() < 1 else 0
+    return Item(item_id, words, starts, windows, needle)
 
 
 class Index:
@@ -167,12 +200,8 @@ class Index:
         self.first, self.count = first, np.diff(np.r_[first, len(k)])
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[self._slot(self.keys)] = True
-        self.least = np.maximum(1, np.array([it.least for it in items], np.int64))
-        self.short = [(i, Counter(it.tokens)) for i, it in enumerate(items) if it.least < 1]
-
-    def ends(self, item: int) -> np.ndarray:
-        """Positions in the item's stream at which its tokens begin, and its length."""
-        return np.cumsum([0, *map(len, self.items[item].tokens)])
+        self.least = np.array([max(1, it.windows[:, 2].min()) for it in items], np.int64)
+        self.short = [i for i, it in enumerate(items) if it.needle]
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
         return (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
@@ -200,8 +229,8 @@ def grams(a: np.ndarray) -> np.ndarray:
     return k
 
 
-def candidates(index: Index, streams: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(document of the batch, item, positions in both of the hits) of every band that may hold a leak."""
+def shared_grams(index: Index, streams: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(document of the batch, item, positions in both of the hits) of every pair with as many hits as any window of the item needs."""
     gap = b"\n" * Q
     sizes = np.array([len(s) + Q for s in streams])
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -210,194 +239,157 @@ def candidates(index: Index, streams: list[bytes]) -> Iterator[tuple[int, int, n
         return
     doc = np.searchsorted(starts, pos, side="right") - 1
     pos = pos - starts[doc]
-    band = (pos - where + (1 << 30)) // BAND
-    order = np.lexsort((pos, band, who, doc))
-    doc, who, band, pos, where = doc[order], who[order], band[order], pos[order], where[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (who[1:] != who[:-1]) | (band[1:] != band[:-1])]
-    first = np.flatnonzero(new)
-    count = np.diff(np.r_[first, len(pos)])
-    d, w, b = doc[first], who[first], band[first]
-    # a band and the next one overlap in no diagonal, so the pair is the window that slides by one band
-    follows = np.r_[(d[1:] == d[:-1]) & (w[1:] == w[:-1]) & (b[1:] == b[:-1] + 1), False]
-    both = count + np.where(follows, np.r_[count[1:], 0], 0)
-    keep = np.flatnonzero(both >= index.least[w])
-    for j in keep:
-        some = slice(int(first[j]), int(first[j] + both[j]))
-        yield int(d[j]), int(w[j]), pos[some], where[some]
-
-
-def aligned(a: list[str], b: list[str], centre: int, drift: int = DRIFT) -> list[tuple[int, int]]:
-    """Matched pairs of the best local alignment of tokens a and b whose diagonal (j - i) stays within drift of centre."""
-    width = 2 * drift + 1
-    best, cell = 0.0, None
-    prev = [0.0] * (width + 2)
-    back: list[bytearray] = []
-    for i, x in enumerate(a):
-        now = [0.0] * (width + 2)
-        move = bytearray(width + 2)
-        for c in range(1, width + 1):
-            j = i + centre + c - drift - 1
-            if j < 0 or j >= len(b):
-                continue
-            same = x == b[j]
-            s, m = (prev[c] + 1.0, 1) if same else (prev[c] - 0.9, 2)
-            if prev[c + 1] - 0.7 > s:
-                s, m = prev[c + 1] - 0.7, 3
-            if now[c - 1] - 0.7 > s:
-                s, m = now[c - 1] - 0.7, 4
-            if s > 0:
-                now[c], move[c] = s, m
-                if s > best:
-                    best, cell = s, (i, c)
-        back.append(move)
-        prev = now
-    pairs = []
-    while cell:
-        i, c = cell
-        m = back[i][c] if i >= 0 else 0
-        if m == 1:
-            pairs.append((i, i + centre + c - drift - 1))
-        if m in (1, 2):
-            cell = (i - 1, c) if i else None
-        elif m == 3:
-            cell = (i - 1, c + 1) if i else None
-        elif m == 4:
-            cell = (i, c - 1)
-        else:
-            cell = None
-    return pairs[::-1]
-
-
-def longest_run(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(words, edits, first word) of every run of item words that begins and ends with a word left whole, longest first per begin."""
-    if not pairs:
+    pair = doc * len(index.items) + who
+    order = np.argsort(pair, kind="stable")
+    pair, pos, where = pair[order], pos[order], where[order]
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    ends = np.r_[first[1:], len(pair)]
+    d, w = np.divmod(pair[first], len(index.items))
+    for j in np.flatnonzero(ends - first >= index.least[w]):
+        yield int(d[j]), int(w[j]), pos[first[j] : ends[j]], where[first[j] : ends[j]]
+
+
+def stretches(item: Item, read: Read, pos: np.ndarray, where: np.ndarray) -> list[tuple[int, int]]:
+    """(item word, document position) from which to extend each stretch of contiguous hits in the bands that may hold a leak, longest first."""
+    if not _enough(item, where):
         return []
-    hit = {i: j for i, j in pairs}
-    cost: dict[int, int] = {}  # edits by the item word they are charged to
-    ends = [*zip(pairs, pairs[1:])]
-    for (i, j), (k, l) in ends:
-        gap_a, gap_b = item.tokens[i + 1 : k], b[j + 1 : l]
-        if not gap_a and not gap_b:
-            continue
-        if "".join(gap_a) == "".join(gap_b):
-            hit.update(dict.fromkeys(range(i + 1, k), -1))
-            continue
-        words_a = {item.words[t] for t in range(i + 1, k)}
-        words_b = {bw[t] for t in range(j + 1, l)}
-        at = min(words_a) if words_a else item.words[k]
-        cost[at] = cost.get(at, 0) + max(len(words_a), len(words_b))
-    total = Counter(item.words)
-    whole = {w for w, n in Counter(item.words[i] for i in hit).items() if n == total[w]}
-    good = sorted(whole)
-    spent = np.cumsum([cost.get(w, 0) for w in range(item.words[-1] + 1)])
+    diagonal = np.searchsorted(read.words, pos, side="right") - np.searchsorted(item.starts, where, side="right")
+    band = diagonal // item.band
+    kept = np.zeros(len(pos), bool)
+    for b in np.unique(band):
+        some = (band == b) | (band == b + 1)
+        if _enough(item, where[some]):
+            kept |= some
+    pos, where = pos[kept], where[kept]
+    order = np.lexsort((pos, pos - where))
+    pos, where = pos[order], where[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(pos) != 1) | (np.diff(where) != 1)]) if len(pos) else np.empty(0, np.int64)
+    size = np.diff(np.r_[new, len(pos)])
     out = []
-    for x, w in enumerate(good):
-        for v in reversed(good[x:]):
-            n, e = v - w + 1, int(spent[v] - spent[w])
-            out.append((n, e, w))
+    for j in np.argsort(-size, kind="stable"):
+        a, p = int(where[new[j]]), int(pos[new[j]])
+        first, last = np.searchsorted(item.starts, [a, a + int(size[j]) + Q - 1 + 1])
+        inside = range(int(first), int(last) - 1)  # whole words of the stretch
+        if inside:
+            at = lambda w: p + int(item.starts[w]) - a  # noqa: B023, E731
+            w = next((w for w in inside if at(w) in read.edges and at(w + 1) in read.edges), inside[0])
+            out.append((w, at(w)))
     return out
 
 
-def leaks(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int, int]]) -> bool:
-    n_item = item.words[-1] + 1
-    need = min(RUN, n_item)
-    if len(pairs) * 2 < need:
-        return False
-    runs = longest_run(item, b, bw, pairs)
-    return any(n >= need and e <= n // ONE_IN for n, e, _ in runs) or _leaks_with_ends(item, b, bw, pairs, runs, need)
-
-
-def _leaks_with_ends(item: Item, b: list[str], bw: list[int], pairs: list[tuple[int, int]], runs: list[tuple[int, int, int]], need: int) -> bool:
-    """Whether a run is a leak with edits at its ends: missing words of a whole item, or one word at each end that was altered."""
-    n_item = item.words[-1] + 1
-    if any(e + n_item - n <= n_item // ONE_IN for n, e, _ in runs):
+def _enough(item: Item, where: np.ndarray) -> bool:
+    got = np.zeros(int(item.starts[-1]) + 1, np.int64)
+    got[where + 1] = 1
+    got = np.cumsum(got)
+    return bool((got[item.windows[:, 1]] - got[item.windows[:, 0]] >= item.windows[:, 2]).any())
+
+
+def extended(words: list[bytes], read: Read, p: int, edits: int) -> tuple[list[int], list[int], list[list[tuple[int, bytes, bytes]]]]:
+    """How many of ``words`` the text goes on with from p, for 0 to ``edits`` edits: up to a word left whole that is one of the text's, up to any word at an end of the text's words, and the altered words (number, item's, text's) that could be last."""
+    n, stream = len(words), read.stream
+    whole, reach, altered = [0] * (edits + 1), [0] * (edits + 1), [[] for _ in range(edits + 1)]
+    front = {(0, p)}
+    for e in range(edits + 1):
+        far: dict[int, tuple[int, int]] = {}
+        for i, at in front:
+            if i > reach[e] and at in read.edges:
+                reach[e] = i
+            while i < n and stream.startswith(words[i], at):
+                begin, at = at, at + len(words[i])
+                i += 1
+                if at in read.edges and begin in read.edges:
+                    whole[e], reach[e] = max(whole[e], i), max(reach[e], i)
+            k = bisect_right(read.words, at)
+            if i and at not in read.edges and e < edits:  # it ends inside a longer word of the text
+                altered[e + 1].append((i, words[i - 1], stream[max(0, at - len(words[i - 1])) : read.ends[k]]))
+            if far.get(i - k, (-1, 0)) < (i, at):
+                far[i - k] = (i, at)
+        if e == edits:
+            break
+        whole[e + 1], reach[e + 1] = whole[e], reach[e]
+        front = set()
+        for i, at in far.values():
+            k = bisect_right(read.words, at)
+            after = read.ends[k] if k < len(read.ends) else None
+            if i < n:
+                front.add((i + 1, at))
+                if after is not None and after > at:
+                    front.add((i + 1, after))
+                    altered[e + 1].append((i + 1, words[i], stream[at:after]))
+            if after is not None and after > at:
+                front.add((i, after))
+    return whole, reach, altered
+
+
+def leaks(item: Item, read: Read, backward: Read, w: int, p: int) -> bool:
+    """Whether a run through the place where item word w meets position p of the text is a leak."""
+    n = len(item.words)
+    edits, need = n // ONE_IN, min(RUN, n)
+    right, right_any, right_alt = extended(item.words[w:], read, p, edits)
+    closed = p in read.edges and w < n and p + len(item.words[w]) in read.edges  # a run may begin here
+    if right[0] >= need and closed:
         return True
-    runs = [(n, e, w) for n, e, w in runs if n + 2 >= need and n < need]
-    if not runs:
-        return False
-    at: dict[int, list[int]] = {}
-    for i, j in pairs:
-        at.setdefault(item.words[i], []).append(j)
-    mine: dict[int, str] = {}
-    for t, w in zip(item.tokens, item.words):
-        mine[w] = mine.get(w, "") + t
-    theirs: dict[int, str] = {}
-    for t, w in zip(b, bw):
-        theirs[w] = theirs.get(w, "") + t
-
-    def altered(w: int, beside: int, step: int) -> int:
-        if w not in mine or beside not in at:
-            return 0
-        j = (min if step < 0 else max)(at[beside])
-        other = theirs.get(bw[j] + step, "")
-        return int(bool(other) and SequenceMatcher(None, mine[w], other, False).ratio() >= ALIKE)
-
-    for n, e, w in runs:
-        more = altered(w - 1, w, -1) + altered(w + n, w + n - 1, 1)
-        if n + more >= need and e + more <= (n + more) // ONE_IN:
-            return True
+    left, left_any, left_alt = extended([x[::-1] for x in item.words[:w][::-1]], backward, len(read.stream) - p, edits)
+    for a in range(edits + 1):
+        for b in range(edits + 1 - a):
+            if left_any[a] == w and right_any[b] == n - w and (closed or left_any[a] and right_any[b]):
+                return True
+            m = left[a] + right[b]
+            if m >= need and a + b <= m // ONE_IN and (closed or left[a] and right[b]):
+                return True
+    alike = lambda x, y: SequenceMatcher(None, x.decode(errors="replace"), y.decode(errors="replace"), False).ratio() >= ALIKE
+    ends = lambda whole, alt, turn: [(i, e, None, None) for e, i in enumerate(whole)] + [(i, e, x[::turn], y[::turn]) for e, z in enumerate(alt) for i, x, y in z if i > whole[e]]
+    for i, a, x, y in ends(left, left_alt, -1):
+        for j, b, u, v in ends(right, right_alt, 1):
+            m = i + j
+            if m >= need and a + b <= m // ONE_IN and (x or u) and (x is None or alike(x, y)) and (u is None or alike(u, v)):
+                return True
     return False
 
 
+def literal(item: Item, read: Read) -> Iterator[tuple[int, int]]:
+    """The places of every ``needle`` words of the item in a row."""
+    for w in range(len(item.words) - item.needle + 1):
+        x = b"".join(item.words[w : w + item.needle])
+        p = read.stream.find(x)
+        while p >= 0:
+            yield w, p
+            p = read.stream.find(x, p + 1)
+
+
 def found_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """(place in the batch, item_id) of the leaks of a batch of texts."""
     read = [(i, c) for i, t in enumerate(texts) if t for c in readings(t)]
-    cleaned = [c for _, c in read]
-    streams = ["".join(_TOKEN.findall(c)).encode() for c in cleaned]
-    parsed: dict[int, tuple] = {}
+    streams = ["".join(_TOKEN.findall(c)).encode() for _, c in read]
+    parsed: dict[int, tuple[Read, Read]] = {}
     done: set[tuple[int, int]] = set()
-    for d, w, pos, where in candidates(index, streams):
-        if (read[d][0], w) in done:
-            continue
+
+    def parse(d: int) -> tuple[Read, Read]:
         if d not in parsed:
-            toks, words = tokens(cleaned[d])
-            parsed[d] = toks, words, np.cumsum([0, *map(len, toks)])
-        toks, words, ends = parsed[d]
-        item = index.items[w]
-        slack = 2 * BAND
-        x, y = np.searchsorted(ends, [max(0, int(pos.min()) - slack), int(pos.max()) + Q + slack])
-        b, bw = toks[x:y], words[x:y]
-        place = lambda ends, p: np.searchsorted(ends, p, side="right") - 1
-        for centre in _centres(place(ends, pos) - x - place(index.ends(w), where)):
-            if leaks(item, b, bw, aligned(item.tokens, b, centre)):
-                done.add((read[d][0], w))
-                yield read[d][0], item.item_id
-                break
-    for w, has in index.short:
-        item = index.items[w]
-        n = item.words[-1] + 1
-        least = min(RUN, n) - (EDITS if n >= RUN else n // ONE_IN)  # a word left whole has a token at least
-        for d, c in enumerate(cleaned):
-            if (read[d][0], w) in done:
-                continue
-            toks, words = parsed[d][:2] if d in parsed else tokens(c)
-            if sum((has & Counter(toks)).values()) >= least and _anywhere(item, toks, words):
-                done.add((read[d][0], w))
-                yield read[d][0], item.item_id
-
-
-def _centres(diagonals: np.ndarray) -> list[int]:
-    """The token diagonals to align around: every strip of ``DRIFT`` that holds some, the fullest first."""
-    strips, n = np.unique(diagonals // DRIFT, return_counts=True)
-    return [int(c) * DRIFT + DRIFT // 2 for c in strips[np.argsort(-n, kind="stable")]]
-
-
-def _anywhere(item: Item, toks: list[str], words: list[int]) -> bool:
-    """Whether the text holds the item, by alignment of overlapping windows of it."""
-    n = len(item.tokens)
-    for x in range(-n, max(1, len(toks)), DRIFT):
-        at = max(0, x)
-        b, bw = toks[at : x + n + 2 * DRIFT], words[at : x + n + 2 * DRIFT]
-        if set(b) & set(item.tokens) and leaks(item, b, bw, aligned(item.tokens, b, x - at + DRIFT // 2)):
-            return True
-    return False
+            parsed.clear()  # pairs come document by document
+            r = Read(read[d][1])
+            parsed[d] = r, r.reversed()
+        return parsed[d]
+
+    for d, w, pos, where in shared_grams(index, streams):
+        item, i = index.items[w], read[d][0]
+        if (i, w) not in done and not item.needle and any(leaks(item, *parse(d), *at) for at in stretches(item, parse(d)[0], pos, where)):
+            done.add((i, w))
+            yield i, item.item_id
+    if index.short:
+        for d, (i, _) in enumerate(read):
+            for w in index.short:
+                item = index.items[w]
+                if (i, w) not in done and any(leaks(item, *parse(d), *at) for at in literal(item, parse(d)[0])):
+                    done.add((i, w))
+                    yield i, item.item_id
 
 
 def blocks(items: list[Item]) -> Iterator[list[Item]]:
-    """Items in blocks that keep both bounds; an item above the bytes has a block of its own."""
+    """Items in blocks of bounded size; an item above the bound has a block of its own."""
     block, size = [], 0
     for it in items:
-        if block and (len(block) >= BLOCK or size + len(it.stream) > BLOCK_BYTES):
+        if block and size + len(it.stream) > BLOCK_BYTES:
             yield block
             block, size = [], 0
         block.append(it)
@@ -408,22 +400,20 @@ def blocks(items: list[Item]) -> Iterator[list[Item]]:
 
 def contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, item_id of every leak. ``items`` has item_id and item_text and is bounded by its definition."""
-    own = own_passages([(r[0], r[1]) for r in items.select("item_id", "item_text").orderBy("item_id").collect()])
+    own = own_passages([(r[0], r[1]) for r in items.select("item_id", "item_text").orderBy("item_id", "item_text").collect()])
     docs = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t <> ''")
     kind = dict(docs.dtypes)["k"]
     schema = f"k {kind}, item_id bigint"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(own):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
             for b in batches:
-                keys = b.column(0)
-                got = list(found_in(index, b.column(1).to_pylist()))
+                got = list(found_in(shared.value, b.column(1).to_pylist()))
                 if got:
                     at, who = zip(*got)
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(who, pa.int64())], names=["k", "item_id"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(who, pa.int64())], names=["k", "item_id"])
 
         out = out.unionByName(docs.mapInArrow(run, schema))
     return out.withColumnRenamed("k", key)

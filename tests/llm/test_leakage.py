@@ -88,5 +88,5 @@ def test_rows(spark):
 def test_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(1, part(1, 0, 30)), (2, part(2, 0, 30))], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, item_text string")
-    monkeypatch.setattr(L, "BLOCK", 1)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 1)
     assert sorted(tuple(r) for r in L.contaminated(docs, items).collect()) == [(1, 1), (2, 2)]
