@@ -1,9 +1,9 @@
 """Abusive, hateful and sexual content by class-conditional Kneser-Ney models.
 
-Two word models, toxic and ordinary, are interpolated Kneser-Ney bigram models. Their lowest order is shared: a word's backoff
-probability comes from the continuation counts of both classes together, so an expression that is rare in one class is
-smoothed by all that is known of it, and unseen words weigh the same in both. A text's score is the best length-normalised
-difference of the two log-likelihoods over its spans of words, as a remark is a few words in a long text.
+Two word models, toxic and ordinary, are interpolated Kneser-Ney bigram models: discounted pair counts, below them the class'
+continuation counts, below these the continuation counts of both classes together. So an expression that is rare in one class is
+smoothed by all that is known of it, and unseen words weigh the same in both. A text's score is the greatest length-normalised
+difference of the two log-likelihoods over all its spans of words, of any length, as a remark is a few words in a long text.
 
 Labels are given for whole documents and raters err, while a remark is one sentence of many. So training alternates: the
 ordinary model is fit on documents rated 0; in documents rated 1 the spans of words that such documents have more often, later
@@ -21,12 +21,15 @@ Null and empty texts score 0 and are never found; repeated texts score alike. Wi
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import sys
 import unicodedata
+import warnings
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +42,23 @@ from rookery.sources.tables import table
 #: Bound of the sample the models are fit on, in documents.
 MAX_LABELLED = 20_000
 DISCOUNT = 0.75
-#: Least weight of the lower order. Without it a word that is new after a frequent one counts as toxic, however plain.
-MIX = 0.3
 #: A word in fewer documents of the sample stands for any unknown word, so that both models learn where such words occur.
 KNOWN = 2
 ROUNDS = 4
 #: An assumption, not an estimate: labelled documents are picked by hand, and abusive ones are taken to be several times as frequent
 #: among them as in the corpus. Where they are no more frequent the cut is too high, where they are much more so too low.
 RARER = 4.0
-FOLDS = 3
-#: Spans of 2 to MOST words; a span's sum of differences is divided by its length plus PRIOR, so that a word or two cannot win alone.
-LEAST, MOST, PRIOR = 2, 14, 5.0
+FOLDS = 5
+#: Below as many labelled documents a fit warns: its scores are hardly better than chance.
+FEW = 100
+_LAST: dict[bytes, tuple] = {}
+#: Spans of at least 2 words; a span's sum of differences is divided by its length plus PRIOR, so that a word or two cannot win alone.
+LEAST, PRIOR = 2, 8.0
 
 _LEET = str.maketrans("013457@$!|+", "oieastasiit")
 _APART = re.compile(r"(?<![a-z0-9*])[a-z*]([ ._\-])(?:[a-z*]\1)+[a-z*](?![a-z0-9*])")
 _REPEAT = re.compile(r"([a-z])\1{2,}")
+_OTHER = re.compile(r"[^\x00-\x7f]+")
 _SPLIT = re.compile(r"[()\[\]{}<>=\"|]+")
 END = "</s>"
 
@@ -65,26 +70,28 @@ _FIRST = np.zeros(1, np.int64)
 Counts = tuple[np.ndarray, np.ndarray]
 
 
+@lru_cache(maxsize=1 << 16)
+def _folded(run: str) -> str:
+    t = unicodedata.normalize("NFKD", run).translate(_FOLD)
+    return "".join(c for c in t if c.isascii() or unicodedata.category(c) not in ("Mn", "Cf", "Me"))
+
+
 def folded(text: str) -> str:
     """Latin letters without accents and look-alikes, without invisible characters; case is kept."""
-    if text.isascii():
-        return text
-    t = unicodedata.normalize("NFKD", text)
-    low = t.translate(_FOLD)
-    return "".join(c for c in low if c.isascii() or unicodedata.category(c) not in ("Mn", "Cf", "Me"))
+    return text if text.isascii() else _OTHER.sub(lambda m: _folded(m[0]), text)
 
 
 def words(text: str) -> list[str]:
     """The tokens of a text; sentence ends are tokens too."""
     out: list[str] = []
-    for line in folded(text).replace("\r", "\n").split("\n"):
-        if _APART.search(low := line.lower()):
-            line = _APART.sub(_together, low)
-        for raw in _SPLIT.sub(" ", line).split():
-            core = raw.strip("\"'`()[]{}<>,.;:!?#>*“”‘’«»¿¡…-")
-            tail = raw[-1] in ".!?;:" or len(raw) > 1 and raw[-2] in ".!?"
-            if core:
-                out.append(_token(core))
+    t = folded(text).replace("\r", "\n")
+    if _APART.search(low := t.lower()):
+        t = "\n".join(_APART.sub(_together, x) if _APART.search(x) else line for line, x in zip(t.split("\n"), low.split("\n")))
+    for line in _SPLIT.sub(" ", t).split("\n"):
+        for raw in line.split():
+            token, tail = _read(raw)
+            if token:
+                out.append(token)
             if tail and out and out[-1] != END:
                 out.append(END)
         if out and out[-1] != END:
@@ -92,6 +99,13 @@ def words(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1 << 18)
+def _read(raw: str) -> tuple[str | None, bool]:
+    """The token of a word, and whether a sentence ends with it. Words repeat, so most are looked up."""
+    core = raw.strip("\"'`()[]{}<>,.;:!?#>*“”‘’«»¿¡…-")
+    return _token(core) if core else None, raw[-1] in ".!?;:" or len(raw) > 1 and raw[-2] in ".!?"
+
+
 def _together(m: re.Match) -> str:
     """Letters set apart as a word; a leading ``a`` or ``i`` before a space is a word of its own."""
     t = m[0].replace(m[1], "")
@@ -133,14 +147,14 @@ class Models:
         for k, n in (toxic, ordinary):
             c = np.zeros(len(keys))
             c[np.searchsorted(keys, k)] = n
-            uni = np.bincount(word, c, v)
+            uni = np.bincount(word, c > 0, v)  # continuation counts: after how many words it occurs
             types, all_ = (uni > 0).sum(), uni.sum()
             self.unigram.append((np.maximum(uni - DISCOUNT, 0) + DISCOUNT * types * self.low) / all_ if all_ else self.low)
             total, kinds = np.bincount(prev, c, v), np.bincount(prev[c > 0], minlength=v)
-            self.lam.append(MIX + (1 - MIX) * np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))
+            self.lam.append(np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))
             self.total.append(total)
             count.append(c)
-        p = [(1 - MIX) * np.maximum(c - DISCOUNT, 0) / np.maximum(t[prev], 1) + lam[prev] * u[word] for c, t, lam, u in zip(count, self.total, self.lam, self.unigram)]
+        p = [np.maximum(c - DISCOUNT, 0) / np.maximum(t[prev], 1) + lam[prev] * u[word] for c, t, lam, u in zip(count, self.total, self.lam, self.unigram)]
         self.keys, self.pairs, self.side = keys, np.log(p[0] / p[1]), p
         self.single, self.back = np.log(self.unigram[0] / self.unigram[1]), np.log(self.lam[0] / self.lam[1])
 
@@ -161,11 +175,20 @@ class Scorer:
     def __init__(self, index: dict[str, int], keys: np.ndarray, pairs: np.ndarray, single: np.ndarray, back: np.ndarray):
         self.index, self.keys, self.pairs, self.single, self.back = index, keys, pairs, single, back
 
+    def save(self, path: str, cut: float) -> None:
+        """Stores the model and its threshold as one file, so that scoring needs no labels."""
+        np.savez_compressed(path, words=np.array(list(self.index)), keys=self.keys, pairs=self.pairs, single=self.single, back=self.back, cut=cut)
+
+    @staticmethod
+    def load(path: str) -> tuple[Scorer, float]:
+        with np.load(path) as z:
+            return Scorer({w: i for i, w in enumerate(z["words"].tolist())}, z["keys"], z["pairs"], z["single"], z["back"]), float(z["cut"])
+
     def numbers(self, toks: list[str]) -> np.ndarray:
         get = self.index.get
         return np.fromiter((i if (i := get(w)) is not None else UNKNOWN_MASKED if "*" in w else UNKNOWN for w in toks), np.int64, len(toks))
 
-    def differences(self, ids: list[np.ndarray]) -> list[list[float]]:
+    def differences(self, ids: list[np.ndarray]) -> list[np.ndarray]:
         """log p_toxic - log p_ordinary of each token after the one before, for each text."""
         if not ids:
             return []
@@ -173,36 +196,62 @@ class Scorer:
         prev = np.concatenate([x for t in ids for x in (_FIRST, t[:-1]) if len(t)] or [np.empty(0, np.int64)])
         k = prev * len(self.index) + word
         at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        d = np.where(self.keys[at] == k, self.pairs[at], self.back[prev] + self.single[word]).tolist()
-        out, start = [], 0
-        for t in ids:
-            out.append(d[start : start + len(t)])
-            start += len(t)
-        return out
+        d = np.where(self.keys[at] == k, self.pairs[at], self.back[prev] + self.single[word])
+        return np.split(d, np.cumsum([len(t) for t in ids])[:-1])
 
     def scores(self, texts: list[list[str]]) -> list[float]:
-        return [max(0.0, best_span(d)[0]) for d in self.differences([self.numbers(t) for t in texts])]
-
-
-def best_span(diffs: list[float], least: int = LEAST, most: int = MOST, prior: float = PRIOR) -> tuple[float, int, int]:
-    """(score, begin, end) of the span with the greatest sum / (length + prior)."""
-    n = len(diffs)
-    best = (-9.0, 0, 0)
-    sums = [0.0]
-    for d in diffs:
-        sums.append(sums[-1] + d)
-    i = 0
-    while i < n:
-        if diffs[i] <= 0:  # the best span never begins with a word that speaks against it
-            i += 1
-            continue
-        s0 = sums[i]
-        for j in range(i + least, min(n, i + most) + 1):
-            v = (sums[j] - s0) / (j - i + prior)
-            if v > best[0]:
-                best = (v, i, j)
-        i += 1
-    return best
+        return np.maximum(best_spans(self.differences([self.numbers(t) for t in texts]))[0], 0.0).tolist()
+
+
+#: Texts whose spans are searched at once.
+CHUNK = 512
+
+
+def best_spans(diffs: list[np.ndarray], prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, begin, end) of each text's span of ``LEAST`` words or more, of any length, with the greatest sum / (length + prior); -9 without one.
+
+    A span begins with a word that speaks for it. The greatest ratio is found by raising a bound (Dinkelbach): the span with the greatest
+    sum - bound * (length + prior) gives the next bound, until none is above 0. Each step is a running minimum of prefix sums."""
+    parts = [_best_spans(diffs[i : i + CHUNK], prior) for i in range(0, len(diffs), CHUNK)] or [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))]
+    v, a, b = (np.concatenate(x) for x in zip(*parts))
+    return v, a, b
+
+
+def _best_spans(diffs: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(d) for d in diffs], np.int64)
+    score, begin, end = np.full(len(diffs), -9.0), np.zeros(len(diffs), np.int64), np.zeros(len(diffs), np.int64)
+    some = np.flatnonzero(size >= LEAST)
+    while len(some):
+        d = np.concatenate([diffs[i] for i in some]).astype(np.float64)
+        n = size[some]
+        first = np.r_[0, np.cumsum(n)[:-1]]
+        text = np.repeat(np.arange(len(some)), n)
+        x = d - np.maximum(score[some], 0.0)[text]
+        c = np.cumsum(x)
+        c -= np.repeat(c[first] - x[first], n)
+        before = c - x
+        before[d <= 0] = np.inf
+        span = float(c.max() - c.min()) + float(np.abs(x).max()) + 1.0
+        low = np.where(np.isinf(before), np.inf, before - text * span)
+        low[first] = np.minimum(low[first], (1 - text[first]) * span)  # a text's first value lies below all of the text before
+        low = np.minimum.accumulate(low)
+        at = np.maximum.accumulate(np.where(low == before - text * span, np.arange(len(d)), -1))
+        gain = np.full(len(d), -np.inf)
+        gain[1:] = c[1:] - (low[:-1] + text[1:] * span)
+        gain[first] = -np.inf
+        gain[1:][at[:-1] < first[text[1:]]] = -np.inf
+        best = np.maximum.reduceat(gain, first)
+        hit = np.flatnonzero(gain == best[text])
+        hit = hit[np.r_[True, text[hit][1:] != text[hit][:-1]]]
+        more = best - prior * np.maximum(score[some], 0.0) > 1e-7
+        hit = hit[more]
+        some, first = some[more], first[more]
+        if not len(some):
+            break
+        a, b = at[hit - 1], hit + 1
+        total = np.r_[0.0, np.cumsum(d)]
+        score[some], begin[some], end[some] = (total[b] - total[a]) / (b - a + prior), a - first, b - first
+    return score, begin, end
 
 
 def _counted(keys: list[np.ndarray]) -> Counts:
@@ -235,27 +284,29 @@ def fit(rated: list[tuple[list[str], float]], rounds: int = ROUNDS) -> Models |
     df = [_counted([np.unique(k) for k in side]) for side in (bad, clean)]
     dw = [_counted([np.unique(k % v) for k in side]) for side in (bad, clean)]
     odds = lambda x, y: np.log((x + 0.5) / (len(bad) + 1)) - np.log((y + 0.5) / (len(clean) + 1))
-    spans = [_toxic_spans((0.5 * (odds(_at(df[0], k), _at(df[1], k)) + odds(_at(dw[0], k % v), _at(dw[1], k % v))) - 0.2).tolist(), 0.4) for k in bad]
+    spans = toxic_spans([0.5 * (odds(_at(df[0], k), _at(df[1], k)) + odds(_at(dw[0], k % v), _at(dw[1], k % v))) - 0.2 for k in bad], 0.4)
     models = None
     for _ in range(rounds):
         # the rest of a document rated 1 may hold remarks not found yet, so it is no ordinary text
         toxic = _counted([k[a:b] for k, s in zip(bad, spans) for a, b in s])
         models = Models(words_, toxic, ordinary)
-        spans = [_toxic_spans(d) for d in models.scorer().differences([k % v for k in bad])]
+        spans = toxic_spans(models.scorer().differences([k % v for k in bad]))
     return models
 
 
-def _toxic_spans(d: list[float], least: float = 0.5) -> list[tuple[int, int]]:
-    """Spans above ``least``, best first, without overlap."""
-    d, out = list(d), []
-    while len(out) < 6:
-        v, a, b = best_span(d)
-        if v < least:
-            break
-        while b < len(d) and d[b] > 0.5:
-            b += 1
-        out.append((a, b))
-        d[a:b] = [-5.0] * (b - a)
+def toxic_spans(diffs: list[np.ndarray], least: float = 0.5) -> list[list[tuple[int, int]]]:
+    """All spans above ``least`` of each text, best first, without overlap."""
+    diffs, out = [np.array(d, np.float64) for d in diffs], [[] for _ in diffs]
+    left = list(range(len(diffs)))
+    while left:
+        v, a, b = best_spans([diffs[i] for i in left])
+        left, found = [i for i, x in zip(left, v) if x >= least], [(int(p), int(q)) for x, p, q in zip(v, a, b) if x >= least]
+        for i, (p, q) in zip(left, found):
+            d = diffs[i]
+            while q < len(d) and d[q] > 0.5:
+                q += 1
+            out[i].append((p, q))
+            d[p:q] = -5.0
     return out
 
 
@@ -304,9 +355,9 @@ def rated_documents(documents: DataFrame, labels: DataFrame, limit: int = MAX_LA
     return [once[k] for k in sorted(once)]
 
 
-def scored(documents: DataFrame, models: Models | None, keep: list[str], text: str = "text") -> DataFrame:
+def scored(documents: DataFrame, models: Models | Scorer | None, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` of every row; a narrow pass over the text."""
-    shared = documents.sparkSession.sparkContext.broadcast(models.scorer() if models else None)
+    shared = documents.sparkSession.sparkContext.broadcast(models.scorer() if isinstance(models, Models) else models)
     x = documents.select(*keep, F.col(text).cast("string").alias("_t"))
     schema = ", ".join(f"`{c}` {t}" for c, t in x.dtypes if c != "_t") + ", score double"
 
@@ -324,8 +375,21 @@ def rated_scores(spark, d: str, keep: list[str]) -> tuple[DataFrame, float]:
     """Scores of all documents and the threshold."""
     docs = table(spark, d, "documents")
     rated = rated_documents(docs, table(spark, d, "moderation_labels"))
-    models = fit(rated)
-    return scored(docs, models, keep), threshold(rated) if models else math.inf
+    models, cut = fitted(rated)
+    return scored(docs, models, keep), cut
+
+
+def fitted(rated: list[tuple[list[str], float]]) -> tuple[Models | None, float]:
+    """The models and their threshold. The last fit is kept, as several queries of one session use the same labels."""
+    key = hashlib.sha256(repr(rated).encode()).digest()
+    if key not in _LAST:
+        if 0 < len(rated) < FEW:
+            warnings.warn(f"abuse models from {len(rated)} labelled documents are weak; at least {FEW} are needed", stacklevel=2)
+        models = fit(rated)
+        got = models, threshold(rated) if models else math.inf
+        _LAST.clear()
+        _LAST[key] = got
+    return _LAST[key]
 
 
 def abusive_documents(spark, d: str) -> DataFrame:
