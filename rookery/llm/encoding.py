@@ -1,15 +1,16 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
-Short texts are encoded directly. A long text is encoded as a monoid: leaves of ``LEAF`` characters are encoded on their own
-and neighbours are joined up a balanced tree. An encoded stretch is the list of its pieces (the matches of the tokenizer's
-split pattern) with their token ids. Tokens never cross pieces, so a join has to repair pieces only:
-
-* left of the seam, the scan of the whole text equals the left one up to a match that ends before the stretch does with a
-  character behind it, as the pattern looks at most one character beyond a match and runs of one class end only where the
-  next character shows it (contractions need three characters from their begin). All pieces but the last few are kept.
-* the window from there on is scanned again, over a growing part of the right stretch, until a match begins where the right
-  scan began one too. From that place on both scans read the same characters from the same state, so all that follows is
-  stable. The window doubles until this is proven or the right stretch ends.
+A text is encoded as a monoid: leaves of ``LEAF`` characters are encoded by the library and neighbours are joined up a balanced
+tree. An encoded stretch is its list of token ids. The tokenizer splits a text into pieces by a pattern, and tokens never cross
+pieces. A place is a certain cut if no match of the pattern can cross it or look across it, whatever surrounds it: where a
+letter, number or sign is followed by another of these classes or by white space. There the ids of the two sides just follow
+each other. A join
+
+* searches the last certain cut before the seam and the first one behind it, in windows that double, encodes the text between the
+  two again and keeps all tokens outside: they lie beyond certain cuts, so nothing can change them;
+* where ``LONG`` characters of one class surround the seam, it lies inside a single piece: there tokens at the seam are merged
+  again over a growing window until the pairs at its ends are stable, which makes the whole piece stable. So one
+  endless word is not encoded again at each level. Anything else lets the first window grow to the stretch's ends.
 
 Decoding concatenates the tokens' bytes up the same tree and reads the result as UTF-8.
 
@@ -21,6 +22,7 @@ worker reads the file once; it is never shipped in a task nor copied.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,17 +35,13 @@ from rookery.sources.tables import table
 
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
-LEAF = 16_384
-#: A leaf is encoded as a whole by the library up to here; longer texts go through the tree.
-DIRECT = 2 * LEAF
+LEAF = 512
+#: Characters on each side of a seam that are searched for a certain cut before the seam is taken to lie inside one long run.
+LONG = 2048
 #: The split pattern that belongs to the vocabulary (a fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-#: Characters from a match's begin that decide whether it is a contraction.
-LONGEST = 3
-
-
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     """The tiktoken encoding of a ranks file."""
@@ -54,77 +52,94 @@ def tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=1)
-def _splitter():
-    import regex
-
-    return regex.compile(PATTERN)
-
-
-class Stretch:
-    """An encoded part of a text: where its pieces start (from the text's begin), their ids, and where it ends."""
-
-    __slots__ = ("begin", "end", "starts", "ids")
-
-    def __init__(self, begin: int, end: int, starts: list[int], ids: list[list[int]]):
-        self.begin, self.end, self.starts, self.ids = begin, end, starts, ids
+#: Characters whose class is beyond doubt in every version of Unicode; the apostrophe is left out, as it may begin a contraction.
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_N, _S = "0-9", r" \t\n\r"
+_P = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~") + "\u3001\u3002\uff0c\uff01\uff1f"
+#: No match of the split pattern goes on across these places, nor looks across them: letters, numbers and signs are never in one
+#: match, and white space is never behind any of them.
+_CUT = re.compile(f"(?<=[{_L}])(?=[{_N}{_P}{_S}'])|(?<=[{_N}])(?=[{_L}{_P}{_S}'])|(?<=[{_P}])(?=[{_L}{_N}{_S}])|(?<=')(?=[{_N}{_S}])")
+_SAME = re.compile(f"[{_L}]+|[{_N}]+|[{_P}]+|[{_S}]+")
 
 
-def _scan(text: str, begin: int, end: int, piece) -> tuple[list[int], list[list[int]]]:
-    starts, ids = [], []
-    for m in _splitter().finditer(text[begin:end]):
-        starts.append(begin + m.start())
-        ids.append(piece(m.group()))
-    return starts, ids
-
-
-def encode_leaf(text: str, begin: int, end: int, piece) -> Stretch:
-    return Stretch(begin, end, *_scan(text, begin, end, piece))
-
-
-def join(text: str, left: Stretch, right: Stretch, piece) -> Stretch:
-    """The stretch over both; see the module's text for why nothing outside the window can differ."""
-    keep = len(left.starts)
-    while keep and (_end(left, keep - 1) >= left.end or left.starts[keep - 1] + LONGEST > left.end):
-        keep -= 1  # it touches the seam, or a contraction could begin there
-    from_ = _end(left, keep - 1) if keep else left.begin
-    width = 64
-    known = {s: i for i, s in enumerate(right.starts)}
+def _cut_before(text: str, begin: int, seam: int, most: int) -> int | None:
+    """The last certain cut in (begin, seam], or begin; none if ``most`` characters hold none."""
+    width = 16
     while True:
-        to = min(right.end, right.begin + width)
-        starts, ids = _scan(text, from_, to, piece)
-        for j, s in enumerate(starts):
-            if s in known and (to == right.end or j == 0 or starts[j - 1] + LONGEST <= to):
-                i = known[s]  # every match before s ended inside the window, with a character behind it
-                return Stretch(left.begin, right.end, left.starts[:keep] + starts[:j] + right.starts[i:], left.ids[:keep] + ids[:j] + right.ids[i:])
-        if to == right.end:
-            return Stretch(left.begin, right.end, left.starts[:keep] + starts, left.ids[:keep] + ids)
+        a = max(begin, seam - width)
+        at = [m.start() for m in _CUT.finditer(text[a : seam + 1])]
+        if at and a + at[-1] > begin:
+            return a + at[-1]
+        if a == begin:
+            return begin
+        if width >= most:
+            return None
         width *= 2
 
 
-def _end(s: Stretch, i: int) -> int:
-    return s.starts[i + 1] if i + 1 < len(s.starts) else s.end
-
-
-def encode_tree(text: str, encoding, leaf: int = LEAF) -> list[int]:
-    """Token ids by the tree of joins."""
-    cache: dict[str, list[int]] = {}
+def _cut_after(text: str, seam: int, end: int, most: int) -> int | None:
+    """The first certain cut in [seam, end), or end; none if ``most`` characters hold none."""
+    width = 16
+    while True:
+        b = min(end, seam + width)
+        m = _CUT.search(text[seam - 1 : b])
+        if m:
+            return seam - 1 + m.start()
+        if b == end:
+            return end
+        if width >= most:
+            return None
+        width *= 2
 
-    def piece(t: str) -> list[int]:
-        got = cache.get(t)
-        if got is None:
-            got = encoding._encode_single_piece(t)
-            if len(t) < 64 and len(cache) < 200_000:
-                cache[t] = got
-        return got
 
-    def build(begin: int, end: int) -> Stretch:
+def join(text: str, begin: int, seam: int, end: int, left: list[int], right: list[int], encoding, long: int = LONG) -> list[int]:
+    """The ids of text[begin:end] from those of both parts; see the module's text for why nothing outside the window can differ."""
+    a, b = _cut_before(text, begin, seam, long), _cut_after(text, seam, end, long)
+    if a == seam or b == seam:
+        return left + right
+    if (a is None or b is None) and begin + long < seam < end - long and _SAME.fullmatch(text, seam - long, seam + long):
+        got = _join_inside(text[seam - long : seam], text[seam : seam + long], left, right, encoding)
+        if got is not None:
+            return got
+    most = end - begin
+    a = _cut_before(text, begin, seam, most) if a is None else a
+    b = _cut_after(text, seam, end, most) if b is None else b
+    encode_ = encoding.encode_ordinary
+    keep = len(left) - len(encode_(text[a:seam])) if a > begin else 0
+    drop = len(encode_(text[seam:b])) if b < end else len(right)
+    return left[:keep] + encode_(text[a:b]) + right[drop:]
+
+
+def _join_inside(before: str, after: str, left: list[int], right: list[int], encoding) -> list[int] | None:
+    """A join inside one piece: tokens at the seam are merged again over a growing window, until its ends are stable.
+
+    A sequence of tokens is the byte-pair encoding of its bytes if each two neighbours are that of theirs; left, right and the window
+    are, so only the two pairs at the window's ends have to be looked at. None if the window would leave ``before`` or ``after``."""
+    single, bytes_ = encoding._encode_single_piece, encoding.decode_single_token_bytes
+    room = len(before.encode()) - 8, len(after.encode()) - 8
+    n = 4
+    while n < min(len(left), len(right)):
+        x, y = b"".join(map(bytes_, left[-n:])), b"".join(map(bytes_, right[:n]))
+        if len(x) + len(bytes_(left[-n - 1])) > room[0] or len(y) + len(bytes_(right[n])) > room[1]:
+            return None
+        window = single(x + y)
+        stable = lambda u, v: single(bytes_(u) + bytes_(v)) == [u, v]
+        if stable(left[-n - 1], window[0]) and stable(window[-1], right[n]):
+            return left[:-n] + window + right[n:]
+        n *= 2
+    return None
+
+
+def encode_tree(text: str, encoding, leaf: int = LEAF, long: int = LONG) -> list[int]:
+    """Token ids by the tree of joins; a text of one leaf is a tree without joins."""
+
+    def build(begin: int, end: int) -> list[int]:
         if end - begin <= leaf:
-            return encode_leaf(text, begin, end, piece)
+            return encoding.encode_ordinary(text[begin:end])
         middle = (begin + end) // 2
-        return join(text, build(begin, middle), build(middle, end), piece)
+        return join(text, begin, middle, end, build(begin, middle), build(middle, end), encoding, long)
 
-    return [i for ids in build(0, len(text)).ids for i in ids] if text else []
+    return build(0, len(text)) if text else []
 
 
 def decode_tree(ids: list[int], encoding) -> bytes:
@@ -135,10 +150,8 @@ def decode_tree(ids: list[int], encoding) -> bytes:
     return decode_tree(ids[:middle], encoding) + decode_tree(ids[middle:], encoding)
 
 
-def encode(text: str | None, encoding, leaf: int = LEAF, direct: int = DIRECT) -> list[int]:
-    if not text:
-        return []
-    return encoding.encode_ordinary(text) if len(text) <= direct else encode_tree(text, encoding, leaf)
+def encode(text: str | None, encoding, leaf: int = LEAF) -> list[int]:
+    return encode_tree(text, encoding, leaf) if text else []
 
 
 def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, name: str = NAME) -> DataFrame:

@@ -18,9 +18,25 @@ def test_tree_equals_whole(text, leaf):
     want = enc.encode_ordinary(text)
     text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     assert E.encode_tree(text, enc, leaf) == want
+    assert E.encode_tree(text, enc, leaf, 4) == want
     assert E.decode_tree(want, enc).decode() == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aeinrst日本é", min_size=40, max_size=400), st.integers(8, 40), st.integers(8, 40))
+def test_joins_inside_one_piece(text, leaf, long):
+    enc = E.tokenizer(PATH)
+    assert E.encode_tree(text, enc, leaf, long) == enc.encode_ordinary(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="a1 '\n\t.,;sreé_", min_size=1, max_size=200), st.data())
+def test_certain_cuts_are_cuts(text, data):
+    enc = E.tokenizer(PATH)
+    for m in E._CUT.finditer(text):
+        assert enc.encode_ordinary(text[: m.start()]) + enc.encode_ordinary(text[m.start() :]) == enc.encode_ordinary(text)
+
+
 def test_same_as_the_other_library():
     from tokenizers import Tokenizer
 
@@ -34,6 +50,7 @@ def test_long_runs():
     enc = E.tokenizer(PATH)
     for x in ("a" * 100_000, " " * 70_000 + "x", "\n" * 50_000, "ab'll " * 20_000):
         assert E.decode_tree(E.encode(x, enc), enc).decode() == x
+        assert E.encode(x, enc) == enc.encode_ordinary(x)
     x = "word's 12 — " * 9_000
     assert E.encode(x, enc) == enc.encode_ordinary(x)
 
