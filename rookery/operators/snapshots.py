@@ -1,13 +1,14 @@
 """What changed between full snapshots, from a bucketed key-to-hash index.
 
-A snapshot's index holds one row per key: the key and a 64-bit hash of the compared columns, never the values. A new
-snapshot is probed against the index of the last one by key: a key without partner was added or removed, another hash
-means changed. Only for those keys are the old values fetched, then the new index takes the old one's place.
+A snapshot's index holds one row per key: the key and a 64-bit hash of the compared columns, never the values. ``SnapshotStore`` keeps
+the index of the last snapshot as a table bucketed by key. A new snapshot is probed against it bucket by bucket: a key without
+partner was added or removed, another hash means changed. The same pass writes the next index, with the changes in it, and
+then the indexes are swapped. Only for changed keys are values fetched.
 
-Two uses share this. ``SnapshotStore`` keeps the index on disk in hash buckets and takes one snapshot after the other.
-``delivered_changes`` replays whole histories at once: all indexes lie in one table, shuffled once by (root, key), and the
-probe of each snapshot is a look at the neighbouring row of the same key; no snapshot is joined with another. A root with
-a third of all rows is spread by its keys.
+``delivered_changes`` replays whole histories: payloads are read and hashed once, and the deliveries go through one store in generations,
+the first snapshots of all directories together, then all second ones, and so on. A generation moves its own hashes once, into
+the buckets; the index never moves. Buckets take (directory, key), so a directory with a third of all rows is spread by its keys. Their
+number follows the size of the hashes.
 
 Hashes are compared only between two versions of one key, so a change is missed with probability 2^-64.
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.text import root_path
-from rookery.sources.tables import table, written
+from rookery.sources.tables import new_folder, table, written
 
 SCALARS = ("kind", "symbol", "path", "module", "language", "signature", "parser_mode", "semantic_fingerprint")
 SETS = ("calls", "imports")
@@ -78,22 +79,26 @@ def snapshot_order(index: DataFrame) -> DataFrame:
 
 def delivered_changes(snapshots: DataFrame) -> DataFrame:
     """root, snapshot_id (the later one), unit_id, change_type and the delivery ids of both versions (null where there is none)."""
+    spark = snapshots.sparkSession
     index = written(hash_index(parsed_units(snapshots)), "unit-index")
-    order = snapshot_order(index)
-    rows = index.select("id", F.posexplode("entries").alias("pos", "e")).join(order, "id")
-    rows = rows.select("root", F.col("e.unit_id").alias("unit_id"), F.col("e.h").alias("h"), "seq", "pos", "id", "snapshot_id", "next_snapshot", "next_id")
-    w = Window.partitionBy("root", "unit_id").orderBy("seq", "pos")
-    rows = rows.withColumn("again", F.lead("seq").over(w)).where("again is null or again <> seq")
-    probe = rows.withColumn("before", F.lag(F.struct("seq", "h", "id")).over(w))
-    had = (F.col("before.seq") == F.col("seq") - 1) & F.col("before").isNotNull()
-    came = F.when((F.col("seq") > 1) & (F.col("before").isNull() | ~had), "added").when(had & (F.col("before.h") != F.col("h")), "changed")
-    gone = F.when(F.col("next_snapshot").isNotNull() & (F.col("again").isNull() | (F.col("again") > F.col("seq") + 1)), "removed")
-    none = F.lit(None).cast("bigint")
-    cases = F.array(
-        F.struct(F.col("snapshot_id").alias("snapshot_id"), came.alias("change_type"), F.when(had, F.col("before.id")).otherwise(none).alias("old_id"), F.col("id").cast("bigint").alias("new_id")),
-        F.struct(F.col("next_snapshot").alias("snapshot_id"), gone.alias("change_type"), F.col("id").cast("bigint").alias("old_id"), none.alias("new_id")),
-    )
-    return probe.select("root", "unit_id", F.inline(F.filter(cases, lambda c: c["change_type"].isNotNull())))
+    order = snapshot_order(index).withColumnRenamed("id", "ref").withColumnRenamed("root", "scope")
+    held = index.select(F.col("id").alias("ref"), "entries").join(order, "ref").select("seq", "scope", "ref", "snapshot_id", "next_snapshot", "entries")
+    entries = written(held, "unit-generations", by=["seq"])
+    generations = entries.agg(F.max("seq")).first()[0] or 0
+    store = SnapshotStore(spark, new_folder(spark, "unit-store"), buckets=bucket_count(entries))
+    for seq in range(1, generations + 1):
+        one = entries.where(F.col("seq") == seq).select("scope", "ref", "snapshot_id", "next_snapshot", F.posexplode("entries").alias("pos", "e"))
+        last = F.max_by(F.struct(F.col("e.h").alias("h"), "ref", "snapshot_id", "next_snapshot"), "pos")
+        rows = one.select("scope", F.col("e.unit_id").alias("k"), "*").repartition(store.buckets, "scope", "k").groupBy("scope", "k").agg(last.alias("v")).select("scope", "k", "v.*")
+        store.probe(rows, F.col("next_snapshot").isNotNull(), first=seq == 1)
+    got = store.all_changes()
+    return got.select(F.col("scope").alias("root"), "snapshot_id", F.col("k").alias("unit_id"), "change_type", F.col("old_ref").alias("old_id"), F.when(F.col("change_type") != "removed", F.col("ref")).alias("new_id"))
+
+
+def bucket_count(entries: DataFrame, size: int = 64 << 20) -> int:
+    """Buckets of about ``size`` bytes of stored hashes, one for each core at least."""
+    stored = int(str(entries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(20_000, max(entries.sparkSession.sparkContext.defaultParallelism, -(-stored // size)))
 
 
 def changed_fields(snapshots: DataFrame) -> DataFrame:
@@ -117,15 +122,18 @@ def changed_fields(snapshots: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """The index of the last snapshot of any keyed table, as a bucketed and sorted table below ``folder``.
+    """The index of the last snapshot of a keyed table, as versions of a bucketed and sorted table below ``folder``.
 
-    ``apply`` derives the changes of a new full snapshot and swaps the indexes. Only the new snapshot's hashes are shuffled, once,
-    into the buckets; the probe joins bucket with bucket and moves nothing. A version folder is complete before the pointer
-    file names it, so a job lost halfway leaves the old index in force and can be run again. All snapshots of a store need the
-    same number of ``buckets``.
+    A version has a row per key: scope (a part of the table that has snapshots of its own; '' where there is one only), k, h, ref (what the
+    values can be fetched by), snapshot_id, next_snapshot, and change_type and old_ref where the key differs from the version before. Rows
+    with a hash are the index; removed keys have none and are gone with the next version. So index and changes are one write: a version
+    is complete before the pointer file names it, a job lost before that leaves the old version in force and is run again, and one lost
+    after it finds the changes in the version. All versions of a store have the same number of ``buckets``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, scalars: Sequence[str], sets: Sequence[str] = (), buckets: int = 64):
+    COLUMNS = "scope string, k string, h bigint, ref bigint, snapshot_id string, next_snapshot string, change_type string, old_ref bigint"
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "k", scalars: Sequence[str] = (), sets: Sequence[str] = (), buckets: int = 64):
         self.spark, self.folder, self.key, self.scalars, self.sets, self.buckets = spark, folder.rstrip("/"), key, list(scalars), list(sets), buckets
 
     def _fs(self):
@@ -134,7 +142,7 @@ class SnapshotStore:
         return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        """The number of the index in force; 0 before the first snapshot."""
+        """The number of the version in force; 0 before the first snapshot."""
         jvm, fs = self._fs()
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
@@ -143,34 +151,69 @@ class SnapshotStore:
     def _name(self, version: int) -> str:
         return f"rookery_index_{hashlib.sha1(self.folder.encode()).hexdigest()[:16]}_{version}"
 
-    def index(self, version: int | None = None) -> DataFrame | None:
-        """(k, h) of a version, by default the one in force; a new session registers the stored files again."""
+    def _stored(self, version: int) -> DataFrame:
+        """A version's table; a new session registers the stored files again."""
+        self.spark.sql(f"create table if not exists {self._name(version)} ({self.COLUMNS}) using parquet clustered by (scope, k) sorted by (scope, k) into {self.buckets} buckets location '{self.folder}/v{version}'")
+        return self.spark.table(self._name(version))
+
+    def index(self, version: int | None = None) -> DataFrame:
+        """The keys and hashes of a version, by default the one in force; empty before the first snapshot."""
+        v = self.version() if version is None else version
+        return self._stored(v).where("h is not null") if v else self.spark.createDataFrame([], self.COLUMNS)
+
+    def changes(self, version: int | None = None) -> DataFrame:
+        """The keys that a version changed, by default the one in force."""
         v = self.version() if version is None else version
-        if not v:
-            return None
-        self.spark.sql(f"create table if not exists {self._name(v)} (k string, h bigint) using parquet clustered by (k) sorted by (k) into {self.buckets} buckets location '{self.folder}/v{v}'")
-        return self.spark.table(self._name(v))
+        return (self._stored(v) if v else self.index(0)).where("change_type is not null")
+
+    def all_changes(self) -> DataFrame:
+        """The changes of all versions that are kept."""
+        paths = [f"{self.folder}/v{v}" for v in range(1, self.version() + 1)]
+        rows = self.spark.read.schema(self.COLUMNS).parquet(*paths) if paths else self.index(0)
+        return rows.where("change_type is not null")
 
     def hashed(self, snapshot: DataFrame) -> DataFrame:
-        """k, h of a snapshot; null keys are left out, of repeated keys the highest hash holds."""
+        """The rows to probe with; null keys are left out, of repeated keys the highest hash holds as rows of a table have no order."""
+        # the scope is no literal, which the planner would drop from the join's keys
         h = value_hash([F.col(c).cast("string") for c in self.scalars], [F.col(c) for c in self.sets])
-        x = snapshot.select(F.col(self.key).cast("string").alias("k"), h.alias("h")).where("k is not null")
-        return x.groupBy("k").agg(F.max("h").alias("h"))
+        x = snapshot.select(F.substring(F.col(self.key).cast("string"), 1, 0).alias("scope"), F.col(self.key).cast("string").alias("k"), h.alias("h")).where("k is not null").repartition(self.buckets, "scope", "k")
+        none = F.lit(None).cast("string")
+        return x.groupBy("scope", "k").agg(F.max("h").alias("h")).select("*", F.lit(None).cast("bigint").alias("ref"), none.alias("snapshot_id"), none.alias("next_snapshot"))
 
     def apply(self, snapshot: DataFrame) -> DataFrame:
-        """(k, change_type) against the index in force; the first snapshot has no changes. The new index is then in force."""
+        """(k, change_type) of a full snapshot against the index in force; the first one has no changes. Its index is then in force; the one
+        before is kept until the next snapshot, so that old values can be looked up."""
+        v = self.probe(self.hashed(snapshot), F.lit(True), first=not self.version())
+        jvm, fs = self._fs()
+        for old in range(1, v - 1):
+            self.spark.sql(f"drop table if exists {self._name(old)}")
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{old}"), True)
+        return self.changes(v).select("k", "change_type")
+
+    def probe(self, rows: DataFrame, delivered: Column, first: bool = False) -> int:
+        """Writes and swaps in the version after the one in force. ``rows`` are partitioned by (scope, k) into the store's buckets; ``delivered``
+        says of a row of the old index whether its scope has a new snapshot, the other scopes' rows stay as they are."""
         v = self.version()
-        old, name = self.index(v), self._name(v + 1)
+        # an empty side of the same buckets keeps the plan of the first version like that of the others
+        old = self.index(v).select("scope", "k", F.col("h").alias("h0"), F.col("ref").alias("ref0"), F.col("snapshot_id").alias("s0"), F.col("next_snapshot").alias("n0"), delivered.alias("again"))
+        both = old.join(rows.hint("merge"), ["scope", "k"], "full_outer")
+        came, had = F.col("h").isNotNull(), F.col("h0").isNotNull()
+        gone, stays = ~came & F.col("again"), ~came & ~F.col("again")
+        kind = F.when(gone, "removed").when(came & had & (F.col("h") != F.col("h0")), "changed").when(came & ~had & F.lit(not first), "added")
+        keep = lambda new, before: F.when(stays, F.col(before)).otherwise(F.col(new)).alias(new)
+        out = both.select(
+            "scope", "k", keep("h", "h0"), keep("ref", "ref0"), F.when(gone, F.col("n0")).otherwise(F.when(stays, F.col("s0")).otherwise(F.col("snapshot_id"))).alias("snapshot_id"),
+            keep("next_snapshot", "n0"), kind.alias("change_type"), F.when(kind.isin("removed", "changed"), F.col("ref0")).alias("old_ref"),
+        )
+        name = self._name(v + 1)
         self.spark.sql(f"drop table if exists {name}")
-        self.hashed(snapshot).repartition(self.buckets, "k").write.mode("overwrite").bucketBy(self.buckets, "k").sortBy("k").option("path", f"{self.folder}/v{v + 1}").saveAsTable(name)
-        new = self.index(v + 1)
+        out.write.mode("overwrite").bucketBy(self.buckets, "scope", "k").sortBy("scope", "k").option("path", f"{self.folder}/v{v + 1}").saveAsTable(name)
+        self._swap(v + 1)
+        return v + 1
+
+    def _swap(self, version: int) -> None:
         jvm, fs = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/live-{v + 1}"), True).close()
-        if old is None:
-            return self.spark.createDataFrame([], "k string, change_type string")
-        both = old.alias("o").join(new.hint("merge").alias("n"), "k", "full_outer")
-        kind = F.when(F.col("o.h").isNull(), "added").when(F.col("n.h").isNull(), "removed").when(F.col("o.h") != F.col("n.h"), "changed")
-        return both.select("k", kind.alias("change_type")).where("change_type is not null")
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/live-{version}"), True).close()
 
     def values(self, snapshot: DataFrame, changes: DataFrame) -> DataFrame:
         """The rows of ``snapshot`` (old or new) whose keys changed; nothing else is kept of it."""

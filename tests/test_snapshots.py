@@ -87,13 +87,46 @@ def test_store_swaps_indexes(spark, tmp_path):
     two = df([("a", "2", [], "", ""), ("b", None, ["x", "y", "y"], "", ""), ("c", "", None, "", "")])
     changes = store.apply(two)
     assert sorted(tuple(r) for r in changes.collect()) == [("a", "changed"), ("c", "added")]
-    assert "Exchange" not in changes._jdf.queryExecution().executedPlan().toString()  # buckets meet where they lie
+    assert sorted(tuple(r) for r in store.changes().select("k", "change_type").collect()) == [("a", "changed"), ("c", "added")]  # they stay with the version
     spark.sql(f"drop table {store._name(2)}")  # a new session knows the files only
     assert store.index().count() == 3
     assert [r["v"] for r in store.values(one, changes.where("change_type = 'changed'")).collect()] == ["1"]
     assert sorted(tuple(r) for r in store.apply(df([])).collect()) == [("a", "removed"), ("b", "removed"), ("c", "removed")]
 
 
+def test_a_job_lost_before_the_swap_is_run_again(spark, tmp_path, monkeypatch):
+    store = S.SnapshotStore(spark, str(tmp_path / "lost"), "k", ["v"], buckets=2)
+    df = lambda rows: spark.createDataFrame(rows, "k string, v string")
+    store.apply(df([("a", "1"), ("b", "1")]))
+
+    def lost(version):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_swap", lost)
+        try:
+            store.apply(df([("a", "2")]))
+        except RuntimeError:
+            pass
+    assert store.version() == 1 and store.index().count() == 2
+    again = S.SnapshotStore(spark, str(tmp_path / "lost"), "k", ["v"], buckets=2)
+    want = [("a", "changed"), ("b", "removed")]
+    assert sorted(tuple(r) for r in again.apply(df([("a", "2")])).collect()) == want
+    after = S.SnapshotStore(spark, str(tmp_path / "lost"), "k", ["v"], buckets=2)  # lost behind the swap, before the changes were read
+    assert after.version() == 2 and sorted(tuple(r) for r in after.changes().select("k", "change_type").collect()) == want
+    for n in range(3, 6):
+        assert [tuple(r) for r in after.apply(df([("a", str(n))])).collect()] == [("a", "changed")]
+    assert sorted(x.name for x in (tmp_path / "lost").iterdir() if x.name.startswith("v")) == ["v4", "v5"]
+
+
+def test_the_index_stays_in_its_buckets(spark, tmp_path):
+    store = S.SnapshotStore(spark, str(tmp_path / "put"), "k", ["v"], buckets=3)
+    rows = store.hashed(spark.createDataFrame([(str(i), "1") for i in range(50)], "k string, v string"))
+    store.probe(rows, F.lit(True), first=True)
+    both = store.index().select("scope", "k", "h").join(rows.hint("merge"), ["scope", "k"], "full_outer")
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the new rows only
+
+
 def test_root_paths(spark):
     x = spark.createDataFrame([("/a//b/",), ("/a/./b",), ("\\a\\b",), ("/a/././/b/.",), ("/",), (None,)], "p string")
     assert [r[0] for r in x.select(root_path(F.col("p"))).collect()] == ["/a/b"] * 4 + ["/", None]
