@@ -1,14 +1,16 @@
 """Exact distinct counts over identifier sets by bucketed, compressed bitmaps.
 
-Identifiers are dictionary-encoded to dense integers: hashed into buckets, and numbered from 0 inside each bucket by a
-window over the bucket, so that no task numbers all of them. A set's bitmap is kept as its non-zero 64-bit words: rows
-(kind, bucket, word, bits). Sparse sets so take a row per occupied word, dense ones one row per 64 identifiers, and OR is
-``bit_or`` in a grouped aggregation with a map-side pass, AND a join of words. All steps after the numbering are keyed by
-the bucket first; only counts leave it. The error is zero.
-
-Words of single days (``day_words``) are the partial results: they can be stored, and ORed over days, surfaces and tenants.
-They may be combined as long as they were encoded by one dictionary; ``extend_dictionary`` numbers new identifiers behind
-the known ones of their bucket, so later days leave older words valid.
+A dictionary numbers every distinct identifier once, with dense 64-bit integers. It orders identifiers by where they were first seen (day,
+tenant, surface), so those that occur together lie together and the bitmaps of groups become dense. The order comes from a
+range partitioning, which follows the data's size and splits hot tenants and days, so no task numbers all identifiers. The
+upper 48 bits of a number are its container of 65,536 numbers (``bucket``), the lower 16 the place in it. A set's bitmap is kept
+as the non-zero 64-bit words of its containers: rows (kind, bucket, word, bits). Sparse containers so take a row per occupied
+word, dense ones one row per 64 identifiers; OR is ``bit_or`` in a grouped aggregation with a map-side pass, AND a join of words. All
+steps are keyed by the bucket; only counts leave it. The error is zero.
+
+Words of single days (``day_words``) are the partial results: they can be stored, and ORed over days, surfaces and tenants, as long as
+they were encoded by one dictionary. ``encode_run`` takes the dictionary of earlier runs and numbers new identifiers behind its
+last container, so stored words stay valid.
 
 Skew: rows are first reduced to distinct (identifier, day, surface, tenant), with a map-side pass, so an identifier with a
 third of all rows costs a few rows per task. Null identifiers, and empty ones, are none. Null tenants belong to no tenant
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.text import label
@@ -28,42 +30,45 @@ from rookery.sources.tables import table, written
 
 KINDS = {"actor": "actor_id", "session": "session_id"}
 DIMS = ("day", "surface", "tenant_id")
-BUCKETS = 256
+DICTIONARY = "kind string, ident string, id bigint"
 
 
-def memberships(events: DataFrame, kinds: dict[str, str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Distinct (kind, bucket, ident, day, surface, tenant_id) of valid identifiers."""
+def memberships(events: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Distinct (kind, ident, day, surface, tenant_id) of valid identifiers."""
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("ident")) for k, c in (kinds or KINDS).items()])
     rows = events.select(F.to_date("occurred_at").alias("day"), label("surface").alias("surface"), "tenant_id", F.inline(F.filter(each, lambda e: e["ident"].isNotNull() & (e["ident"] != ""))))
-    return rows.distinct().withColumn("bucket", F.pmod(F.xxhash64("ident"), F.lit(buckets)).cast("int"))
-
-
-def encoded(rows: DataFrame) -> DataFrame:
-    """``rows`` with the dense ``number`` of each identifier inside its (kind, bucket)."""
-    return rows.withColumn("number", F.dense_rank().over(Window.partitionBy("kind", "bucket").orderBy("ident")) - 1)
+    return rows.distinct()
 
 
-def dictionary(rows: DataFrame) -> DataFrame:
-    """(kind, bucket, ident, number), to be kept where partial results of different times are to be combined."""
-    return encoded(rows.select("kind", "bucket", "ident").distinct())
+def dictionary(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(kind, ident, id) of the identifiers of ``rows``; with ``known``, its rows and behind them the identifiers it lacks.
 
-
-def extend_dictionary(known: DataFrame, rows: DataFrame) -> DataFrame:
-    """The dictionary with the identifiers of ``rows`` it lacks, numbered behind the known ones of their bucket."""
-    fresh = encoded(rows.select("kind", "bucket", "ident").distinct().join(known, ["kind", "bucket", "ident"], "left_anti"))
-    used = known.groupBy("kind", "bucket").agg((F.max("number") + 1).alias("used"))
-    shifted = fresh.join(used, ["kind", "bucket"], "left").select("kind", "bucket", "ident", (F.col("number") + F.coalesce("used", F.lit(0))).alias("number"))
-    return known.select("kind", "bucket", "ident", "number").unionByName(shifted)
+    The result is stored, as the numbers depend on how the ranges were cut."""
+    first = rows.groupBy("kind", "ident").agg(F.min(F.struct("day", "tenant_id", "surface")).alias("first"))
+    fresh = first if known is None else first.join(known, ["kind", "ident"], "left_anti")
+    order = ["kind", F.col("first.day"), F.col("first.tenant_id"), F.col("first.surface"), "ident"]
+    numbered = fresh.repartitionByRange(*order).sortWithinPartitions(*order).select("kind", "ident", F.monotonically_increasing_id().alias("id"))
+    if known is None:
+        return written(numbered, "dictionary")
+    behind = known.agg(((F.shiftright(F.coalesce(F.max("id"), F.lit(-1)), 16) + 1) * 65536).alias("behind")).first()[0]
+    return written(known.select("kind", "ident", "id").unionByName(numbered.withColumn("id", F.col("id") + behind)), "dictionary")
 
 
 def words(numbered: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """The bitmaps of the finest groups, by word: kind, bucket, dims, word, bits."""
-    return numbered.groupBy("kind", "bucket", *dims, F.expr("shiftright(number, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, number & 63)")).alias("bits"))
+    return numbered.groupBy("kind", F.shiftright("id", 16).alias("bucket"), *dims, F.expr("cast(shiftright(id, 6) & 1023 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("bits"))
+
+
+def encode_run(events: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The partial results by day, surface and tenant of some events, and the dictionary they and those of earlier runs share."""
+    rows = written(memberships(events), "memberships")
+    numbers = dictionary(rows, known)
+    return words(rows.join(numbers, ["kind", "ident"])), numbers
 
 
-def day_words(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Partial results by day, surface and tenant."""
-    return words(encoded(memberships(events, buckets=buckets)))
+def day_words(events: DataFrame) -> DataFrame:
+    """Partial results by day, surface and tenant, under a dictionary of their own."""
+    return encode_run(events)[0]
 
 
 def merged(partial: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -106,16 +111,16 @@ def cube_counts(partial: DataFrame) -> DataFrame:
 
 
 def distinct_cube(spark, d: str) -> DataFrame:
-    """p4_distinct. The partial results are stored once; all combinations are made of them, so rows are numbered once."""
+    """p4_distinct. The partial results are stored once; all combinations are made of them."""
     return cube_counts(written(day_words(table(spark, d, "semantic_usage_events")), "day-words"))
 
 
 def shared_between_surfaces(spark, d: str) -> DataFrame:
     """p4_shared: identifiers seen on both of two surfaces, by AND of their bitmaps."""
-    by = merged(written(day_words(table(spark, d, "semantic_usage_events")), "day-words"), ["surface"]).where("surface is not null")
-    a, b = by.withColumnRenamed("surface", "surface_a"), by.select("kind", "bucket", "word", F.col("surface").alias("surface_b"), F.col("bits").alias("_b"))
-    x = a.join(b, ["kind", "bucket", "word"]).where("surface_a < surface_b").withColumn("bits", F.col("bits").bitwiseAND(F.col("_b")))
-    return counted(x.where("bits <> 0"), ["surface_a", "surface_b"]).withColumnRenamed("n", "n_shared")
+    by = merged(day_words(table(spark, d, "semantic_usage_events")), ["surface"]).where("surface is not null")
+    each = by.groupBy("kind", "bucket", "word").agg(F.array_sort(F.collect_list(F.struct("surface", "bits"))).alias("s"))  # a word has as many entries as there are surfaces
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["surface"] > a["surface"]), lambda b: F.struct(a["surface"].alias("surface_a"), b["surface"].alias("surface_b"), a["bits"].bitwiseAND(b["bits"]).alias("bits")))))
+    return counted(each.select("kind", F.inline(pairs)).where("bits <> 0"), ["surface_a", "surface_b"]).withColumnRenamed("n", "n_shared")
 
 
 _GROUPS = [("day+surface+tenant", 1, 1, 1), ("day+surface", 1, 1, 0), ("day+tenant", 1, 0, 1), ("surface+tenant", 0, 1, 1), ("day", 1, 0, 0), ("surface", 0, 1, 0), ("tenant", 0, 0, 1), ("all", 0, 0, 0)]

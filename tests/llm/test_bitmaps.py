@@ -33,23 +33,33 @@ def test_against_sets(spark):
     rnd = random.Random(4)
     pick = lambda *xs: rnd.choice(xs)
     rows = [(pick(None, dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 2, 3)), pick(None, "mcp", " MCP", "http"), pick(None, "t1", "t2"), pick(None, "", "hot", f"a{rnd.randrange(300)}", f"A{rnd.randrange(300)}"), pick(None, "", f"s{rnd.randrange(50)}")) for _ in range(1500)]
-    for buckets in (1, 7, 256):
-        got = {(r["day"], r["surface"], r["tenant_id"], NAMES[r["grouping"]]): (r["n_actors"], r["n_sessions"]) for r in B.cube_counts(B.day_words(frame(spark, rows), buckets)).collect()}
-        assert got == brute(rows)
+    got = {(r["day"], r["surface"], r["tenant_id"], NAMES[r["grouping"]]): (r["n_actors"], r["n_sessions"]) for r in B.cube_counts(B.day_words(frame(spark, rows))).collect()}
+    assert got == brute(rows)
+    # two runs over parts of the rows, in either order, combine to the same
+    first, numbers = B.encode_run(frame(spark, rows[:700]))
+    second, both = B.encode_run(frame(spark, rows[600:]), numbers)
+    got = {(r["day"], r["surface"], r["tenant_id"], NAMES[r["grouping"]]): (r["n_actors"], r["n_sessions"]) for r in B.cube_counts(B.merged(first.unionByName(second), B.DIMS)).collect()}
+    assert got == brute(rows)
+    assert both.count() == both.select("id").distinct().count() == both.select("kind", "ident").distinct().count()
 
 
 def test_days_combine_under_an_extended_dictionary(spark):
     t = dt.datetime(2026, 1, 1)
     one = [(t, "mcp", "t", f"a{i}", None) for i in range(200)]
     two = [(t + dt.timedelta(days=1), "mcp", "t", f"a{i}", None) for i in range(100, 350)]
-    m1, m2 = (B.memberships(frame(spark, r), buckets=3) for r in (one, two))
-    d1 = B.dictionary(m1)
-    d2 = B.extend_dictionary(d1, m2)
-    w = lambda m, d: B.words(m.join(d, ["kind", "bucket", "ident"]))
-    old, new = w(m1, d1), w(m2, d2)
+    old, d1 = B.encode_run(frame(spark, one))
+    new, d2 = B.encode_run(frame(spark, two), d1)
     assert B.counted(B.merged(old.unionByName(new), ["surface"]), ["surface"]).first()["n"] == 350
     assert B.counted(B.intersected(B.merged(old, ["surface"]), B.merged(new, ["surface"]), ["surface"]), []).first()["n"] == 100
-    assert d2.count() == 350 and d2.select("kind", "bucket", "number").distinct().count() == 350
+    assert d2.count() == 350 and d2.select("id").distinct().count() == 350
+    again, d3 = B.encode_run(frame(spark, two), d2)
+    assert d3.count() == 350 and sorted(again.collect()) == sorted(new.collect())
+
+
+def test_dense_groups_share_words(spark):
+    rows = [(dt.datetime(2026, 1, 1 + i // 640), "mcp", f"t{i // 64 % 10}", None, f"{i * 7919 % 10007}") for i in range(6400)]
+    w = B.day_words(frame(spark, rows))
+    assert w.count() <= 6400 / 16  # 64 sessions a group, few words each, though names are in no order
 
 
 def test_empty(spark):
