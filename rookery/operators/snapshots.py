@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.text import root_path
-from rookery.sources.tables import new_folder, table, written
+from rookery.sources.tables import new_folder, spread, table, written
 
 SCALARS = ("kind", "symbol", "path", "module", "language", "signature", "parser_mode", "semantic_fingerprint")
 SETS = ("calls", "imports")
@@ -49,7 +49,7 @@ def parsed_units(snapshots: DataFrame, unit: str = UNIT) -> DataFrame:
 
     ``units`` comes as an object by unit_id or as an array, so it is first taken as text and then read by its kind."""
     outer = F.from_json("payload", "units string, broken string", {"columnNameOfCorruptRecord": "broken"})
-    x = snapshots.where("id is not null").select("id", root_path("root_path").alias("root"), "snapshot_id", "indexed_at", "payload").where(F.col("payload").rlike(r"^\s*\{") & F.col("payload").rlike(r"\}\s*$"))
+    x = spread(snapshots.where("id is not null").select("id", "root_path", "snapshot_id", "indexed_at", "payload")).select("id", root_path("root_path").alias("root"), "snapshot_id", "indexed_at", "payload").where(F.col("payload").rlike(r"^\s*\{") & F.col("payload").rlike(r"\}\s*$"))
     x = x.withColumn("o", outer).where("o is not null and o.broken is null").withColumn("u", F.ltrim("o.units"))
     by_id = F.transform(F.map_entries(F.from_json("u", f"map<string, struct<{_colons(unit)}>>")), lambda e: e["value"].withField("unit_id", F.coalesce(e["value"]["unit_id"], e["key"])))
     in_array = F.from_json("u", f"array<struct<{_colons(unit)}>>")
