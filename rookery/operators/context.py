@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rookery.operators.graph import IMPACT_SQL, call_edges, impact
 from rookery.operators.retrieval import RANK_SQL, resolve
-from rookery.plans.views import current_units, ranking_queries
+from rookery.plans.views import linked_units, ranking_queries
 from rookery.sources.tables import table, written
 
 #: Fixed values.
@@ -134,7 +134,7 @@ def raw_fetch(units: DataFrame, text: str, group: str, order: str, budget: int =
 
 
 def _rank(spark, d: str):
-    u = current_units(spark, d)
+    u = linked_units(spark, d)
     q = ranking_queries(u)
     e = written(call_edges(u), "edges")
     return written(resolve(u, q, e), "ranked"), q, u, e

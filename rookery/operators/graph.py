@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rookery.plans.views import UNITS_SQL, current_units, files
+from rookery.plans.views import UNITS_SQL, linked_units, files
 from rookery.sources.tables import checkpointed
 
 _EMPTY = "array<string>"
@@ -43,8 +43,8 @@ def symbol_tokens(s: Column) -> Column:
     return _both_cases(F.concat(base, F.transform(base, _tail)))
 
 
-def token_index(units: DataFrame) -> DataFrame:
-    """(root, token, target) of all addressable tokens.
+def token_index(units: DataFrame, *more: Column) -> DataFrame:
+    """(root, token, target) of all addressable tokens, and ``more`` columns of the units.
 
     Units with a dispatch value answer to their own ``call_tokens`` only; others to those and to their symbol's tokens."""
     has, tokens = set(units.columns), symbol_tokens(F.col("symbol"))
@@ -52,16 +52,17 @@ def token_index(units: DataFrame) -> DataFrame:
         tokens = F.when(F.col("dispatch_value").isNull(), tokens).otherwise(F.array().cast(_EMPTY))
     if "call_tokens" in has:
         tokens = F.array_union(tokens, _both_cases(F.coalesce("call_tokens", F.array().cast(_EMPTY))))
-    return units.where("symbol is not null").select("root", F.explode(tokens).alias("token"), F.col("unit_id").alias("target"))
+    return units.where("symbol is not null").select("root", F.explode(tokens).alias("token"), F.col("unit_id").alias("target"), *more)
 
 
-def call_tokens(units: DataFrame) -> DataFrame:
-    """(root, caller, call, token): each call as written and the tokens it may stand for."""
-    calls = units.select("root", F.col("unit_id").alias("caller"), "module", "symbol", F.explode(F.array_distinct("calls")).alias("call")).where("call is not null and trim(call) <> ''")
+def call_tokens(units: DataFrame, *more: Column) -> DataFrame:
+    """(root, caller, call, token): each call as written and the tokens it may stand for, and ``more`` columns of the callers."""
+    names = units.select(*more).columns
+    calls = units.select("root", F.col("unit_id").alias("caller"), "module", "symbol", *more, F.explode(F.array_distinct("calls")).alias("call")).where("call is not null and trim(call) <> ''")
     scopes = F.array_distinct(F.filter(F.array("module", F.substring_index("symbol", "/", 1), F.substring_index("symbol", "#", 1)), lambda x: x.isNotNull() & (F.trim(x) != "")))
     plain = ~F.col("call").rlike("[./#]")
     scoped = F.when(plain, F.flatten(F.transform(scopes, lambda s: F.array(*[F.concat(s, F.lit(sep), F.col("call")) for sep in "/.#"])))).otherwise(F.array().cast(_EMPTY))
-    return calls.select("root", "caller", "call", F.explode(_both_cases(F.concat(F.array("call", _tail(F.col("call"))), scoped))).alias("token"))
+    return calls.select("root", "caller", "call", *names, F.explode(_both_cases(F.concat(F.array("call", _tail(F.col("call"))), scoped))).alias("token"))
 
 
 def candidates(units: DataFrame) -> DataFrame:
@@ -106,11 +107,13 @@ def resolved(units: DataFrame) -> DataFrame:
 
     Optional columns of ``units`` are used where present: call_arity_by_token (map) and superclass_module."""
     has = set(units.columns)
-    imports = files(units).select("root", F.col("path").alias("c_path"), F.col("imports").alias("c_imports"))
-    u = units.select("root", F.col("unit_id").alias("target"), F.col("path").alias("t_path"), F.col("module").alias("t_module"), F.col("symbol").alias("t_symbol"), F.col("method_arity").alias("t_arity"))
-    extra = [F.col(c).alias(f"c_{c}") for c in ("call_arity_by_token", "superclass_module") if c in has]
-    c = units.select("root", F.col("unit_id").alias("caller"), F.col("path").alias("c_path"), F.col("module").alias("c_module"), *extra)
-    x = candidates(units).join(u, ["root", "target"]).join(c, ["root", "caller"]).join(imports, ["root", "c_path"], "left")
+    imports = files(units).select("root", "path", F.col("imports").alias("_imports"))
+    callers = units.join(imports, ["root", "path"], "left")
+    t_cols = [F.col(c).alias(f"t_{n}") for c, n in (("path", "path"), ("module", "module"), ("symbol", "symbol"), ("method_arity", "arity"))]
+    c_cols = [F.col("path").alias("c_path"), F.col("module").alias("c_module"), F.col("_imports").alias("c_imports"), *[F.col(c).alias(f"c_{c}") for c in ("call_arity_by_token", "superclass_module") if c in has]]
+    # both sides carry what the narrowing asks for, so tokens are the only join; all later steps share one partitioning by call
+    met = call_tokens(callers, *c_cols).join(token_index(units, *t_cols), ["root", "token"]).drop("token")
+    x = met.repartition("root", "caller", "call").dropDuplicates(["root", "caller", "call", "target"])
     own, scope, module = _owner(F.col("call")), _scope(F.col("t_symbol")), F.lower("t_module")
     dotted = lambda s: F.coalesce(F.endswith(s, F.concat(F.lit("."), own)), F.lit(False))
     yes = lambda b: F.coalesce(b, F.lit(False))
@@ -228,21 +231,21 @@ def impact(selected: DataFrame, units: DataFrame, edges: DataFrame, limit: int =
 
 
 def _first_units(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    u = current_units(spark, d)
+    u = linked_units(spark, d)
     pick = u.groupBy("root").agg(F.max(F.struct("unit_id", "path", "module")).alias("s")).select(F.col("root").alias("query_id"), "root", "s.unit_id", "s.path", "s.module")
     return pick, u, call_edges(u)
 
 
 QUERIES = {
-    "join_01_token_index": lambda s, d: token_index(current_units(s, d)).groupBy("root", "token").agg(F.count(F.lit(1)).alias("n_targets")),
-    "join_03_candidates": lambda s, d: candidates(current_units(s, d)),
-    "join_04_narrowed": lambda s, d: resolved(current_units(s, d)),
-    "join_05_call_edges": lambda s, d: call_edges(current_units(s, d)),
-    "join_06_callees": lambda s, d: neighbours(call_edges(u := current_units(s, d)), u, callers=False).select("root", "unit_id", "neighbour", "path", "place"),
-    "join_09_dependents": lambda s, d: module_dependents(current_units(s, d)),
-    "join_10_test_targets": lambda s, d: test_targets(current_units(s, d)),
+    "join_01_token_index": lambda s, d: token_index(linked_units(s, d)).groupBy("root", "token").agg(F.count(F.lit(1)).alias("n_targets")),
+    "join_03_candidates": lambda s, d: candidates(linked_units(s, d)),
+    "join_04_narrowed": lambda s, d: resolved(linked_units(s, d)),
+    "join_05_call_edges": lambda s, d: call_edges(linked_units(s, d)),
+    "join_06_callees": lambda s, d: neighbours(call_edges(u := linked_units(s, d)), u, callers=False).select("root", "unit_id", "neighbour", "path", "place"),
+    "join_09_dependents": lambda s, d: module_dependents(linked_units(s, d)),
+    "join_10_test_targets": lambda s, d: test_targets(linked_units(s, d)),
     "join_17_impact": lambda s, d: impact(*_first_units(s, d)),
-    "join_18_callers": lambda s, d: neighbours(call_edges(u := current_units(s, d)), u).select("root", "unit_id", "neighbour", "path", "place"),
+    "join_18_callers": lambda s, d: neighbours(call_edges(u := linked_units(s, d)), u).select("root", "unit_id", "neighbour", "path", "place"),
 }
 
 _LC = lambda a: f"list_distinct(list_filter(list_concat({a}, list_transform({a}, lambda x: lower(x))), lambda x: x is not null and trim(x) <> ''))"
@@ -254,7 +257,7 @@ GRAPH_SQL = (
     + f""", tk0 as (select root, unit_id, list_filter(list_concat([symbol],
       case when contains(symbol, '/') then [{_REST('/')}, case when {_HEAD('/')} <> '' and {_REST('/')} <> '' then {_HEAD('/')} || '.' || {_REST('/')} end] else [] end,
       case when contains(symbol, '#') then [{_REST('#')}, case when split_part({_HEAD('#')}, '.', -1) <> '' and {_REST('#')} <> '' then split_part({_HEAD('#')}, '.', -1) || '#' || {_REST('#')} end, case when {_HEAD('#')} <> '' and {_REST('#')} <> '' then {_HEAD('#')} || '.' || {_REST('#')} end] else [] end),
-      lambda x: x is not null) as base from cur where symbol is not null),
+      lambda x: x is not null) as base from cur where symbol is not null and dispatch_value is null),
 tk as (select root, unit_id as target, unnest({_LC(f"list_concat(base, list_transform(base, lambda x: {_T('x')}))")}) as token from tk0),
 cl0 as (select root, unit_id as caller, module, symbol, unnest(list_distinct(calls)) as call from cur),
 cl1 as (select *, list_distinct(list_filter([module, split_part(symbol, '/', 1), split_part(symbol, '#', 1)], lambda x: x is not null and trim(x) <> '')) as scopes from cl0 where trim(call) <> ''),

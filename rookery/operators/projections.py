@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from rookery.operators import usage
 from rookery.operators.context import lines, quarter
 from rookery.operators.diff import DIFF_SQL, changes
-from rookery.operators.retrieval import RANK_SQL, resolve, seeds, visible
-from rookery.plans.views import UNITS_SQL, all_units, current_units, ranking_queries
+from rookery.operators.retrieval import RANK_SQL, resolve, seeds
+from rookery.plans.views import UNITS_SQL, all_units, linked_units, ranking_queries
 from rookery.sources import scan, store
 from rookery.sources.tables import shared_folder, table
 from rookery.streaming import rollup
@@ -111,7 +111,7 @@ def ordered_changes(changed: DataFrame) -> DataFrame:
 
 
 def _ranked(s, d: str) -> DataFrame:
-    u = current_units(s, d)
+    u = linked_units(s, d)
     return resolve(u, ranking_queries(u))
 
 
@@ -130,7 +130,7 @@ def _streamed(s, d: str) -> DataFrame:
 
 def _stored(s, d: str) -> DataFrame:
     """Units of all current snapshots written by partition and read back with pruning."""
-    u = current_units(s, d)
+    u = linked_units(s, d)
     path = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
     u.withColumn("root_hash", F.sha2("root", 256)).write.partitionBy("root_hash").parquet(path)
     return s.read.parquet(path).select("root", "snapshot_id", "unit_id")
@@ -148,7 +148,7 @@ def _ends(s, d: str) -> DataFrame:
 
 
 def _merge(s, d: str) -> DataFrame:
-    u = current_units(s, d).select("root", "path", "unit_id")
+    u = linked_units(s, d).select("root", "path", "unit_id")
     changed = u.groupBy("root").agg(F.min("path").alias("path"))
     return merged_units(u, changed.withColumn("unit_id", F.concat("path", F.lit("::fresh"))), changed)
 
@@ -159,10 +159,10 @@ def _latest(s, d: str) -> DataFrame:
 
 QUERIES = {
     "prj_01_compact": lambda s, d: compact(_ranked(s, d)),
-    "prj_09_coverage": lambda s, d: coverage(current_units(s, d), ["root"]),
+    "prj_09_coverage": lambda s, d: coverage(linked_units(s, d), ["root"]),
     "prj_10_lifecycle": lambda s, d: lifecycle(t := table(s, d, "semantic_index_snapshots"), t.agg(F.max("indexed_at")).scalar(), 30 * 86_400),
     "scr_12_guardrails": lambda s, d: guardrails(_selected(s, d)),
-    "scr_14_tokens": lambda s, d: current_units(s, d).select("root", "unit_id", quarter(F.col("signature"), F.col("symbol")).alias("tokens")),
+    "scr_14_tokens": lambda s, d: linked_units(s, d).select("root", "unit_id", quarter(F.col("signature"), F.col("symbol")).alias("tokens")),
     "val_01_event_contract": lambda s, d: violations(table(s, d, "semantic_usage_events"), event_rules()),
     "val_02_first_failure": lambda s, d: first_failure(_selected(s, d), {"result_status": F.col("result_status") == "completed", "confidence_level": F.col("confidence_level") != "low", "next_step": F.col("next_step") == "expand_context", "warnings": F.col("warnings") == ""}),
     "set_03_incremental_merge": _merge,
@@ -172,8 +172,8 @@ QUERIES = {
     "win_05_last_class": lambda s, d: last_class(_java(s, d)),
     "win_06_end_lines": _ends,
     "srt_03_diff_order": lambda s, d: ordered_changes(changes(all_units(s, d))).select("root", "snapshot_id", "place", "change_type", F.coalesce("unit_id", "baseline_unit_id").alias("unit_id")),
-    "join_11_span_overlap": lambda s, d: seeds(visible(u := current_units(s, d), ranking_queries(u))).where("code = 'diff_overlap_direct'").select("query_id", "unit_id"),
-    "join_13_module_containment": lambda s, d: seeds(visible(u := current_units(s, d), ranking_queries(u))).where("code = 'target_module_match'").select("query_id", "unit_id"),
+    "join_11_span_overlap": lambda s, d: seeds(u := linked_units(s, d), ranking_queries(u)).where("code = 'diff_overlap_direct'").select("query_id", "unit_id"),
+    "join_13_module_containment": lambda s, d: seeds(u := linked_units(s, d), ranking_queries(u)).where("code = 'target_module_match'").select("query_id", "unit_id"),
     "str_01_streamed_rollup": _streamed,
 }
 _L = r"case when text is null or regexp_replace(text, '(\r?\n)+\z', '') = '' then []::varchar[] else string_split_regex(regexp_replace(text, '(\r?\n)+\z', ''), '\r?\n') end"

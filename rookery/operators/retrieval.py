@@ -1,12 +1,16 @@
 """Ranking of units for batches of structured queries.
 
-One plan answers all queries of a batch: units and queries meet on the directory, every later step is keyed by ``query_id``.
-Evidence is a set of reasons (query, unit, code, points): structural seeds, lexical seeds for queries without any, graph
-neighbours up to two (three) hops, boosts. As a code's points never grow with depth, the maximum by (unit, code) equals the
-step-by-step rule. Reasons are summed by tier, capped, banded and cut to the best 20 by one top-k window per query.
+One plan answers all queries of a batch. Evidence is a set of reasons (query, unit, code, points): structural seeds, lexical seeds for
+queries without any, graph neighbours up to two (three) hops, boosts. As a code's points never grow with depth, the maximum by
+(unit, code) equals the step-by-step rule. Reasons are summed by tier, capped, banded and cut to the best 20 by one top-k window.
 
-Frontiers are joins with the edges, at most three; visible units are written once as each hop reads them again. Null modules
-match nothing but each other in the graph; unknown reasons have no points. Queries without evidence have no rows.
+Queries are turned into keys that meet units by equality: symbols, paths, spans, tests and preferred paths by (root, symbol or path),
+modules and suspected symbols by containment among the directory's distinct modules and symbols, then by equality. A frontier is
+reduced to its distinct modules and paths, with their numbers of units, before it meets the units there: each hop is linear in the
+frontier and in what it reaches. Which units a query may see is asked of the pairs that have evidence, not of all. Only free text
+(and dispatch values) is compared with all units of a directory, for the queries that have some.
+
+Null modules match nothing; unknown reasons have no points. Queries without evidence have no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.operators.graph import GRAPH_SQL, call_edges, test_targets
-from rookery.plans.views import QUERIES_SQL, current_units, ranking_queries
+from rookery.plans.views import QUERIES_SQL, linked_units, ranking_queries
 from rookery.sources.tables import checkpointed, written
 
 #: Points by reason code, with the tier they count for (fixed values of the default policy).
@@ -80,109 +84,150 @@ def lexical_tokens(details: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(details, F.lit(r"([A-Za-z][A-Za-z0-9_\-]+)")), F.lower)), 1, TOKENS)
 
 
-def visible(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Units a query may see: path prefixes, languages, and tests only where asked for or targeted."""
-    test = F.coalesce(F.col("kind") == "test", F.lit(False)) | F.contains("path", F.lit("/test/"))
-    x = units.select("root", "unit_id", "kind", "symbol", "path", "module", "language", "signature", "parser_mode", "start_line", "end_line").join(queries, "root")
+def may_see(test_kind: Column) -> Column:
+    """Path prefixes, languages, and tests only where asked for or targeted; over joined columns of units and queries."""
     ok_path = (F.size("prefixes") == 0) | F.exists("prefixes", lambda p: F.startswith(F.col("path"), p))
-    ok_lang = (F.size("languages") == 0) | F.exists("languages", lambda p: F.lower(p) == F.lower("language")) if "languages" in queries.columns else F.lit(True)
-    return x.where(ok_path & ok_lang & (F.col("include_tests") | ~test | F.array_contains("tests", F.col("path")))).withColumn("class", path_class(F.col("path")))
+    ok_lang = (F.size("languages") == 0) | F.exists("languages", lambda p: F.lower(p) == F.lower("language"))
+    return ok_path & ok_lang & (F.col("include_tests") | ~test_kind | F.array_contains("tests", F.col("path")))
+
+
+def is_test() -> Column:
+    return F.coalesce(F.col("kind") == "test", F.lit(False)) | F.contains("path", F.lit("/test/"))
 
 
-def module_match(targets: str) -> Column:
-    """Any target is contained in the module."""
-    return F.exists(targets, lambda m: F.coalesce(F.contains(F.col("module"), m), F.lit(False)))
+UNIT = ("unit_id", "kind", "symbol", "path", "module", "language", "signature", "parser_mode", "start_line", "end_line")
+LIMITS = ("prefixes", "languages", "include_tests", "tests")
+
+
+def visible(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """All units each query may see: for free text, and where the whole scope is asked for."""
+    extra = [c for c in ("summary", "dispatch_value") if c in units.columns]
+    x = units.select("root", *UNIT, *extra).join(queries, "root")
+    return x.where(may_see(is_test())).withColumn("class", path_class(F.col("path")))
+
 
+def seen(pairs: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
+    """The (query_id, root, unit_id) pairs whose unit the query may see; other columns stay."""
+    u = units.select("root", "unit_id", F.col("path"), F.col("kind"), F.col("language"))
+    x = pairs.join(u, ["root", "unit_id"]).join(queries.select("query_id", *LIMITS), "query_id")
+    return x.where(may_see(is_test())).select(*pairs.columns)
 
-def _suspected() -> tuple[Column, Column]:
-    sym = symbolish(F.coalesce("symbol", F.lit("")))
+
+def _keyed(queries: DataFrame, field: str, name: str) -> DataFrame:
+    return queries.select("query_id", "root", F.explode(field).alias(name)).distinct()
+
+
+def _in_modules(queries: DataFrame, field: str, units: DataFrame) -> DataFrame:
+    """(query_id, root, module): the directory's modules that contain one of the query's."""
+    modules = units.where("module is not null").select("root", "module").distinct()
+    return modules.join(_keyed(queries, field, "part"), "root").where(F.contains("module", F.col("part"))).select("query_id", "root", "module").distinct()
+
+
+def suspected_pairs(queries: DataFrame, units: DataFrame) -> DataFrame:
+    """(query_id, root, unit_id, code) of suspected symbols, whole or as a part of at least 4 characters, outside of vendored, fixture and generated paths."""
     after = F.when(F.contains("symbol", F.lit("/")), symbolish(F.expr("substring(symbol, instr(symbol, '/') + 1)")))
-    eligible = ~F.col("class").isin("vendored", "fixture", "generated")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    exact = eligible & F.exists("suspected", lambda s: yes(symbolish(s) == sym) | yes(symbolish(s) == after))
-    part = eligible & ~exact & F.exists("suspected", lambda s: (F.length(s) >= 4) & (yes(F.contains(sym, symbolish(s))) | yes(F.contains(after, symbolish(s)))))
-    return exact, part
-
-
-def seeds(v: DataFrame) -> DataFrame:
-    """(query_id, unit_id, code) of structural and suspected-symbol evidence."""
-    span = F.exists("spans", lambda s: (s["path"] == F.col("path")) & (F.col("start_line") <= s["end_line"]) & (s["start_line"] <= F.col("end_line")))
-    exact, part = _suspected()
-    flags = {
-        "exact_target_resolved": F.array_contains("symbols", F.col("symbol")),
-        "target_path_match": F.array_contains("paths", F.col("path")),
-        "diff_overlap_direct": span,
-        "target_module_match": module_match("modules"),
-        "target_test_match": F.array_contains("tests", F.col("path")),
-        "hint_suspected_symbol_exact": exact,
-        "hint_suspected_symbol_segment": part,
-    }
-    codes = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in flags.items()]), lambda c: c.isNotNull())
-    return v.select("query_id", "unit_id", F.explode(codes).alias("code"))
-
-
-def lexical_seeds(v: DataFrame, seeded: DataFrame) -> DataFrame:
+    u = units.where(~path_class(F.col("path")).isin("vendored", "fixture", "generated")).select("root", "unit_id", F.explode(F.array_distinct(F.array_compact(F.array(symbolish(F.coalesce("symbol", F.lit(""))), after)))).alias("name"))
+    asked = queries.select("query_id", "root", F.explode("suspected").alias("raw")).select("query_id", "root", symbolish(F.col("raw")).alias("name"), (F.length("raw") >= 4).alias("long")).distinct()
+    exact = u.join(asked, ["root", "name"]).select("query_id", "root", "unit_id").distinct()
+    names = u.select("root", "name").distinct().join(asked.where("long").withColumnRenamed("name", "part"), "root").where(F.contains("name", F.col("part"))).select("query_id", "root", "name").distinct()
+    some = u.join(names, ["root", "name"]).select("query_id", "root", "unit_id").distinct().join(exact, ["query_id", "root", "unit_id"], "left_anti")
+    return exact.withColumn("code", F.lit("hint_suspected_symbol_exact")).unionByName(some.withColumn("code", F.lit("hint_suspected_symbol_segment")))
+
+
+def dispatch_pairs(queries: DataFrame, units: DataFrame) -> DataFrame:
+    """(query_id, root, unit_id, code): units whose dispatch value contains a word of the query's free text."""
+    u = units.where("dispatch_value <> ''").select("root", "unit_id", F.lower("dispatch_value").alias("value"))
+    q = queries.select("query_id", "root", F.explode(lexical_tokens(F.col("details"))).alias("word"))
+    return u.join(q, "root").where(F.contains("value", F.col("word"))).select("query_id", "root", "unit_id", F.lit("dispatch_value_match").alias("code")).distinct()
+
+
+def seeds(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, root, unit_id, code) of structural, dispatch and suspected-symbol evidence that the queries may see."""
+    ids = ["query_id", "root", "unit_id"]
+    by = lambda field, column, code: units.select("root", "unit_id", column).join(_keyed(queries, field, column), ["root", column]).select(*ids, F.lit(code).alias("code"))
+    span = queries.select("query_id", "root", F.explode("spans").alias("s")).select("query_id", "root", F.col("s.path").alias("path"), F.col("s.start_line").alias("a"), F.col("s.end_line").alias("b"))
+    overlap = units.select("root", "unit_id", "path", "start_line", "end_line").join(span, ["root", "path"]).where("start_line <= b and a <= end_line").select(*ids, F.lit("diff_overlap_direct").alias("code"))
+    modules = units.select("root", "unit_id", "module").join(_in_modules(queries, "modules", units), ["root", "module"]).select(*ids, F.lit("target_module_match").alias("code"))
+    out = by("symbols", "symbol", "exact_target_resolved")
+    parts = [by("paths", "path", "target_path_match"), overlap, modules, by("tests", "path", "target_test_match"), suspected_pairs(queries, units)]
+    if "dispatch_value" in units.columns:
+        parts.append(dispatch_pairs(queries, units))
+    for part in parts:
+        out = out.unionByName(part)
+    return seen(out.distinct(), units, queries)
+
+
+def lexical_seeds(units: DataFrame, queries: DataFrame, seeded: DataFrame) -> DataFrame:
     """The best 6 units by shared words for queries without structural seeds; vendored and generated paths only where nothing else matches."""
-    hay = F.lower(F.concat_ws(" ", F.coalesce("signature", F.lit("")), F.lit(""), F.coalesce("symbol", F.lit(""))))
-    x = v.join(seeded.select("query_id").distinct(), "query_id", "left_anti").withColumn("hay", hay).withColumn("words", lexical_tokens(F.col("details")))
-    x = x.withColumn("hits", F.size(F.filter("words", lambda t: F.contains(F.col("hay"), t)))).where("hits > 0").withColumn("eligible", ~F.col("class").isin("vendored", "fixture", "generated"))
+    v = visible(units, queries.join(seeded.select("query_id").distinct(), "query_id", "left_anti"))
+    has = set(v.columns)
+    hay = F.lower(F.concat_ws(" ", F.coalesce("signature", F.lit("")), F.coalesce("summary", F.lit("")) if "summary" in has else F.lit(""), F.coalesce("symbol", F.lit(""))))
+    x = v.withColumn("hay", hay).withColumn("words", lexical_tokens(F.col("details")))
+    bonus = F.when(F.exists("words", lambda t: F.contains(F.lower("dispatch_value"), t)), 2).otherwise(0) if "dispatch_value" in has else F.lit(0)
+    x = x.withColumn("hits", F.size(F.filter("words", lambda t: F.contains(F.col("hay"), t))) + bonus).where("hits > 0").withColumn("eligible", ~F.col("class").isin("vendored", "fixture", "generated"))
     x = x.withColumn("some", F.max("eligible").over(Window.partitionBy("query_id"))).where("eligible or not some")
     w = Window.partitionBy("query_id").orderBy(F.col("hits").desc(), class_rank(F.col("class")), "path", "start_line", "unit_id")
-    return x.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= LEXICAL).select("query_id", "unit_id", F.lit("lexical_overlap").alias("code"))
+    return x.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= LEXICAL).select("query_id", "root", "unit_id", F.lit("lexical_overlap").alias("code"))
 
 
-def graph_reasons(v: DataFrame, edges: DataFrame, targets: DataFrame, first: DataFrame, depth: int = 2) -> DataFrame:
-    """(query_id, unit_id, code, points) from up to ``depth`` hops; only call edges carry the frontier on.
+def graph_reasons(units: DataFrame, queries: DataFrame, edges: DataFrame, targets: DataFrame, first: DataFrame, depth: int = 2) -> DataFrame:
+    """(query_id, root, unit_id, code, points) from up to ``depth`` hops; only call edges carry the frontier on.
 
-    ``first``: (query_id, unit_id) of the seeds. Per-query flags come with ``v``."""
-    flags = ["query_id", "root", "definitions", "include_tests"]
-    place = v.select(*flags, "unit_id", "path", "module")
-    out, frontier, seen = None, first.select("query_id", "unit_id").distinct(), None
-    seen = frontier
+    ``first``: (query_id, root, unit_id) of the seeds."""
+    ids = ["query_id", "root", "unit_id"]
+    place = units.select("root", "unit_id", "path", "module")
+    out, frontier = None, first.select(*ids).distinct()
+    done = frontier
     for d in range(depth):
-        f = frontier.join(place, ["query_id", "unit_id"])
-        n = place.select("query_id", F.col("unit_id").alias("near"), F.col("path").alias("n_path"), F.col("module").alias("n_module"))
-        s = f.withColumnRenamed("unit_id", "source")
-        step = lambda a, b: s.join(edges.select("root", F.col(a).alias("source"), F.col(b).alias("near")), ["root", "source"]).join(n.select("query_id", "near"), ["query_id", "near"])
-        callee, caller = step("caller", "callee"), step("callee", "caller")
-        by_module = s.join(n.withColumnRenamed("n_module", "module"), ["query_id", "module"])
-        by_path = s.join(n.withColumnRenamed("n_path", "path"), ["query_id", "path"])
-        tests = s.where("include_tests").join(targets, ["root", "module"]).join(n.withColumnRenamed("n_path", "test_path"), ["query_id", "test_path"])
-        hop = None
-        for code, df in (("graph_callee_neighbor", callee), ("graph_caller_neighbor", caller), ("graph_module_neighbor", by_module), ("graph_path_neighbor", by_path), ("graph_related_test_neighbor", tests)):
-            less = F.when(F.col("definitions"), CALLER_PENALTY).otherwise(0) if code == "graph_caller_neighbor" else F.lit(0)
-            part = df.where("near <> source").select("query_id", F.col("near").alias("unit_id"), F.lit(code).alias("code"), F.greatest(F.lit(0), F.lit(POINTS[code][1] - DECAY * d) - less).alias("points"))
-            hop = part if hop is None else hop.unionByName(part)
-        hop = hop.where("points > 0").groupBy("query_id", "unit_id", "code").agg(F.max("points").alias("points"))
+        less = queries.select("query_id", F.when(F.col("definitions"), CALLER_PENALTY).otherwise(0).alias("less"), F.col("include_tests").alias("wants"))
+        f = frontier.join(place, ["root", "unit_id"]).join(less, "query_id")
+        plain = lambda code: F.lit(max(0, POINTS[code][1] - DECAY * d))  # noqa: B023, E731
+        step = lambda a, b, code, minus: f.join(edges.select("root", F.col(a).alias("unit_id"), F.col(b).alias("near")), ["root", "unit_id"]).where("near <> unit_id").select("query_id", "root", F.col("near").alias("unit_id"), F.lit(code).alias("code"), (plain(code) - minus).alias("points"))  # noqa: B023, E731
+        linked = step("caller", "callee", "graph_callee_neighbor", F.lit(0)).unionByName(step("callee", "caller", "graph_caller_neighbor", F.col("less")))
+        hop = linked
+
+        def around(group: DataFrame, key: str, code: str) -> DataFrame:
+            """Units with the key of a source other than themselves; ``group`` has query_id, root, key, n sources and one of them."""
+            x = group.join(place.select("root", "unit_id", key), ["root", key]).where((F.col("n") > 1) | (F.col("one") != F.col("unit_id")))
+            return x.select(*ids, F.lit(code).alias("code"), plain(code).alias("points"))  # noqa: B023
+
+        sources = lambda x, key: x.groupBy("query_id", "root", key).agg(F.countDistinct("unit_id").alias("n"), F.min("unit_id").alias("one"))
+        hop = hop.unionByName(around(sources(f, "module"), "module", "graph_module_neighbor")).unionByName(around(sources(f, "path"), "path", "graph_path_neighbor"))
+        aims = f.where("wants").drop("path").join(targets, ["root", "module"]).withColumnRenamed("test_path", "path")
+        hop = hop.unionByName(around(sources(aims, "path"), "path", "graph_related_test_neighbor"))
+        hop = seen(hop.groupBy(*ids, "code").agg(F.max("points").alias("points")), units, queries)
         hop = checkpointed(hop) if d + 1 < depth else hop
         out = hop if out is None else out.unionByName(hop)
         if d + 1 < depth:
-            grown = callee.unionByName(caller).where("near <> source").select("query_id", F.col("near").alias("unit_id")).distinct()
-            frontier = checkpointed(grown.join(seen, ["query_id", "unit_id"], "left_anti"))
-            seen = seen.unionByName(frontier)
-    return out
-
-
-def reasons(units: DataFrame, queries: DataFrame, edges: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """All evidence (query_id, unit_id, code, points) and the visible units."""
-    v = written(visible(units, queries), "visible")
-    base = seeds(v)
-    base = checkpointed(base.unionByName(lexical_seeds(v, base)))
+            grown = hop.where("code in ('graph_callee_neighbor', 'graph_caller_neighbor')").select(*ids).distinct()
+            frontier = checkpointed(grown.join(done, ids, "left_anti"))
+            done = done.unionByName(frontier)
+    return out.where("points > 0")
+
+
+def reasons(units: DataFrame, queries: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """All evidence (query_id, root, unit_id, code, points)."""
+    ids = ["query_id", "root", "unit_id"]
+    if "languages" not in queries.columns:
+        queries = queries.withColumn("languages", F.array().cast("array<string>"))
+    base = checkpointed(seeds(units, queries))
+    base = checkpointed(base.unionByName(lexical_seeds(units, queries, base)))
     points = F.create_map(*[F.lit(x) for k, (_, p) in POINTS.items() for x in (k, p)])
     direct = base.withColumn("points", points[F.col("code")])
-    both = direct.unionByName(graph_reasons(v, edges, test_targets(units), base, depth)).groupBy("query_id", "unit_id", "code").agg(F.max("points").alias("points")).where("points > 0")
-    wants = F.array(F.when(F.array_contains("preferred_paths", F.col("path")), "hint_preferred_path"), F.when(module_match("preferred_modules"), "hint_preferred_module"))
-    boost = v.select("query_id", "unit_id", F.explode(F.filter(wants, lambda c: c.isNotNull())).alias("code"))
-    prior = v.where("class = 'source'").select("query_id", "unit_id").join(both.select("query_id", "unit_id").distinct(), ["query_id", "unit_id"], "left_semi").withColumn("code", F.lit("source_path_prior"))
-    more = boost.unionByName(prior).withColumn("points", points[F.col("code")])
-    return both.unionByName(more), v
+    both = direct.unionByName(graph_reasons(units, queries, edges, test_targets(units), base, depth)).groupBy(*ids, "code").agg(F.max("points").alias("points")).where("points > 0")
+    wanted = units.select("root", "unit_id", "path").join(_keyed(queries, "preferred_paths", "path"), ["root", "path"]).select(*ids, F.lit("hint_preferred_path").alias("code"))
+    wanted = wanted.unionByName(units.select("root", "unit_id", "module").join(_in_modules(queries, "preferred_modules", units), ["root", "module"]).select(*ids, F.lit("hint_preferred_module").alias("code")))
+    boost = seen(wanted, units, queries)
+    source = units.where(path_class(F.col("path")) == "source").select("root", "unit_id")
+    prior = both.select(*ids).distinct().join(source, ["root", "unit_id"]).select(*ids, F.lit("source_path_prior").alias("code"))
+    return both.unionByName(boost.unionByName(prior).withColumn("points", points[F.col("code")]))
 
 
-def ranked(evidence: DataFrame, v: DataFrame, limit: int = LIMIT) -> DataFrame:
+def ranked(evidence: DataFrame, units: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The best units per query: score, tiers, band and place."""
     tier = F.create_map(*[F.lit(x) for k, (t, _) in POINTS.items() for x in (k, t)])
-    t = evidence.withColumn("tier", tier[F.col("code")]).groupBy("query_id", "unit_id").agg(*[F.coalesce(F.sum(F.when(F.col("tier") == i, F.col("points"))), F.lit(0)).alias(f"tier{i}") for i in (1, 2, 3, 4)], F.array_sort(F.collect_set("code")).alias("codes"))
-    x = t.join(v.select("query_id", "unit_id", "root", "path", "module", "symbol", "kind", "language", "parser_mode", "start_line", "end_line", "signature"), ["query_id", "unit_id"])
+    t = evidence.withColumn("tier", tier[F.col("code")]).groupBy("query_id", "root", "unit_id").agg(*[F.coalesce(F.sum(F.when(F.col("tier") == i, F.col("points"))), F.lit(0)).alias(f"tier{i}") for i in (1, 2, 3, 4)], F.array_sort(F.collect_set("code")).alias("codes"))
+    x = t.join(units.select("root", *UNIT), ["root", "unit_id"])
     raw = F.col("tier1") + F.col("tier2") + F.col("tier3") + F.col("tier4")
     soft = F.when(F.col("tier1") == 0, F.least(raw, F.lit(NO_TIER1_MAX))).otherwise(raw)
     x = x.withColumn("score", F.when(F.coalesce(F.col("parser_mode") == "fallback", F.lit(False)), F.least(soft, F.lit(FALLBACK_MAX))).otherwise(soft).cast("bigint")).where("score > 0")
@@ -199,7 +244,7 @@ def band(score: Column) -> Column:
 
 def resolve(units: DataFrame, queries: DataFrame, edges: DataFrame | None = None, depth: int = 2) -> DataFrame:
     """Queries to ranked units."""
-    return ranked(*reasons(units, queries, edges if edges is not None else written(call_edges(units), "edges"), depth))
+    return ranked(reasons(units, queries, edges if edges is not None else written(call_edges(units), "edges"), depth), units)
 
 
 def _case(tier: bool = False) -> str:
@@ -213,6 +258,8 @@ _SYM = lambda x: f"replace(lower({x}), '_', '-')"
 _ANY = lambda a, cond: f"coalesce(len(list_filter({a}, lambda m: coalesce({cond}, false))) > 0, false)"
 _EXACT = _ANY("suspected", f"{_SYM('m')} = {_SYM('symbol')} or (contains(symbol, '/') and {_SYM('m')} = {_SYM(chr(115) + 'ubstr(symbol, instr(symbol, chr(47)) + 1)')})")
 _PART = _ANY("suspected", f"length(m) >= 4 and contains({_SYM('symbol')}, {_SYM('m')})")
+_WORDS = "list_distinct(list_transform(regexp_extract_all(details, '[A-Za-z][A-Za-z0-9_\\-]+'), lambda t: lower(t)))"
+_DISPATCH = f"coalesce(dispatch_value, '') <> '' and len(list_filter({_WORDS}, lambda t: contains(lower(dispatch_value), t))) > 0"
 _HOP = lambda d, src: f"""select query_id, unit_id, code, max(points) as points from (
   select f.query_id, n.unit_id, 'graph_callee_neighbor' as code, {44 - 10 * d} as points from {src} f join v s using (query_id, unit_id) join edge e on e.root = s.root and e.caller = s.unit_id join v n on n.query_id = f.query_id and n.unit_id = e.callee where n.unit_id <> s.unit_id
   union all select f.query_id, n.unit_id, 'graph_caller_neighbor', greatest(0, {32 - 10 * d} - case when s.definitions then 8 else 0 end) from {src} f join v s using (query_id, unit_id) join edge e on e.root = s.root and e.callee = s.unit_id join v n on n.query_id = f.query_id and n.unit_id = e.caller where n.unit_id <> s.unit_id
@@ -223,13 +270,13 @@ _HOP = lambda d, src: f"""select query_id, unit_id, code, max(points) as points
 RANK_SQL = (
     GRAPH_SQL
     + QUERIES_SQL
-    + f""", v as (select c.root, unit_id, kind, symbol, path, module, language, signature, parser_mode, start_line, end_line, q.* exclude (root), {_CLASS} as class from cur c join q on q.root = c.root
+    + f""", v as (select c.root, unit_id, kind, symbol, path, module, language, signature, parser_mode, start_line, end_line, dispatch_value, q.* exclude (root), {_CLASS} as class from cur c join q on q.root = c.root
     where (len(prefixes) = 0 or len(list_filter(prefixes, lambda p: starts_with(path, p))) > 0) and (include_tests or not (coalesce(kind = 'test', false) or contains(path, '/test/')) or list_contains(tests, path))),
 s0 as (select query_id, unit_id, unnest(list_filter([case when list_contains(symbols, symbol) then 'exact_target_resolved' end, case when list_contains(paths, path) then 'target_path_match' end,
-    case when span_path = path and start_line <= span_end and span_start <= end_line then 'diff_overlap_direct' end, case when {_ANY('modules', 'contains(module, m)')} then 'target_module_match' end, case when list_contains(tests, path) then 'target_test_match' end,
+    case when span_path = path and start_line <= span_end and span_start <= end_line then 'diff_overlap_direct' end, case when {_ANY('modules', 'contains(module, m)')} then 'target_module_match' end, case when list_contains(tests, path) then 'target_test_match' end, case when {_DISPATCH} then 'dispatch_value_match' end,
     case when class not in ('vendored', 'fixture', 'generated') and {_EXACT} then 'hint_suspected_symbol_exact' end,
     case when class not in ('vendored', 'fixture', 'generated') and not {_EXACT} and {_PART} then 'hint_suspected_symbol_segment' end], lambda x: x is not null)) as code from v),
-lx as (select *, len(list_filter(list_distinct(list_transform(regexp_extract_all(details, '[A-Za-z][A-Za-z0-9_\\-]+'), lambda t: lower(t))), lambda t: contains(lower(coalesce(signature, '') || '  ' || coalesce(symbol, '')), t))) as hits from v where query_id not in (select query_id from s0)),
+lx as (select *, len(list_filter(list_distinct(list_transform(regexp_extract_all(details, '[A-Za-z][A-Za-z0-9_\\-]+'), lambda t: lower(t))), lambda t: contains(lower(coalesce(signature, '') || '  ' || coalesce(symbol, '')), t))) + case when {_DISPATCH} then 2 else 0 end as hits from v where query_id not in (select query_id from s0)),
 ly as (select *, class not in ('vendored', 'fixture', 'generated') as eligible from lx where hits > 0),
 lz as (select * from ly qualify eligible or not bool_or(eligible) over (partition by query_id)),
 ls as (select query_id, unit_id, 'lexical_overlap' as code from lz qualify row_number() over (partition by query_id order by hits desc, list_position(['source', 'other', 'test', 'generated', 'fixture', 'vendored'], class), path, start_line, unit_id) <= 6),
@@ -251,28 +298,30 @@ rk as (select *, (row_number() over (partition by query_id order by score desc,
 
 
 def _ranked(spark, d: str) -> DataFrame:
-    u = current_units(spark, d)
+    u = linked_units(spark, d)
     return resolve(u, ranking_queries(u))
 
 
 def _evidence(spark, d: str) -> DataFrame:
-    u = current_units(spark, d)
-    return reasons(u, ranking_queries(u), written(call_edges(u), "edges"))[0]
+    u = linked_units(spark, d)
+    return reasons(u, ranking_queries(u), written(call_edges(u), "edges"))
 
 
 QUERIES = {
     "scr_09_ranked": lambda s, d: _ranked(s, d).select("query_id", "place", "unit_id", "path", "score", "tier1", "tier2", "tier3", "tier4", "rank_band", F.concat_ws(",", "codes").alias("codes")),
-    "scr_01_seeds": lambda s, d: seeds(visible(u := current_units(s, d), ranking_queries(u))),
-    "scr_05_lexical": lambda s, d: lexical_seeds(v := visible(u := current_units(s, d), ranking_queries(u)), seeds(v)),
+    "scr_01_seeds": lambda s, d: seeds(u := linked_units(s, d), ranking_queries(u)).select("query_id", "unit_id", "code"),
+    "scr_05_lexical": lambda s, d: lexical_seeds(u := linked_units(s, d), q := ranking_queries(u), seeds(u, q)).select("query_id", "unit_id", "code"),
+    "flt_06_dispatch": lambda s, d: dispatch_pairs(ranking_queries(u := linked_units(s, d)), u).select("query_id", "unit_id"),
     "join_16_graph": lambda s, d: _evidence(s, d).where("code like 'graph%'").select("query_id", "unit_id", "code", F.col("points").cast("bigint").alias("points")),
     "scr_06_boosts": lambda s, d: _evidence(s, d).where("code like 'hint_preferred%' or code = 'source_path_prior'").select("query_id", "unit_id", "code"),
-    "flt_01_visible": lambda s, d: visible(u := current_units(s, d), ranking_queries(u)).select("query_id", "unit_id", "class"),
-    "flt_05_path_class": lambda s, d: current_units(s, d).select("path").distinct().withColumn("class", path_class(F.col("path"))),
+    "flt_01_visible": lambda s, d: visible(u := linked_units(s, d), ranking_queries(u)).select("query_id", "unit_id", "class"),
+    "flt_05_path_class": lambda s, d: linked_units(s, d).select("path").distinct().withColumn("class", path_class(F.col("path"))),
 }
 SQL = {
     "scr_09_ranked": RANK_SQL + "select query_id, place, unit_id, path, score, tier1, tier2, tier3, tier4, rank_band, array_to_string(codes, ',') as codes from rk",
     "scr_01_seeds": RANK_SQL + "select * from s0",
     "scr_05_lexical": RANK_SQL + "select * from ls",
+    "flt_06_dispatch": RANK_SQL + f"select query_id, unit_id from cur join q using (root) where {_DISPATCH}",
     "join_16_graph": RANK_SQL + "select query_id, unit_id, code, points::bigint as points from ev where code like 'graph%'",
     "scr_06_boosts": RANK_SQL + "select query_id, unit_id, code from ev where code like 'hint_preferred%' or code = 'source_path_prior'",
     "flt_01_visible": RANK_SQL + "select query_id, unit_id, class from v",

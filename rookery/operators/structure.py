@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.operators.retrieval import lexical_tokens
-from rookery.plans.views import UNITS_SQL, current_units, files
+from rookery.plans.views import UNITS_SQL, linked_units, files
 from rookery.sources.tables import table
 
 TOP_SYMBOLS, ANCHORS = 12, 8
@@ -77,10 +77,10 @@ def repo_map(units: DataFrame, limit: int = 20) -> DataFrame:
 
 QUERIES = {
     "agg_27_fingerprint": lambda s, d: fingerprint(table(s, d, "degraded_fallback").withColumn("raw_context", F.coalesce("raw_context", F.lit(""))), "root_path", "path", "raw_context"),
-    "agg_28_namespaces": lambda s, d: namespaces(current_units(s, d)),
-    "agg_29_dependency_edges": lambda s, d: dependency_edges(current_units(s, d)),
-    "agg_29_top_symbols": lambda s, d: top_symbols(current_units(s, d)).select("root", "module", "symbol", "place"),
-    "prj_04_repo_map": lambda s, d: repo_map(current_units(s, d)),
+    "agg_28_namespaces": lambda s, d: namespaces(linked_units(s, d)),
+    "agg_29_dependency_edges": lambda s, d: dependency_edges(linked_units(s, d)),
+    "agg_29_top_symbols": lambda s, d: top_symbols(linked_units(s, d)).select("root", "module", "symbol", "place"),
+    "prj_04_repo_map": lambda s, d: repo_map(linked_units(s, d)),
     "scr_03_lexical_tokens": lambda s, d: table(s, d, "eval_items").select("item_id", F.array_join(lexical_tokens(F.col("item_text")), " ").alias("tokens")),
     "scr_18_anchors": lambda s, d: _joined(table(s, d, "eval_items").select("item_id", *anchors(F.col("item_text")))),
 }

@@ -29,19 +29,29 @@ def all_units(spark, d: str) -> DataFrame:
 
 
 def current_units(spark, d: str) -> DataFrame:
-    """The units of each directory's last snapshot, linked. Kept, as the graph and ranking operators read it many times.
-
-    The stored calls hardly ever name a stored unit, so each unit also calls its next neighbours by name, by symbol and by a
-    dotted name, imports the next one's module, and every fifth file lies in a test folder."""
-    u = all_units(spark, d).where("next_snapshot is null")
-    w = Window.partitionBy("root").orderBy("unit_id")
-    nxt = lambda c, n: F.lead(c, n).over(w)
-    some = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
-    local = F.regexp_replace(nxt("symbol", 1), r"^.*[/#]", "")
-    dotted = F.regexp_replace(nxt("symbol", 3), "[/#]", ".")
+    """The units of each directory's last snapshot."""
+    return all_units(spark, d).where("next_snapshot is null")
+
+
+def linked_units(spark, d: str) -> DataFrame:
+    """``current_units`` with links to follow, for the queries of the catalogue only.
+
+    The stored calls and imports hardly ever name a stored unit, which would leave graph and ranking queries without rows to compare. So here
+    each unit also calls its module's last symbol by its local name; each module's first unit calls the directory's first symbol by a
+    dotted name and imports the directory's last module; some files lie in a test folder, and methods have a dispatch value. Queries
+    over units that are extracted from files (``ext_*``) follow the files' own links."""
+    u = current_units(spark, d)
+    module = u.groupBy("root", "module").agg(F.min("symbol").alias("lo"), F.max("symbol").alias("hi"))
+    whole = u.groupBy("root").agg(F.min(F.struct("unit_id", "symbol")).alias("first"), F.max(F.struct("unit_id", "module")).alias("last"))
+    on = (u["root"] == module["root"]) & u["module"].eqNullSafe(module["module"])
+    x = u.join(module, on).select(u["*"], "lo", "hi").join(whole, "root")
+    head, some = F.col("symbol") == F.col("lo"), lambda *cs: F.filter(F.array(*cs), lambda c: c.isNotNull())
+    local = F.regexp_replace("hi", r"^.*[/#]", "")
+    dotted = F.when(head, F.regexp_replace("first.symbol", "[/#]", "."))
     place = F.ascii(F.substring(F.md5("path"), 1, 1)) % 5 == 0
-    u = u.withColumns({"calls": F.concat("calls", some(local, nxt("symbol", 2), dotted)), "imports": F.concat("imports", some(nxt("module", 1)))})
-    return written(u.withColumns({"path": F.when(place, F.concat(F.lit("test/"), "path")).otherwise(F.col("path")), "kind": F.when(place & (F.col("kind") == "function"), "test").otherwise(F.col("kind"))}), "units")
+    x = x.withColumns({"calls": F.concat("calls", some(local, dotted)), "imports": F.concat("imports", some(F.when(head, F.col("last.module")))), "dispatch_value": F.when(F.col("kind") == "method", F.concat(F.lit(":"), F.regexp_replace("symbol", r"^.*[/#]", "")))})
+    x = x.withColumns({"path": F.when(place, F.concat(F.lit("test/"), "path")).otherwise(F.col("path")), "kind": F.when(place & (F.col("kind") == "function"), "test").otherwise(F.col("kind"))})
+    return written(x.drop("lo", "hi", "first", "last"), "units")
 
 
 def files(units: DataFrame) -> DataFrame:
@@ -50,9 +60,9 @@ def files(units: DataFrame) -> DataFrame:
 
 
 def ranking_queries(units: DataFrame) -> DataFrame:
-    """Three queries per directory: a symbol with test targets; a path with a changed span and hints; free text only."""
+    """Four queries per directory: a symbol with test targets; a path with a changed span and hints; free text only; free text that names a dispatch value."""
     first, last = F.min(F.struct("unit_id", "symbol", "module", "path")), F.max(F.struct("unit_id", "symbol", "module", "path", "start_line"))
-    g = units.groupBy("root").agg(first.alias("a"), last.alias("z"), F.max("symbol").alias("far"))
+    g = units.groupBy("root").agg(first.alias("a"), last.alias("z"), F.max("symbol").alias("far"), F.min("dispatch_value").alias("disp") if "dispatch_value" in units.columns else F.first(F.lit("")).alias("disp"))
     none, strings = F.array().cast("array<string>"), "array<string>"
     local = F.regexp_replace("z.symbol", r"^.*[/#]", "")
     span = "array<struct<path:string,start_line:int,end_line:int>>"
@@ -65,7 +75,8 @@ def ranking_queries(units: DataFrame) -> DataFrame:
     one = q(1, symbols=F.array("a.symbol"), tests=F.array("z.path"), include_tests=True, details=F.lit("callers and related tests"))
     two = q(2, paths=F.array("z.path"), modules=F.array(F.coalesce("a.module", F.lit("?"))), spans=spans, preferred_paths=F.array("a.path"), preferred_modules=F.array(F.coalesce("z.module", F.lit("?"))), suspected=F.array("far"), definitions=True, prefixes=F.array(F.lit("src/"), F.lit("app/"), F.lit("lib/"), F.lit("core/")))
     three = q(3, details=F.concat(F.lit("where is "), local, F.lit(" used")))
-    return g.select("root", F.inline(F.array(one, two, three)))
+    four = q(4, details=F.concat(F.lit("who handles "), F.coalesce("disp", F.lit("")), F.lit(" now")))
+    return g.select("root", F.inline(F.array(one, two, three, four)))
 
 
 _CAST = ", ".join(f"json_extract_string(u, '$.{c}') as {c}" for c in _STRINGS) + ", " + ", ".join(f"coalesce(try_cast(json_extract(u, '$.{c}') as varchar[]), []) as {c}" for c in S.SETS)
@@ -76,15 +87,18 @@ UNITS_SQL = (
 allu as (select distinct root, snapshot_id, seq, next_snapshot, """
     + _CAST
     + """, json_extract_string(u, '$.start_line')::int as start_line, json_extract_string(u, '$.end_line')::int as end_line, nullif(regexp_extract(json_extract_string(u, '$.unit_id'), '\\$arity(\\d+)', 1), '')::int as method_arity from raw),
-cur0 as (select *, lead(symbol) over w as s1, lead(symbol, 2) over w as s2, lead(symbol, 3) over w as s3, lead(module) over w as m1, ascii(md5(path)[1]) % 5 = 0 as place from allu where next_snapshot is null window w as (partition by root order by unit_id)),
-cur as (select * replace (list_concat(calls, list_filter([regexp_replace(s1, '^.*[/#]', ''), s2, regexp_replace(s3, '[/#]', '.', 'g')], lambda x: x is not null)) as calls, list_concat(imports, list_filter([m1], lambda x: x is not null)) as imports,
-    case when place then 'test/' || path else path end as path, case when place and kind = 'function' then 'test' else kind end as kind) from cur0)
+cur0 as (select *, min(symbol) over m as lo, max(symbol) over m as hi, min(row(unit_id, symbol)) over r as fst, max(row(unit_id, module)) over r as lst, ascii(md5(path)[1]) % 5 = 0 as place
+    from allu where next_snapshot is null window m as (partition by root, module), r as (partition by root)),
+cur as (select * replace (list_concat(calls, list_filter([regexp_replace(hi, '^.*[/#]', ''), case when symbol = lo then regexp_replace(fst[2], '[/#]', '.', 'g') end], lambda x: x is not null)) as calls,
+    list_concat(imports, list_filter([case when symbol = lo then lst[2] end], lambda x: x is not null)) as imports,
+    case when place then 'test/' || path else path end as path, case when place and kind = 'function' then 'test' else kind end as kind), case when kind = 'method' then ':' || regexp_replace(symbol, '^.*[/#]', '') end as dispatch_value from cur0)
 """
 )
-QUERIES_SQL = """, qa as (select root, min(row(unit_id, symbol, module, path)) as a, max(row(unit_id, symbol, module, path, start_line)) as z, max(symbol) as far from cur group by root),
-qb as (select root, a[2] as a_symbol, a[3] as a_module, a[4] as a_path, z[2] as z_symbol, z[3] as z_module, z[4] as z_path, z[5] as z_start, far from qa),
+QUERIES_SQL = """, qa as (select root, min(row(unit_id, symbol, module, path)) as a, max(row(unit_id, symbol, module, path, start_line)) as z, max(symbol) as far, min(dispatch_value) as disp from cur group by root),
+qb as (select root, a[2] as a_symbol, a[3] as a_module, a[4] as a_path, z[2] as z_symbol, z[3] as z_module, z[4] as z_path, z[5] as z_start, far, disp from qa),
 q as (select root, root || '#1' as query_id, [a_symbol] as symbols, []::varchar[] as paths, []::varchar[] as modules, [z_path] as tests, []::varchar[] as prefixes, []::varchar[] as preferred_paths, []::varchar[] as preferred_modules, []::varchar[] as suspected,
     null::varchar as span_path, 0 as span_start, 0 as span_end, 'callers and related tests' as details, true as include_tests, false as definitions from qb
   union all select root, root || '#2', [], [z_path], [coalesce(a_module, '?')], [], ['src/', 'app/', 'lib/', 'core/'], [a_path], [coalesce(z_module, '?')], [far], z_path, z_start + 1, z_start + 9, '', false, true from qb
-  union all select root, root || '#3', [], [], [], [], [], [], [], [], null, 0, 0, 'where is ' || regexp_replace(z_symbol, '^.*[/#]', '') || ' used', false, false from qb)
+  union all select root, root || '#3', [], [], [], [], [], [], [], [], null, 0, 0, 'where is ' || regexp_replace(z_symbol, '^.*[/#]', '') || ' used', false, false from qb
+  union all select root, root || '#4', [], [], [], [], [], [], [], [], null, 0, 0, 'who handles ' || coalesce(disp, '') || ' now', false, false from qb)
 """

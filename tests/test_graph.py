@@ -150,13 +150,13 @@ def test_graph_reasons_equal_the_step_by_step_rule(spark):
     links = {(a, b) for a, b in links if a != b}
     seen_by = {"q1": (2, False, set(ids)), "q2": (3, True, set(ids[:10]))}
     first = {"q1": {"u0", "u3"}, "q2": {"u1"}}
-    rows = [(q, "r", definitions, False, u, path[u], module[u]) for q, (_, definitions, vis) in seen_by.items() for u in vis]
-    v = spark.createDataFrame(rows, "query_id string, root string, definitions boolean, include_tests boolean, unit_id string, path string, module string")
-    e = spark.createDataFrame([("r", a, b) for a, b in links], "root string, caller string, callee string")
+    units = spark.createDataFrame([("r", u, "function", path[u], module[u], "a" if u in ids[:10] else "b") for u in ids], "root string, unit_id string, kind string, path string, module string, language string")
     none = spark.createDataFrame([], "root string, module string, test_path string")
-    f = spark.createDataFrame([(q, u) for q, us in first.items() for u in us], "query_id string, unit_id string")
+    e = spark.createDataFrame([("r", a, b) for a, b in links], "root string, caller string, callee string")
     for q, (depth, definitions, vis) in seen_by.items():
-        got = {(r["unit_id"], r["code"]): r["points"] for r in R.graph_reasons(v.where(F.col("query_id") == q), e, none, f.where(F.col("query_id") == q), depth).groupBy("unit_id", "code").agg(F.max("points").alias("points")).collect()}
+        asked = spark.createDataFrame([(q, "r", definitions, False, [], ["A"] if len(vis) == 10 else [], [])], "query_id string, root string, definitions boolean, include_tests boolean, prefixes array<string>, languages array<string>, tests array<string>")
+        f = spark.createDataFrame([(q, "r", u) for u in first[q]], "query_id string, root string, unit_id string")
+        got = {(r["unit_id"], r["code"]): r["points"] for r in R.graph_reasons(units, asked, e, none, f, depth).groupBy("unit_id", "code").agg(F.max("points").alias("points")).collect()}
         want, frontier, visited = {}, set(first[q]), set(first[q])
         for d in range(depth):
             grown = set()
