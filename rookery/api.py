@@ -6,18 +6,20 @@ is done by the operators. Selections are bound to their snapshot: slices and det
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Mapping, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rookery import errors
-from rookery.operators import context, diff, graph, retrieval
+from rookery.operators import context, diff, graph, outline, retrieval
 from rookery.operators.projections import change_order
 from rookery.operators.structure import anchors, repo_map
-from rookery.sources import scan
+from rookery.sources import scan, sink
 from rookery.sources.extract import extracted, with_use_imports
 from rookery.sources.store import NotFound, UnitStore
 
@@ -55,11 +57,46 @@ def checked_query(query: Mapping) -> dict:
     }
 
 
+def recorded(operation: str):
+    """Records an operation's event, also where it raises; telemetry that fails never fails the operation."""
+
+    def wrap(method):
+        @wraps(method)
+        def run(self, *args, suppress_usage: bool = False, **kw):
+            if self.usage is None or suppress_usage:
+                return method(self, *args, **kw)
+            begin, status, got, error = time.monotonic(), "success", None, None
+            try:
+                got = method(self, *args, **kw)
+                return got
+            except errors.RookeryError as e:
+                status, error = "error", e.payload()
+                raise
+            finally:
+                root = kw.get("root") or (args[0] if args else None)
+                if operation in ("expand_context", "fetch_context_detail"):
+                    root = self.selections.get(root, {}).get("root")
+                query = kw.get("query") or (args[1] if len(args) > 1 else None)
+                trace = dict(query.get("trace") or {}) if isinstance(query, Mapping) else {}
+                answer = got if isinstance(got, dict) else {}
+                fields = {"file_count": answer.get("n_files"), "unit_count": answer.get("n_units"), "confidence_level": answer.get("confidence_level"), "result_status": answer.get("result_status")}
+                fields |= {"selected_units_count": len(answer["focus"]) if "focus" in answer else None, "payload": error or {"selection_id": answer.get("selection_id"), "snapshot_id": answer.get("snapshot_id")}}
+                labels = {k: trace.get(k) for k in ("trace_id", "request_id", "session_id", "task_id", "actor_id")}
+                known = {k: v for k, v in labels.items() if v}
+                sink.safely(self.usage.record_event, {**self.context, **known, **fields, "operation": operation, "status": status, "latency_ms": int(1000 * (time.monotonic() - begin)), "root_path_hash": sink.root_path_hash(root)})
+
+        return run
+
+    return wrap
+
+
 class Workspace:
     """Indexes and selections of one session."""
 
-    def __init__(self, spark: SparkSession, folder: str, language_policy: dict | None = None, allowed_roots: Sequence[str] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, language_policy: dict | None = None, allowed_roots: Sequence[str] | None = None, usage: sink.UsageSink | None = None, context: Mapping | None = None):
+        """``usage`` takes an event of every operation, with the fields of ``context`` (surface, actor, tenant, ...)."""
         self.spark, self.store, self.policy, self.allowed = spark, UnitStore(spark, folder), language_policy, allowed_roots
+        self.usage, self.context = usage, {"surface": "library", **(context or {})}
         self.selections: OrderedDict[str, dict] = OrderedDict()
         self.evicted: OrderedDict[str, None] = OrderedDict()
 
@@ -77,6 +114,7 @@ class Workspace:
             raise errors.NotActive(f"no active language in {root}")
         return files.where(F.col("language").isin(*active)).withColumn("root", F.lit(root))
 
+    @recorded("create_index")
     def create_index(self, root: str, snapshot_id: str | None = None) -> dict:
         """Scans, extracts, links and stores a tree; returns the snapshot's summary."""
         root = self._guard(root)
@@ -85,15 +123,28 @@ class Workspace:
         self._save_text(root, sid, files)
         return self.summary(root, sid)
 
+    @recorded("update_index")
     def update_index(self, root: str, changed: Sequence[str], snapshot_id: str | None = None) -> dict:
-        """Reads the changed paths again and links the whole anew; without paths it is a full rebuild."""
+        """Reads the changed paths again and links the whole anew; texts of the others are taken from the last snapshot, not from the tree. Without
+        paths it is a full rebuild. Changed paths that are gone lose their units."""
         root = self._guard(root)
-        files, sid = self._files(root), snapshot_id or uuid.uuid4().hex
-        some = files.where(F.col("path").isin(*changed)) if changed else files
+        sid, before = snapshot_id or uuid.uuid4().hex, self.store.latest(root)
+        if not changed or before is None:
+            files = self._files(root)
+            self.store.update(root, sid, with_use_imports(extracted(files, "root"), "root"), []) if before else self.store.save(root, sid, with_use_imports(extracted(files, "root"), "root"))
+            self._save_text(root, sid, files)
+            return self.summary(root, sid)
+        some = scan.tree(self.spark, root, only=changed).withColumn("root", F.lit(root))
+        some = some.where(F.col("language").isin(*self._languages(root)))
         self.store.update(root, sid, with_use_imports(extracted(some, "root"), "root"), changed)
-        self._save_text(root, sid, files)
+        self._save_text(root, sid, self._text(root, before).where(~F.col("path").isin(*changed)).unionByName(some.select("path", "text")))
         return self.summary(root, sid)
 
+    def _languages(self, root: str) -> list[str]:
+        """The languages active for a tree: by its paths alone, no file is read."""
+        detected = [r[0] for r in scan.tree(self.spark, root, text=False).select("language").distinct().collect()]
+        return scan.activation([x for x in detected if x], self.policy)["active"] or [""]
+
     def _save_text(self, root: str, sid: str, files: DataFrame) -> None:
         files.select("path", "text").write.mode("overwrite").parquet(f"{self.store.folder}/text/{self.store._at(root, sid)}")
 
@@ -105,9 +156,11 @@ class Workspace:
         r = repo_map(u).first()
         return {"root_path": root, "snapshot_id": snapshot_id or self.store.latest(root), "n_files": r["n_files"] if r else 0, "n_units": r["n_units"] if r else 0}
 
+    @recorded("repo_map")
     def repo_map(self, root: str) -> DataFrame:
         return repo_map(self.store.units(self._guard(root)))
 
+    @recorded("resolve_context")
     def resolve_context(self, root: str, query: Mapping | str) -> dict:
         """Stage 1: a ranked, compact selection. A string is free text; what it names becomes hints."""
         root = self._guard(root)
@@ -149,6 +202,7 @@ class Workspace:
         rows = [r for r in s["rows"] if not unit_ids or r["unit_id"] in unit_ids]
         return self.spark.createDataFrame([Row(**r) for r in rows], s["schema"])
 
+    @recorded("expand_context")
     def expand_context(self, selection_id: str, unit_ids: Sequence[str] | None = None) -> dict:
         """Stage 2: skeletons of the focus (or of the named units) within budget, and impact hints."""
         s = self.selection(selection_id)
@@ -159,9 +213,11 @@ class Workspace:
             hints.setdefault(r["hint"], []).append(r["value"])
         return {"skeletons": [r.asDict() for r in context.skeletons(x, s["query"]["budget"]).select("unit_id", "path", "signature", "rank_band").collect()], "impact_hints": hints}
 
+    @recorded("impact_analysis")
     def impact_analysis(self, root: str, query: Mapping | str) -> dict:
         return self.expand_context(self.resolve_context(root, query)["selection_id"])["impact_hints"]
 
+    @recorded("fetch_context_detail")
     def fetch_context_detail(self, selection_id: str, unit_ids: Sequence[str] | None = None, level: str | None = None) -> dict:
         """Stage 3: raw code of the selected units from the snapshot's text, up to the byte budget."""
         s = self.selection(selection_id)
@@ -203,8 +259,29 @@ class Workspace:
     def query_callees(self, root: str, unit_id: str, limit: int = 100) -> DataFrame:
         return self.store.related(self._guard(root), unit_id, False, limit=limit)
 
+    @recorded("skeletons")
     def skeletons(self, root: str, unit_ids: Sequence[str] | None = None, paths: Sequence[str] | None = None) -> DataFrame:
         """By ids, else by paths, else the first 20 units."""
         u = self.store.units(self._guard(root))
         x = u.where(F.col("unit_id").isin(*unit_ids)) if unit_ids else u.where(F.col("path").isin(*paths)) if paths else u.orderBy("path", "unit_order").limit(20)
         return x.select("unit_id", "path", "symbol", "signature", "start_line", "end_line")
+
+    def record_feedback(self, feedback: Mapping, root: str | None = None) -> bool:
+        """Takes a user's answer to an earlier selection; always true, as telemetry never fails the caller."""
+        if self.usage is not None:
+            sink.safely(self.usage.record_feedback, {**self.context, **({"root_path_hash": sink.root_path_hash(root)} if root else {}), **feedback})
+        return True
+
+    def outline(self, root: str, folder: str | None = None, changed_only: bool = False) -> dict:
+        """The outline of the last snapshot; with ``folder`` it is written there as Markdown, DOT and JSON."""
+        root = self._guard(root)
+        units = self.store.units(root).withColumn("root", F.lit(root))
+        language = units.groupBy("path").agg(F.min("language").alias("language"))
+        files = self._text(root, None).join(language, "path", "left").withColumn("root", F.lit(root))
+        return outline.refresh(root, units, files, folder, changed_only) if folder else outline.artifact(root, units, files)
+
+    def outline_drift(self, root: str, folder: str) -> dict:
+        return outline.drift(self.outline(root), folder)
+
+    def _text(self, root: str, snapshot_id: str | None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store.folder}/text/{self.store._at(root, snapshot_id)}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +13,7 @@ from rookery.operators.diff import DIFF_SQL, changes
 from rookery.operators.retrieval import RANK_SQL, resolve, seeds
 from rookery.plans.views import UNITS_SQL, all_units, linked_units, ranking_queries
 from rookery.sources import scan, store
-from rookery.sources.tables import shared_folder, table
+from rookery.sources.tables import new_folder, table
 from rookery.streaming import rollup
 
 #: What the event contract allows.
@@ -122,16 +121,22 @@ def _selected(s, d: str) -> DataFrame:
 
 
 def _streamed(s, d: str) -> DataFrame:
-    """The daily rollup by a stream over the table's files."""
-    ev, out = table(s, d, "semantic_usage_events"), f"{shared_folder(s)}/rollup-{uuid.uuid4().hex}"
-    rollup.rollup_stream(rollup.stream(s, f"{d}/semantic_usage_event[s].parquet", ev.schema), f"{out}/parts", f"{out}/checkpoint").awaitTermination()
-    return rollup.rolled_up(s, f"{out}/parts").drop("feedback", *usage.CALIBRATION_SCORE)
+    """The daily rollup by streams over both tables, each delivered in several files, ids that come again counting once."""
+    out = new_folder(s, "rollup")
+    frames = []
+    for name in ("semantic_usage_events", "semantic_usage_feedback"):
+        t = table(s, d, name)
+        t.repartitionByRange(4, "id").write.parquet(f"{out}/{name}")
+        frames.append(s.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/{name}"))
+    for q in rollup.rollup_stream(*frames, f"{out}/parts", f"{out}/checkpoint", dedupe=True):
+        q.awaitTermination()
+    return rollup.rolled_up(s, f"{out}/parts")
 
 
 def _stored(s, d: str) -> DataFrame:
     """Units of all current snapshots written by partition and read back with pruning."""
     u = linked_units(s, d)
-    path = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+    path = f"{new_folder(s, 'store')}/rows"
     u.withColumn("root_hash", F.sha2("root", 256)).write.partitionBy("root_hash").parquet(path)
     return s.read.parquet(path).select("root", "snapshot_id", "unit_id")
 
@@ -188,14 +193,6 @@ def _selection_sql() -> str:
     return text[:cut] + ", sel as (" + text[cut:] + ")\n"
 
 
-def _rollup_sql() -> str:
-    """The daily rollup's SQL without feedback."""
-    text = usage.SQL["agg_09_daily_rollup"].replace(" from f)", " from f where false)")
-    for c in ("feedback", *usage.CALIBRATION_SCORE):
-        text = text.replace(f", sum({c})::bigint as {c}", "")
-    return text
-
-
 SQL = {
     "prj_01_compact": RANK_SQL + "select query_id, unit_id, concat_ws(':', path, start_line, end_line) as span, rank_band, array_to_string(codes[1:2], ',') as why from rk",
     "prj_09_coverage": UNITS_SQL + "select root, array_to_string(list_sort(list_distinct(list(language))), ',') as languages, case when count(parser_mode) = 0 then 'unknown' when count(*) filter (parser_mode = 'fallback') = 0 then 'full' when count(*) filter (parser_mode = 'fallback') = count(parser_mode) then 'fallback_only' else 'mixed' end as coverage, count(*) as n_units from cur group by root",
@@ -222,5 +219,5 @@ SQL = {
     + "select root, snapshot_id, row_number() over (partition by root, snapshot_id order by change_type, coalesce(path, baseline_path, ''), coalesce(baseline_path, ''), coalesce(symbol, baseline_symbol, ''), coalesce(unit_id, baseline_unit_id, ''))::int as place, change_type, coalesce(unit_id, baseline_unit_id) as unit_id from ch where change_type <> 'unchanged'",
     "join_11_span_overlap": RANK_SQL + "select query_id, unit_id from s0 where code = 'diff_overlap_direct'",
     "join_13_module_containment": RANK_SQL + "select query_id, unit_id from s0 where code = 'target_module_match'",
-    "str_01_streamed_rollup": _rollup_sql(),
+    "str_01_streamed_rollup": usage.SQL["agg_09_daily_rollup"].replace(usage._BASE, usage._ONCE),
 }

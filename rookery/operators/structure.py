@@ -70,9 +70,17 @@ def _joined(df: DataFrame) -> DataFrame:
 
 
 def repo_map(units: DataFrame, limit: int = 20) -> DataFrame:
-    """First paths and modules of each directory, and counts."""
-    cut = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, limit), ",")
-    return units.groupBy("root").agg(F.countDistinct("path").alias("n_files"), F.count(F.lit(1)).alias("n_units"), cut("path").alias("paths"), cut("module").alias("modules"))
+    """First paths and modules of each directory, and counts; no list ever holds more than ``limit`` entries."""
+
+    def firsts(column: str, name: str) -> DataFrame:
+        one = units.where(F.col(column).isNotNull()).select("root", column).distinct()
+        w = Window.partitionBy("root").orderBy(column)
+        some = one.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
+        return some.groupBy("root").agg(F.array_join(F.array_sort(F.collect_list(column)), ",").alias(name))
+
+    counts = units.groupBy("root").agg(F.countDistinct("path").alias("n_files"), F.count(F.lit(1)).alias("n_units"))
+    x = counts.join(firsts("path", "paths"), "root", "left").join(firsts("module", "modules"), "root", "left")
+    return x.select("root", "n_files", "n_units", F.coalesce("paths", F.lit("")).alias("paths"), F.coalesce("modules", F.lit("")).alias("modules"))
 
 
 QUERIES = {

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from rookery.operators import context, diff, evaluate, graph, identity, packets, projections, quality, retrieval, snapshots, structure, trailing, usage
+from rookery.operators import context, diff, evaluate, graph, identity, outline, packets, projections, quality, retrieval, snapshots, structure, trailing, usage
 from rookery.sources import scan, sink
 
 FLAGSHIP = "p2_rolling"
-MODULES = (trailing, snapshots, usage, identity, diff, graph, retrieval, context, quality, evaluate, structure, scan, projections, sink, packets)
+MODULES = (trailing, snapshots, usage, identity, diff, graph, retrieval, context, quality, evaluate, structure, scan, projections, sink, packets, outline)
 
 
 def queries() -> dict:

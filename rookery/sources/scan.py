@@ -25,10 +25,17 @@ def not_ignored(path: Column) -> Column:
     return ~F.exists(F.split(path, "/+"), lambda s: s.isin(*IGNORED))
 
 
-def tree(spark: SparkSession, root: str, text: bool = True) -> DataFrame:
-    """path (relative), language and text of all source files below ``root``; without ``text`` contents are not read."""
+def tree(spark: SparkSession, root: str, text: bool = True, only: Sequence[str] | None = None) -> DataFrame:
+    """path (relative), language and text of all source files below ``root``, or of those among ``only`` that are there; without ``text`` no content is read."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    reader = spark.read.format("binaryFile")
+    if only is None:
+        raw = reader.option("recursiveFileLookup", True).load(base)
+    else:
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(base).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [f"{base}/{p}" for p in dict.fromkeys(only) if fs.exists(at(f"{base}/{p}"))]
+        raw = reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
     full = F.regexp_replace(F.col("path"), r"^file:/+", "/")
     rel = F.expr(f"substring(p, {len(base) + 2})") if base.startswith("/") else F.regexp_replace(F.col("p"), "^.*?" + base + "/", "")
     x = raw.withColumn("p", full).withColumn("path", rel).withColumn("language", language_by_path(F.col("path"))).where("language is not null").where(not_ignored(F.col("path")))

@@ -7,11 +7,13 @@ The key is the event's date; the correlation of streams has a watermark, beyond
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.operators import trailing
-from rookery.operators.usage import CALIBRATION_SCORE, correlation_key, daily_rollup, normalized_events
+from rookery.operators.usage import CALIBRATION_SCORE, correlation_key, daily_rollup, normalized_events, normalized_feedback
 
 COUNTERS = ("events", "successes", "errors", "cache_hits", "degraded", "latency_total", "feedback", *CALIBRATION_SCORE)
 
@@ -20,31 +22,56 @@ def stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def rollup_stream(events: DataFrame, out: str, checkpoint: str, once: bool = True):
-    """Starts the daily rollup of a stream of usage events; partial counters go to ``out`` by batch."""
+def _once(rows: DataFrame, key: str, late: str | None) -> DataFrame:
+    """Deliveries again of one key are dropped while the state remembers it: for ``late`` behind the newest event, or for good without it.
 
-    def sink(batch: DataFrame, number: int) -> None:
-        none = batch.sparkSession.createDataFrame([], "occurred_at timestamp_ntz, surface string, operation string, feedback_outcome string")
-        daily_rollup(normalized_events(batch), none).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    Rows without key are told apart by their ``id``."""
+    k = rows.withColumn("_key", F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("id").cast("string"))))
+    if late is None:
+        return k.dropDuplicates(["_key"]).drop("_key")
+    timed = k.withColumn("_at", F.col("occurred_at").cast("timestamp")).withWatermark("_at", late)
+    return timed.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_at")
 
-    w = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if once else w).start()
+
+def _sink(out: str, counted):
+    def write(batch: DataFrame, number: int) -> None:
+        counted(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return write
+
+
+def rollup_stream(events: DataFrame, feedback: DataFrame | None, out: str, checkpoint: str, once: bool = True, dedupe: bool = False, late: str | None = None) -> list:
+    """Starts the daily rollup of streams of usage events and of feedback; partial counters go to ``out`` by stream and batch.
+
+    Two queries, as counters of the two add up; with ``dedupe`` an event or feedback id counts once over all batches."""
+    session = events.sparkSession
+    no_events = lambda: session.createDataFrame([], "occurred_at timestamp_ntz, surface string, operation string, status string, cache_hit boolean, result_status string, latency_ms bigint")
+    no_feedback = lambda: session.createDataFrame([], "occurred_at timestamp_ntz, surface string, operation string, feedback_outcome string")
+    parts = [("events", events, "event_id", lambda b: daily_rollup(normalized_events(b), no_feedback()))]
+    if feedback is not None:
+        parts.append(("feedback", feedback, "feedback_id", lambda b: daily_rollup(no_events(), normalized_feedback(b))))
+    started = []
+    for name, rows, key, counted in parts:
+        x = _once(rows, key, late) if dedupe else rows
+        w = x.writeStream.queryName(f"{name}-{uuid.uuid4().hex}").foreachBatch(_sink(f"{out}/{name}", counted)).option("checkpointLocation", f"{checkpoint}/{name}")
+        started.append((w.trigger(availableNow=True) if once else w).start())
+    return started
 
 
 def rolled_up(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).groupBy("metric_date", "surface", "operation").agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTERS])
+    rows = spark.read.option("recursiveFileLookup", True).parquet(out)
+    return rows.groupBy("metric_date", "surface", "operation").agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTERS])
 
 
-def tree_stream(events: DataFrame, out: str, checkpoint: str, entity=("surface", "operation"), once: bool = True):
+def tree_stream(events: DataFrame, out: str, checkpoint: str, entity=("surface", "operation"), once: bool = True, late: str | None = None):
     """Keeps a trailing-totals tree up to date: late rows of any day append the nodes above that day, nothing else.
 
-    Deliveries of an event in different batches count twice here; the batch operator tells them apart."""
+    An event counts once, in whatever batch it is delivered again: its id stays in the stream's state, for good or for ``late``."""
 
-    def sink(batch: DataFrame, number: int) -> None:
-        leaves = trailing.daily_leaves(trailing.distinct_events(batch), list(entity))
-        trailing.build_tree(leaves, list(entity)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def leaves(batch: DataFrame) -> DataFrame:
+        return trailing.build_tree(trailing.daily_leaves(trailing.distinct_events(batch), list(entity)), list(entity))
 
-    w = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = _once(events, "event_id", late).writeStream.foreachBatch(_sink(out, leaves)).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 

@@ -1,6 +1,8 @@
 import datetime as dt
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from rookery import errors
 from rookery.api import KEPT, Workspace, checked_query
@@ -102,22 +104,30 @@ def test_artifacts(spark, tmp_path):
 
 
 def test_streams_equal_the_batch(spark, tables, tmp_path):
+    """Several batches; ids delivered again in later ones count once where that is asked for."""
     from rookery.operators import trailing, usage
     from rookery.sources.tables import table
 
-    ev = table(spark, tables, "semantic_usage_events")
-    src = str(tmp_path / "in")
-    ev.repartition(3).write.parquet(src)
-    s = rollup.stream(spark, src, ev.schema).select(ev.columns)
-    rollup.rollup_stream(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    none = spark.createDataFrame([], "occurred_at timestamp_ntz, surface string, operation string, feedback_outcome string")
+    ev, fb = table(spark, tables, "semantic_usage_events"), table(spark, tables, "semantic_usage_feedback")
+    src = {n: str(tmp_path / n) for n in ("ev", "fb")}
+    ev.repartition(3).write.parquet(src["ev"])
+    ev.limit(40).withColumn("id", F.col("id") + 10_000_000).write.mode("append").parquet(src["ev"])
+    fb.repartition(2).write.parquet(src["fb"])
+    read = lambda n, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src[n])
     key = lambda df: sorted(tuple(r) for r in df.select("metric_date", "surface", "operation", *rollup.COUNTERS).collect())
-    assert key(rollup.rolled_up(spark, str(tmp_path / "out"))) == key(usage.daily_rollup(usage.normalized_events(ev), none))
-    one = ev.dropDuplicates(["event_id"])
-    one.write.parquet(str(tmp_path / "in2"))
-    rollup.tree_stream(rollup.stream(spark, str(tmp_path / "in2"), ev.schema), str(tmp_path / "tree"), str(tmp_path / "cp2")).awaitTermination()
-    tree = trailing.stored_tree(spark.read.parquet(str(tmp_path / "tree")), ["surface", "operation"])
-    assert tree.count() == trailing.event_tree(spark, tables).count()
+    for dedupe in (False, True):
+        out = str(tmp_path / f"out-{dedupe}")
+        for q in rollup.rollup_stream(read("ev", ev), read("fb", fb), out, str(tmp_path / f"cp-{dedupe}"), dedupe=dedupe):
+            q.awaitTermination()
+        e, f = (spark.read.parquet(src[n]) for n in ("ev", "fb"))
+        if dedupe:
+            e, f = usage.once(e, "event_id"), usage.once(f, "feedback_id")
+        assert key(rollup.rolled_up(spark, out)) == key(usage.daily_rollup(usage.normalized_events(e), usage.normalized_feedback(f)))
+    assert len(os.listdir(tmp_path / "out-True" / "events")) >= 3
+    rollup.tree_stream(read("ev", ev), str(tmp_path / "tree"), str(tmp_path / "cp2")).awaitTermination()
+    tree = trailing.stored_tree(spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "tree")), ["surface", "operation"])
+    rows = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    assert rows(tree) == rows(trailing.event_tree(spark, tables).select(*tree.columns))
 
 
 def test_correlated_stream(spark, tmp_path):
