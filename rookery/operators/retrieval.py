@@ -113,48 +113,56 @@ def seen(pairs: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
     return x.where(may_see(is_test())).select(*pairs.columns)
 
 
-def _keyed(queries: DataFrame, field: str, name: str) -> DataFrame:
-    return queries.select("query_id", "root", F.explode(field).alias(name)).distinct()
+def unit_keys(units: DataFrame) -> DataFrame:
+    """(root, unit_id, field, key): what a unit can be named by: its symbol, path, module and, outside of vendored, fixture and generated paths, its name."""
+    k = lambda field, c: F.struct(F.lit(field).alias("field"), c.alias("key"))
+    own = ~path_class(F.col("path")).isin("vendored", "fixture", "generated")
+    after = F.when(F.contains("symbol", F.lit("/")), symbolish(F.expr("substring(symbol, instr(symbol, '/') + 1)")))
+    keys = F.array(k("symbol", F.col("symbol")), k("path", F.col("path")), k("module", F.col("module")), k("name", F.when(own, symbolish(F.coalesce("symbol", F.lit(""))))), k("name", F.when(own, after)))
+    return units.select("root", "unit_id", F.inline(F.array_distinct(F.filter(keys, lambda x: x["key"].isNotNull()))))
 
 
-def _in_modules(queries: DataFrame, field: str, units: DataFrame) -> DataFrame:
-    """(query_id, root, module): the directory's modules that contain one of the query's."""
-    modules = units.where("module is not null").select("root", "module").distinct()
-    return modules.join(_keyed(queries, field, "part"), "root").where(F.contains("module", F.col("part"))).select("query_id", "root", "module").distinct()
+#: Query field, what of a unit it names, and the reason; the second list names parts of it.
+_WHOLE = (("symbols", "symbol", "exact_target_resolved"), ("paths", "path", "target_path_match"), ("tests", "path", "target_test_match"), ("preferred_paths", "path", "hint_preferred_path"), ("suspected", "name", "hint_suspected_symbol_exact"))
+_PARTS = (("modules", "module", "target_module_match"), ("preferred_modules", "module", "hint_preferred_module"), ("suspected", "name", "hint_suspected_symbol_segment"))
 
 
-def suspected_pairs(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, root, unit_id, code) of suspected symbols, whole or as a part of at least 4 characters, outside of vendored, fixture and generated paths."""
-    after = F.when(F.contains("symbol", F.lit("/")), symbolish(F.expr("substring(symbol, instr(symbol, '/') + 1)")))
-    u = units.where(~path_class(F.col("path")).isin("vendored", "fixture", "generated")).select("root", "unit_id", F.explode(F.array_distinct(F.array_compact(F.array(symbolish(F.coalesce("symbol", F.lit(""))), after)))).alias("name"))
-    asked = queries.select("query_id", "root", F.explode("suspected").alias("raw")).select("query_id", "root", symbolish(F.col("raw")).alias("name"), (F.length("raw") >= 4).alias("long")).distinct()
-    exact = u.join(asked, ["root", "name"]).select("query_id", "root", "unit_id").distinct()
-    names = u.select("root", "name").distinct().join(asked.where("long").withColumnRenamed("name", "part"), "root").where(F.contains("name", F.col("part"))).select("query_id", "root", "name").distinct()
-    some = u.join(names, ["root", "name"]).select("query_id", "root", "unit_id").distinct().join(exact, ["query_id", "root", "unit_id"], "left_anti")
-    return exact.withColumn("code", F.lit("hint_suspected_symbol_exact")).unionByName(some.withColumn("code", F.lit("hint_suspected_symbol_segment")))
+def _asked(queries: DataFrame, fields: tuple) -> DataFrame:
+    """(query_id, root, field, key, code) of what the queries name."""
+    named = lambda c, field, code: F.transform(F.filter(c, lambda v: v.isNotNull()), lambda v: F.struct(F.lit(field).alias("field"), (symbolish(v) if field == "name" else v).alias("key"), F.lit(code).alias("code")))
+    return queries.select("query_id", "root", F.inline(F.array_distinct(F.concat(*[named(F.col(c), field, code) for c, field, code in fields]))))
 
 
 def dispatch_pairs(queries: DataFrame, units: DataFrame) -> DataFrame:
     """(query_id, root, unit_id, code): units whose dispatch value contains a word of the query's free text."""
     u = units.where("dispatch_value <> ''").select("root", "unit_id", F.lower("dispatch_value").alias("value"))
     q = queries.select("query_id", "root", F.explode(lexical_tokens(F.col("details"))).alias("word"))
-    return u.join(q, "root").where(F.contains("value", F.col("word"))).select("query_id", "root", "unit_id", F.lit("dispatch_value_match").alias("code")).distinct()
+    return u.join(q, "root").where(F.contains("value", F.col("word"))).select("query_id", "root", "unit_id", F.lit("dispatch_value_match").alias("code"))
 
 
-def seeds(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, root, unit_id, code) of structural, dispatch and suspected-symbol evidence that the queries may see."""
+def named_units(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, root, unit_id, code) of all that the queries name and may see, structural evidence and hints.
+
+    Parts (of modules, of suspected symbols of at least 4 characters) are looked for in a directory's distinct modules and names; then whole and partial
+    names meet the units in one join. A partial hint does not count where the whole one holds."""
     ids = ["query_id", "root", "unit_id"]
-    by = lambda field, column, code: units.select("root", "unit_id", column).join(_keyed(queries, field, column), ["root", column]).select(*ids, F.lit(code).alias("code"))
+    keys = unit_keys(units)
+    distinct = keys.where("field in ('module', 'name')").select("root", "field", "key").distinct()
+    parts = _asked(queries, _PARTS).where("field <> 'name' or length(key) >= 4").withColumnRenamed("key", "part")
+    partial = distinct.join(parts, ["root", "field"]).where(F.contains("key", F.col("part"))).select("query_id", "root", "field", "key", "code")
+    pairs = keys.join(_asked(queries, _WHOLE).unionByName(partial), ["root", "field", "key"]).select(*ids, "code")
     span = queries.select("query_id", "root", F.explode("spans").alias("s")).select("query_id", "root", F.col("s.path").alias("path"), F.col("s.start_line").alias("a"), F.col("s.end_line").alias("b"))
-    overlap = units.select("root", "unit_id", "path", "start_line", "end_line").join(span, ["root", "path"]).where("start_line <= b and a <= end_line").select(*ids, F.lit("diff_overlap_direct").alias("code"))
-    modules = units.select("root", "unit_id", "module").join(_in_modules(queries, "modules", units), ["root", "module"]).select(*ids, F.lit("target_module_match").alias("code"))
-    out = by("symbols", "symbol", "exact_target_resolved")
-    parts = [by("paths", "path", "target_path_match"), overlap, modules, by("tests", "path", "target_test_match"), suspected_pairs(queries, units)]
+    pairs = pairs.unionByName(units.select("root", "unit_id", "path", "start_line", "end_line").join(span, ["root", "path"]).where("start_line <= b and a <= end_line").select(*ids, F.lit("diff_overlap_direct").alias("code")))
     if "dispatch_value" in units.columns:
-        parts.append(dispatch_pairs(queries, units))
-    for part in parts:
-        out = out.unionByName(part)
-    return seen(out.distinct(), units, queries)
+        pairs = pairs.unionByName(dispatch_pairs(queries, units))
+    codes = seen(pairs.groupBy(*ids).agg(F.collect_set("code").alias("codes")), units, queries)  # a unit has one code of a kind
+    whole, part = "hint_suspected_symbol_exact", "hint_suspected_symbol_segment"
+    return codes.select(*ids, F.explode(F.when(F.array_contains("codes", whole), F.array_remove("codes", part)).otherwise(F.col("codes"))).alias("code"))
+
+
+def seeds(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, root, unit_id, code) of structural, dispatch and suspected-symbol evidence."""
+    return named_units(units, queries).where("code not like 'hint_preferred%'")
 
 
 def lexical_seeds(units: DataFrame, queries: DataFrame, seeded: DataFrame) -> DataFrame:
@@ -174,34 +182,34 @@ def graph_reasons(units: DataFrame, queries: DataFrame, edges: DataFrame, target
     """(query_id, root, unit_id, code, points) from up to ``depth`` hops; only call edges carry the frontier on.
 
     ``first``: (query_id, root, unit_id) of the seeds."""
-    ids = ["query_id", "root", "unit_id"]
+    ids, on = ["query_id", "root", "unit_id"], ["root", "field", "key"]
     place = units.select("root", "unit_id", "path", "module")
+    pair = lambda code, field, c: F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), c.alias("key"))
+    keys = units.select("root", "unit_id", F.inline(F.array(F.struct(F.lit("module").alias("field"), F.col("module").alias("key")), F.struct(F.lit("path").alias("field"), F.col("path").alias("key")))))
+    way = lambda a, b, code: edges.select("root", F.col(a).alias("unit_id"), F.col(b).alias("near"), F.lit(code).alias("code"))
+    links = way("caller", "callee", "graph_callee_neighbor").unionByName(way("callee", "caller", "graph_caller_neighbor")).where("near <> unit_id")
+    flags = queries.select("query_id", F.when(F.col("definitions"), CALLER_PENALTY).otherwise(0).alias("less"), F.col("include_tests").alias("wants"))
     out, frontier = None, first.select(*ids).distinct()
     done = frontier
     for d in range(depth):
-        less = queries.select("query_id", F.when(F.col("definitions"), CALLER_PENALTY).otherwise(0).alias("less"), F.col("include_tests").alias("wants"))
-        f = frontier.join(place, ["root", "unit_id"]).join(less, "query_id")
-        plain = lambda code: F.lit(max(0, POINTS[code][1] - DECAY * d))  # noqa: B023, E731
-        step = lambda a, b, code, minus: f.join(edges.select("root", F.col(a).alias("unit_id"), F.col(b).alias("near")), ["root", "unit_id"]).where("near <> unit_id").select("query_id", "root", F.col("near").alias("unit_id"), F.lit(code).alias("code"), (plain(code) - minus).alias("points"))  # noqa: B023, E731
-        linked = step("caller", "callee", "graph_callee_neighbor", F.lit(0)).unionByName(step("callee", "caller", "graph_caller_neighbor", F.col("less")))
-        hop = linked
-
-        def around(group: DataFrame, key: str, code: str) -> DataFrame:
-            """Units with the key of a source other than themselves; ``group`` has query_id, root, key, n sources and one of them."""
-            x = group.join(place.select("root", "unit_id", key), ["root", key]).where((F.col("n") > 1) | (F.col("one") != F.col("unit_id")))
-            return x.select(*ids, F.lit(code).alias("code"), plain(code).alias("points"))  # noqa: B023
-
-        sources = lambda x, key: x.groupBy("query_id", "root", key).agg(F.countDistinct("unit_id").alias("n"), F.min("unit_id").alias("one"))
-        hop = hop.unionByName(around(sources(f, "module"), "module", "graph_module_neighbor")).unionByName(around(sources(f, "path"), "path", "graph_path_neighbor"))
-        aims = f.where("wants").drop("path").join(targets, ["root", "module"]).withColumnRenamed("test_path", "path")
-        hop = hop.unionByName(around(sources(aims, "path"), "path", "graph_related_test_neighbor"))
-        hop = seen(hop.groupBy(*ids, "code").agg(F.max("points").alias("points")), units, queries)
+        points = F.create_map(*[F.lit(v) for code, (_, p) in POINTS.items() if code.startswith("graph_") for v in (code, max(0, p - DECAY * d))])
+        f = frontier.join(place, ["root", "unit_id"]).join(flags, "query_id")
+        worth = points[F.col("code")] - F.when(F.col("code") == "graph_caller_neighbor", F.col("less")).otherwise(0)
+        linked = f.join(links, ["root", "unit_id"]).select("query_id", "root", F.col("near").alias("unit_id"), "code", worth.alias("points"))
+        sources = f.select(*ids, F.inline(F.array(pair("graph_module_neighbor", "module", F.col("module")), pair("graph_path_neighbor", "path", F.col("path")))))
+        aims = f.where("wants").join(targets, ["root", "module"]).select(*ids, F.lit("graph_related_test_neighbor").alias("code"), F.lit("path").alias("field"), F.col("test_path").alias("key"))
+        groups = sources.unionByName(aims).where("key is not null").groupBy("query_id", "root", "code", "field", "key").agg(F.min("unit_id").alias("one"), F.max("unit_id").alias("other"))
+        # a unit is reached by a source other than itself
+        around = groups.join(keys, on).where("one <> other or one <> unit_id").select(*ids, "code", points[F.col("code")].alias("points"))
+        hop = seen(linked.unionByName(around).groupBy(*ids, "code").agg(F.max("points").alias("points")), units, queries)
         hop = checkpointed(hop) if d + 1 < depth else hop
         out = hop if out is None else out.unionByName(hop)
         if d + 1 < depth:
             grown = hop.where("code in ('graph_callee_neighbor', 'graph_caller_neighbor')").select(*ids).distinct()
-            frontier = checkpointed(grown.join(done, ids, "left_anti"))
-            done = done.unionByName(frontier)
+            frontier = grown.join(done, ids, "left_anti")
+            if d + 2 < depth:
+                frontier = checkpointed(frontier)
+                done = done.unionByName(frontier)
     return out.where("points > 0")
 
 
@@ -210,17 +218,14 @@ def reasons(units: DataFrame, queries: DataFrame, edges: DataFrame, depth: int =
     ids = ["query_id", "root", "unit_id"]
     if "languages" not in queries.columns:
         queries = queries.withColumn("languages", F.array().cast("array<string>"))
-    base = checkpointed(seeds(units, queries))
+    named = checkpointed(named_units(units, queries))
+    base = named.where("code not like 'hint_preferred%'")
     base = checkpointed(base.unionByName(lexical_seeds(units, queries, base)))
     points = F.create_map(*[F.lit(x) for k, (_, p) in POINTS.items() for x in (k, p)])
-    direct = base.withColumn("points", points[F.col("code")])
-    both = direct.unionByName(graph_reasons(units, queries, edges, test_targets(units), base, depth)).groupBy(*ids, "code").agg(F.max("points").alias("points")).where("points > 0")
-    wanted = units.select("root", "unit_id", "path").join(_keyed(queries, "preferred_paths", "path"), ["root", "path"]).select(*ids, F.lit("hint_preferred_path").alias("code"))
-    wanted = wanted.unionByName(units.select("root", "unit_id", "module").join(_in_modules(queries, "preferred_modules", units), ["root", "module"]).select(*ids, F.lit("hint_preferred_module").alias("code")))
-    boost = seen(wanted, units, queries)
+    both = base.withColumn("points", points[F.col("code")]).unionByName(graph_reasons(units, queries, edges, test_targets(units), base, depth)).groupBy(*ids, "code").agg(F.max("points").alias("points")).where("points > 0")
     source = units.where(path_class(F.col("path")) == "source").select("root", "unit_id")
     prior = both.select(*ids).distinct().join(source, ["root", "unit_id"]).select(*ids, F.lit("source_path_prior").alias("code"))
-    return both.unionByName(boost.unionByName(prior).withColumn("points", points[F.col("code")]))
+    return both.unionByName(named.where("code like 'hint_preferred%'").unionByName(prior).withColumn("points", points[F.col("code")]))
 
 
 def ranked(evidence: DataFrame, units: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -311,7 +316,7 @@ QUERIES = {
     "scr_09_ranked": lambda s, d: _ranked(s, d).select("query_id", "place", "unit_id", "path", "score", "tier1", "tier2", "tier3", "tier4", "rank_band", F.concat_ws(",", "codes").alias("codes")),
     "scr_01_seeds": lambda s, d: seeds(u := linked_units(s, d), ranking_queries(u)).select("query_id", "unit_id", "code"),
     "scr_05_lexical": lambda s, d: lexical_seeds(u := linked_units(s, d), q := ranking_queries(u), seeds(u, q)).select("query_id", "unit_id", "code"),
-    "flt_06_dispatch": lambda s, d: dispatch_pairs(ranking_queries(u := linked_units(s, d)), u).select("query_id", "unit_id"),
+    "flt_06_dispatch": lambda s, d: dispatch_pairs(ranking_queries(u := linked_units(s, d)), u).select("query_id", "unit_id").distinct(),
     "join_16_graph": lambda s, d: _evidence(s, d).where("code like 'graph%'").select("query_id", "unit_id", "code", F.col("points").cast("bigint").alias("points")),
     "scr_06_boosts": lambda s, d: _evidence(s, d).where("code like 'hint_preferred%' or code = 'source_path_prior'").select("query_id", "unit_id", "code"),
     "flt_01_visible": lambda s, d: visible(u := linked_units(s, d), ranking_queries(u)).select("query_id", "unit_id", "class"),
