@@ -58,6 +58,30 @@ def skeletons(ranked: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prefix_fit(ranked, quarter(F.col("signature")), F.lit(max(160, int(budget * 0.20))), ["query_id"], ["place"])
 
 
+def capability_units(ranked: DataFrame) -> DataFrame:
+    """The units in the two upper bands, or all where a query has none there."""
+    sure = F.col("rank_band").isin("top_authority", "useful_support")
+    some = F.max(sure).over(Window.partitionBy("query_id"))
+    return ranked.withColumn("_some", some).where(sure | ~F.col("_some")).drop("_some")
+
+
+def capabilities(ranked: DataFrame) -> DataFrame:
+    """query_id, languages, parser modes, coverage and the ceiling of confidence (0 to 2) that the selected units' languages allow.
+
+    A language counts as low where all its units came from the fallback parser; the weakest language decides. Mixed coverage allows medium at
+    most, fallback alone low. Units without a language are left out of the strengths."""
+    weak = F.coalesce(F.col("parser_mode") == "fallback", F.lit(False))
+    strength = F.coalesce(F.create_map(*[F.lit(v) for k, n in STRENGTH.items() for v in (k, n)])[F.lower("language")], F.lit(0))
+    x = capability_units(ranked).withColumn("_all", F.min(weak).over(Window.partitionBy("query_id", "language")))
+    g = x.groupBy("query_id").agg(
+        F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"), F.array_join(F.array_sort(F.collect_set("parser_mode")), ",").alias("modes"), F.count(F.lit(1)).alias("n_units"), F.count_if(weak).alias("n_fallback"),
+        F.coalesce(F.min(F.when(F.col("language").isNotNull(), F.when(F.col("_all"), 0).otherwise(strength))), F.lit(0)).alias("_strength"),
+    )
+    level = F.when(F.col("n_fallback") == 0, "full").when(F.col("n_fallback") < F.col("n_units"), "mixed").otherwise("fallback_only")
+    ceiling = F.when(level == "fallback_only", 0).when(level == "mixed", F.least("_strength", F.lit(1))).otherwise(F.col("_strength"))
+    return g.select("query_id", "languages", "modes", level.alias("coverage"), "n_units", "n_fallback", ceiling.alias("ceiling"))
+
+
 def selections(ranked: DataFrame, queries: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row per query: status, confidence, its warnings, capability ceiling and the recommended next step.
 
@@ -65,24 +89,20 @@ def selections(ranked: DataFrame, queries: DataFrame, budget: int = BUDGET) -> D
     top = lambda c: F.max_by(c, -F.col("place"))
     second = F.max(F.when(F.col("place") == 2, F.col("score")))
     x = ranked.join(queries.select("query_id", "symbols", "paths", "modules", "tests", "spans"), "query_id")
-    strength = F.coalesce(F.create_map(*[F.lit(v) for k, n in STRENGTH.items() for v in (k, n)])[F.col("language")], F.lit(0))
-    sure = F.col("rank_band").isin("top_authority", "useful_support")
     first_size = F.max(F.when(F.col("place") == 1, compact_tokens()))
     g = x.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), top("tier1").alias("t1"), top("tier2").alias("t2"), top("score").alias("s1"), second.alias("s2"), F.bool_or(F.array_contains("symbols", F.col("symbol"))).alias("exact"),
-        F.bool_or(F.col("parser_mode") == "fallback").alias("fallback"), F.count_if(sure).alias("n_sure"), F.min(F.when(sure, strength)).alias("sure_strength"), F.min(strength).alias("any_strength"),
-        F.count_if(sure & (F.col("parser_mode") == "fallback")).alias("sure_fallback"), F.count_if(F.col("parser_mode") == "fallback").alias("any_fallback"), first_size.alias("first_size"),
+        F.bool_or(F.col("parser_mode") == "fallback").alias("fallback"), first_size.alias("first_size"),
     )
     q = queries.select("query_id", F.size("spans").alias("n_spans"), F.size("paths").alias("n_paths"), (F.size("symbols") + F.size("paths") + F.size("modules") + F.size("tests") + F.size("spans")).alias("n_targets"))
-    x = q.join(g, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ceilings = capabilities(ranked).select("query_id", "ceiling")
+    x = q.join(g, "query_id", "left").join(ceilings, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     no = F.lit(False)
     ambiguous = F.coalesce(F.abs(F.col("s1") - F.col("s2")) <= AMBIGUITY, no)
     exact, fallback = F.coalesce("exact", no), F.coalesce("fallback", no)
     t1, t2 = F.coalesce("t1", F.lit(0)), F.coalesce("t2", F.lit(0))
     level = F.when(fallback, 0).when((t1 > 0) & exact & ~ambiguous, 2).when((t1 > 0) | (t2 >= 50) | exact | (F.col("n_spans") > 0) | (F.col("n_paths") > 0), 1).otherwise(0)
-    many = F.col("n_sure") > 0
-    strong, weak, of = F.when(many, F.col("sure_strength")).otherwise(F.col("any_strength")), F.when(many, F.col("sure_fallback")).otherwise(F.col("any_fallback")), F.when(many, F.col("n_sure")).otherwise(F.col("n"))
-    ceiling = F.when(F.col("n") == 0, 0).when(weak == of, 0).when(weak > 0, F.least(strong, F.lit(1))).otherwise(strong)
+    ceiling = F.coalesce("ceiling", F.lit(0))
     capped = F.least(level, ceiling)
     name = lambda c: F.element_at(F.array(*map(F.lit, LEVELS)), c + 1)
     warnings = F.array_compact(F.array(F.when(fallback, "parser_fallback"), F.when(t1 == 0, "no_tier1_evidence"), F.when(ambiguous, "target_ambiguous"), F.when(capped < level, "capability_ceiling")))
@@ -182,6 +202,7 @@ def _budgets(spark, d: str) -> DataFrame:
 QUERIES = {
     "win_01_skeleton_fit": lambda s, d: skeletons(_rank(s, d)[0]).select("query_id", "place", "unit_id", "used"),
     "win_02_focus_fit": _focus,
+    "prj_09_capabilities": lambda s, d: capabilities(_rank(s, d)[0]),
     "scr_10_selection": _selections,
     "scr_15_stage_budgets": _budgets,
     "scr_16_raw_fetch": _raw,
@@ -194,16 +215,22 @@ QUERIES = {
 _LINES = lambda t: f"case when {t} is null or regexp_replace({t}, '(\\r?\\n)+\\z', '') = '' then []::varchar[] else string_split_regex(regexp_replace({t}, '(\\r?\\n)+\\z', ''), '\\r?\\n') end"
 _COMPACT = "ceil((length(coalesce(symbol, '')) + length(path) + length(unit_id) + 24) / 4.0)::bigint"
 _STRONG = "case language " + " ".join(f"when '{k}' then {v}" for k, v in STRENGTH.items()) + " else 0 end"
+_CAP_SQL = f""", cu as (select * from (select *, bool_or(rank_band in ('top_authority', 'useful_support')) over (partition by query_id) as sure from rk) where rank_band in ('top_authority', 'useful_support') or not sure),
+    cv as (select *, coalesce(parser_mode = 'fallback', false) as weak, bool_and(coalesce(parser_mode = 'fallback', false)) over (partition by query_id, language) as lang_weak from cu),
+    cw as (select query_id, coalesce(array_to_string(list_sort(list_distinct(list(language))), ','), '') as languages, coalesce(array_to_string(list_sort(list_distinct(list(parser_mode))), ','), '') as modes, count(*) as n_units, count(*) filter (weak) as n_fallback,
+      coalesce(min(case when language is null then null when lang_weak then 0 else {_STRONG} end), 0) as strength from cv group by query_id),
+    cap as (select query_id, languages, modes, case when n_fallback = 0 then 'full' when n_fallback < n_units then 'mixed' else 'fallback_only' end as coverage, n_units, n_fallback,
+      (case when n_fallback = n_units then 0 when n_fallback > 0 then least(strength, 1) else strength end)::int as ceiling from cw)"""
 SQL = {
+    "prj_09_capabilities": RANK_SQL + _CAP_SQL + " select query_id, languages, modes, coverage, n_units, n_fallback, ceiling from cap",
     "win_01_skeleton_fit": RANK_SQL + "select * from (select query_id, place, unit_id, sum(ceil(length(coalesce(signature, '')) / 4.0)::bigint) over (partition by query_id order by place)::bigint as used from rk) where used <= 360",
     "win_02_focus_fit": RANK_SQL + f"select * from (select query_id, place, unit_id, sum({_COMPACT}) over (partition by query_id order by place)::bigint as used from rk) where used <= 180 and place <= 5",
     "scr_10_selection": RANK_SQL
+    + _CAP_SQL
     + f""", gs as (select query_id, count(*) as n, first(tier1) filter (place = 1) as t1, first(tier2) filter (place = 1) as t2, first(score) filter (place = 1) as s1, first(score) filter (place = 2) as s2, bool_or(list_contains(q.symbols, rk.symbol)) as exact, bool_or(parser_mode = 'fallback') as fallback,
-      count(*) filter (rank_band in ('top_authority', 'useful_support')) as ns, min({_STRONG}) filter (rank_band in ('top_authority', 'useful_support')) as ss, min({_STRONG}) as sa, count(*) filter (rank_band in ('top_authority', 'useful_support') and parser_mode = 'fallback') as fs,
-      count(*) filter (parser_mode = 'fallback') as fa, max({_COMPACT}) filter (place = 1) as size1 from rk join q using (query_id) group by query_id),
-    gq as (select q.query_id, coalesce(n, 0) as n, coalesce(t1, 0) as t1, coalesce(t2, 0) as t2, coalesce(abs(s1 - s2) <= 10, false) as amb, coalesce(exact, false) as exact, coalesce(fallback, false) as fallback, case when ns > 0 then ss else sa end as strong, case when ns > 0 then fs else fa end as weak,
-      case when ns > 0 then ns else n end as total, size1, (span_path is not null)::int as n_spans, len(paths) as n_paths, len(symbols) + len(paths) + len(modules) + len(tests) + (span_path is not null)::int as n_targets from q left join gs using (query_id)),
-    gl as (select *, case when fallback then 0 when t1 > 0 and exact and not amb then 2 when t1 > 0 or t2 >= 50 or exact or n_spans > 0 or n_paths > 0 then 1 else 0 end as lvl, case when n = 0 then 0 when weak = total then 0 when weak > 0 then least(strong, 1) else strong end as ceil_ from gq),
+      max({_COMPACT}) filter (place = 1) as size1 from rk join q using (query_id) group by query_id),
+    gq as (select q.query_id, coalesce(n, 0) as n, coalesce(t1, 0) as t1, coalesce(t2, 0) as t2, coalesce(abs(s1 - s2) <= 10, false) as amb, coalesce(exact, false) as exact, coalesce(fallback, false) as fallback, coalesce(cap.ceiling, 0) as ceil_, size1, (span_path is not null)::int as n_spans, len(paths) as n_paths, len(symbols) + len(paths) + len(modules) + len(tests) + (span_path is not null)::int as n_targets from q left join gs using (query_id) left join cap using (query_id)),
+    gl as (select *, case when fallback then 0 when t1 > 0 and exact and not amb then 2 when t1 > 0 or t2 >= 50 or exact or n_spans > 0 or n_paths > 0 then 1 else 0 end as lvl, 1 as one from gq),
     gz as (select *, least(lvl, ceil_) as cap, case when n = 0 then 'insufficient_evidence' when size1 > 180 then 'budget_exhausted_at_selection' else 'completed' end as result_status from gl)
     select query_id, result_status, ['low', 'medium', 'high'][cap + 1] as confidence_level, ['low', 'medium', 'high'][ceil_ + 1] as confidence_ceiling, array_to_string(list_sort(list_filter([case when fallback then 'parser_fallback' end, case when t1 = 0 then 'no_tier1_evidence' end, case when amb then 'target_ambiguous' end, case when cap < lvl then 'capability_ceiling' end], lambda x: x is not null)), ',') as warnings,
       case when result_status = 'insufficient_evidence' then 'expand_query_scope' when result_status = 'budget_exhausted_at_selection' then 'raise_token_budget' when n_targets = 0 and t1 = 0 and amb then 'narrow_query' when cap = 0 then 'fetch_context_detail' else 'expand_context' end as next_step, n::bigint as n_selected from gz""",

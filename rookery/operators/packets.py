@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.operators.context import BUDGET, _rank as _selection_parts, compact_tokens, focus
+from rookery.operators.context import BUDGET, capability_units, compact_tokens, focus, quarter
+from rookery.operators.context import _rank as _selection_parts
 from rookery.operators.retrieval import RANK_SQL
 from rookery.plans.views import ranking_queries
 from rookery.sources.tables import table
@@ -67,18 +68,43 @@ def top_reasons(ranked: DataFrame, limit: int = TOP_REASONS) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.array_join(F.slice(distinct, 1, limit), ",").alias("reasons"))
 
 
-def capability_units(ranked: DataFrame) -> DataFrame:
-    """The units in the two upper bands, or all where a query has none there."""
-    sure = F.col("rank_band").isin("top_authority", "useful_support")
-    has = ranked.groupBy("query_id").agg(F.bool_or(sure).alias("_sure"))
-    return ranked.join(has, "query_id").where(sure | ~F.col("_sure")).drop("_sure")
-
-
 def selected_modules(ranked: DataFrame) -> DataFrame:
     """query_id, module: distinct modules of the selected paths."""
     return ranked.where("module is not null").select("query_id", "module").distinct()
 
 
+BROAD = 2  # risky neighbours beyond this make an impact broad (fixed value)
+
+
+def guardrails(selected: DataFrame, capable: DataFrame, impact: DataFrame, stale: Column | None = None) -> DataFrame:
+    """Posture, blocking reasons, next step, allowed scope and risk flags of each selection.
+
+    Confidence gives the posture; a stale index or evidence from the fallback parser alone blocks autonomy. ``impact`` has query_id, hint and value."""
+    risky = impact.where("hint = 'risky_neighbors'").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_risky"))
+    x = selected.join(capable.select("query_id", "coverage"), "query_id", "left").join(risky, "query_id", "left")
+    old = F.lit(False) if stale is None else F.coalesce(stale, F.lit(False))
+    level, only_fallback, broad, limited = F.col("confidence_level"), F.coalesce(F.col("coverage") == "fallback_only", F.lit(False)), F.coalesce(F.col("n_risky") > BROAD, F.lit(False)), F.col("confidence_ceiling") != "high"
+    posture = F.when(old | only_fallback, "autonomy_blocked").when(level == "high", "draft_patch_safe").when(level == "medium", "plan_safe").otherwise("autonomy_blocked")
+    blocked = posture == "autonomy_blocked"
+    codes = lambda *cs: F.array_join(F.array_compact(F.array(*[F.when(c, code) for c, code in cs])), ",")
+    return x.select(
+        "query_id", posture.alias("autonomy_posture"),
+        codes((blocked & (level == "low"), "confidence_low"), (old, "stale_index"), (only_fallback, "capability_low"), (blocked & limited, "capability_ceiling"), (broad, "impact_broad")).alias("blocking_reasons"),
+        F.when(posture == "draft_patch_safe", "run_targeted_tests").when(posture == "plan_safe", "fetch_more_context").otherwise("human_review_required").alias("required_next_step"),
+        F.when(posture == "draft_patch_safe", "draft_patch_on_selected_unit_only").when(posture == "plan_safe", "plan_only").otherwise("analysis_only").alias("scope"),
+        codes((old, "stale_index"), (broad, "impact_broad"), (only_fallback, "capability_low"), (limited, "capability_ceiling"), (blocked, "review_gate")).alias("risk_flags"),
+    )
+
+
+def token_estimates(ranked: DataFrame, impact: DataFrame) -> DataFrame:
+    """Tokens of each query's parts: all structure with one rounding, skeletons and compact items rounded each, impact hints with 12 characters a list."""
+    chars = lambda c: F.length(F.coalesce(c, F.lit("")))
+    summary = chars(F.col("summary")) if "summary" in ranked.columns else F.lit(0)
+    g = ranked.groupBy("query_id").agg(F.ceil(F.sum(chars(F.col("signature")) + summary + chars(F.col("symbol"))) / F.lit(4.0)).cast("bigint").alias("structure_tokens"), F.sum(quarter(F.col("signature"))).alias("skeleton_tokens"), F.sum(compact_tokens()).alias("compact_tokens"))
+    i = impact.groupBy("query_id").agg(F.ceil((F.sum(F.length("value")) + 12 * 4) / F.lit(4.0)).cast("bigint").alias("impact_tokens"))
+    return g.join(i, "query_id", "left").na.fill(12, ["impact_tokens"])
+
+
 # ---------------------------------------------------------------- fixtures
 
 
@@ -172,7 +198,17 @@ def _fixtures(spark, d: str) -> DataFrame:
     return fixture_failures(x)
 
 
+def _judged(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from rookery.operators.context import capabilities, selections
+    from rookery.operators.graph import impact
+
+    r, q, u, e = _selection_parts(spark, d)
+    return r, guardrails(selections(r, q), capabilities(r), hints := impact(focus(r), u, e)), hints
+
+
 QUERIES = {
+    "scr_12_full_guardrails": lambda s, d: _judged(s, d)[1],
+    "scr_14_estimates": lambda s, d: token_estimates((x := _judged(s, d))[0], x[2]),
     "prj_02_projection": lambda s, d: with_projection(top_reasons(_parts(s, d)[0]), "selection", "api-shape").select("query_id", "projection_profile", "recommended_projection_profile"),
     "prj_03_query_summary": lambda s, d: query_summary(_queries(s, d)),
     "prj_07_stages": _stages,
@@ -206,8 +242,41 @@ def _stage_sql() -> str:
     )
 
 
+def _impact_sql() -> str:
+    """The verdicts as ``verdict`` and the impact hints as ``imp``."""
+    from rookery.operators.context import _COMPACT
+    from rookery.operators.graph import IMPACT_SQL
+    from rookery.operators.projections import _selection_sql
+
+    body, last = IMPACT_SQL.rsplit("\nselect query_id, hint", 1)
+    return _selection_sql().replace(", sel as (", ", verdict as (") + f", sel as (select query_id, root, unit_id, path, module from (select *, sum({_COMPACT}) over (partition by query_id order by place) as used from rk) where used <= 180 and place <= 5)" + body + ", imp as (select query_id, hint" + last + ")"
+
+
+def _guard_sql() -> str:
+    codes = lambda *cs: "array_to_string(list_filter([" + ", ".join(f"case when {c} then '{code}' end" for c, code in cs) + "], lambda x: x is not null), ',')"
+    return (
+        _impact_sql()
+        + """, rn as (select query_id, count(*) as n from imp where hint = 'risky_neighbors' group by query_id),
+      gr as (select v.*, coalesce(cap.coverage = 'fallback_only', false) as fo, coalesce(rn.n > 2, false) as broad, confidence_ceiling <> 'high' as lim, case when coalesce(cap.coverage = 'fallback_only', false) then 'autonomy_blocked' when confidence_level = 'high' then 'draft_patch_safe' when confidence_level = 'medium' then 'plan_safe' else 'autonomy_blocked' end as autonomy_posture
+        from verdict v left join cap using (query_id) left join rn using (query_id)) select query_id, autonomy_posture, """
+        + codes(("autonomy_posture = 'autonomy_blocked' and confidence_level = 'low'", "confidence_low"), ("fo", "capability_low"), ("autonomy_posture = 'autonomy_blocked' and lim", "capability_ceiling"), ("broad", "impact_broad"))
+        + """ as blocking_reasons, case autonomy_posture when 'draft_patch_safe' then 'run_targeted_tests' when 'plan_safe' then 'fetch_more_context' else 'human_review_required' end as required_next_step,
+      case autonomy_posture when 'draft_patch_safe' then 'draft_patch_on_selected_unit_only' when 'plan_safe' then 'plan_only' else 'analysis_only' end as scope, """
+        + codes(("broad", "impact_broad"), ("fo", "capability_low"), ("lim", "capability_ceiling"), ("autonomy_posture = 'autonomy_blocked'", "review_gate"))
+        + " as risk_flags from gr"
+    )
+
+
+def _estimate_sql() -> str:
+    from rookery.operators.context import _COMPACT
+
+    return _impact_sql() + f" select query_id, ceil(sum(length(coalesce(signature, '')) + length(coalesce(symbol, ''))) / 4.0)::bigint as structure_tokens, sum(ceil(length(coalesce(signature, '')) / 4.0)::bigint)::bigint as skeleton_tokens, sum({_COMPACT})::bigint as compact_tokens, coalesce((select ceil((sum(length(value)) + 48) / 4.0)::bigint from imp where imp.query_id = rk.query_id), 12) as impact_tokens from rk group by query_id"
+
+
 _SAME = lambda a, w: f"(ends_with({a}, {w}) or (contains({a}, '::') and contains({w}, '::') and (ends_with(regexp_extract({a}, '^.*?::(.*)$', 1), regexp_extract({w}, '^.*?::(.*)$', 1)) or ends_with({a}, regexp_extract({w}, '^.*?::(.*)$', 1)))))"
 SQL = {
+    "scr_12_full_guardrails": _guard_sql(),
+    "scr_14_estimates": _estimate_sql(),
     "prj_02_projection": RANK_SQL + "select distinct query_id, 'selection' as projection_profile, 'api_shape' as recommended_projection_profile from rk",
     "prj_03_query_summary": RANK_SQL
     + """select query_id, array_to_string(list_concat([('symbol: ' || x) for x in symbols], [('path: ' || x) for x in paths], [('module: ' || x) for x in modules], [('test: ' || x) for x in tests]), '; ') as targets_summary,
