@@ -15,7 +15,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from rookery import errors
+from rookery import errors, guard
 from rookery.operators import context, diff, graph, outline, retrieval
 from rookery.operators.projections import change_order
 from rookery.operators.structure import anchors, repo_map
@@ -93,15 +93,17 @@ def recorded(operation: str):
 class Workspace:
     """Indexes and selections of one session."""
 
-    def __init__(self, spark: SparkSession, folder: str, language_policy: dict | None = None, allowed_roots: Sequence[str] | None = None, usage: sink.UsageSink | None = None, context: Mapping | None = None):
-        """``usage`` takes an event of every operation, with the fields of ``context`` (surface, actor, tenant, ...)."""
+    def __init__(self, spark: SparkSession, folder: str, language_policy: dict | None = None, allowed_roots: Sequence[str] | None = None, usage: sink.UsageSink | None = None, context: Mapping | None = None, access: Mapping | None = None):
+        """``usage`` takes an event of every operation, with the fields of ``context`` (surface, actor, tenant, ...). ``access`` is a tenants' policy
+        (``rookery.guard``) that the tenant of ``context`` has to meet."""
         self.spark, self.store, self.policy, self.allowed = spark, UnitStore(spark, folder), language_policy, allowed_roots
-        self.usage, self.context = usage, {"surface": "library", **(context or {})}
+        self.usage, self.context, self.access = usage, {"surface": "library", **(context or {})}, access
         self.selections: OrderedDict[str, dict] = OrderedDict()
         self.evicted: OrderedDict[str, None] = OrderedDict()
 
-    def _guard(self, root: str) -> str:
+    def _guard(self, root: str, paths: Sequence[str] | None = None) -> str:
         root = root.rstrip("/") or "/"
+        guard.authorize(self.access, self.context.get("tenant_id"), root, paths)
         if self.allowed is not None and not any(root == a.rstrip("/") or root.startswith(a.rstrip("/") + "/") for a in self.allowed):
             raise errors.Forbidden(f"{root} is under no allowed root")
         return root
@@ -127,7 +129,7 @@ class Workspace:
     def update_index(self, root: str, changed: Sequence[str], snapshot_id: str | None = None) -> dict:
         """Reads the changed paths again and links the whole anew; texts of the others are taken from the last snapshot, not from the tree. Without
         paths it is a full rebuild. Changed paths that are gone lose their units."""
-        root = self._guard(root)
+        root = self._guard(root, list(changed) or None)
         sid, before = snapshot_id or uuid.uuid4().hex, self.store.latest(root)
         if not changed or before is None:
             files = self._files(root)
@@ -163,8 +165,8 @@ class Workspace:
     @recorded("resolve_context")
     def resolve_context(self, root: str, query: Mapping | str) -> dict:
         """Stage 1: a ranked, compact selection. A string is free text; what it names becomes hints."""
-        root = self._guard(root)
         q = checked_query({"intent": {"details": query}} if isinstance(query, str) else query)
+        root = self._guard(root, [*q["paths"], *q["prefixes"]] or None)
         if isinstance(query, str):
             named = self.spark.createDataFrame([(query,)], "t string").select(*anchors(F.col("t"))).first()
             q |= {"suspected": named["suspected"], "preferred_modules": named["modules"], "preferred_paths": named["paths"]}
@@ -234,7 +236,7 @@ class Workspace:
     def literal_file_slice(self, root: str, path: str, start_line: int, end_line: int, snapshot_id: str | None = None) -> dict:
         if start_line < 1 or end_line < start_line or path.startswith("/") or ".." in path.split("/"):
             raise errors.InvalidRequest("bad path or line range")
-        text = self.spark.read.parquet(f"{self.store.folder}/text/{self.store._at(self._guard(root), snapshot_id)}").where(F.col("path") == path)
+        text = self.spark.read.parquet(f"{self.store.folder}/text/{self.store._at(self._guard(root, [path]), snapshot_id)}").where(F.col("path") == path)
         r = context.slices(text, "path", "text", F.lit(start_line), F.lit(end_line)).first()
         if r is None or r["reason"] == "start_beyond_end":
             raise errors.InvalidRequest(f"{path} has no line {start_line}")

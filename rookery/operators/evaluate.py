@@ -76,6 +76,64 @@ def history_counts(runs: DataFrame, dims: list[str]) -> DataFrame:
     return flat.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Dimensions of a run's history, and what a reason asks for (fixed values).
+HISTORY = ("selection_mode", "promotion_reason", "selected_policy_id", "selected_approval_tier", "selected_promotion_mode")
+ACTIONS = {
+    "multiple_eligible_candidates": "choose_best_candidate_from_ranking", "insufficient_candidate_streak": "wait_for_next_consistent_review_run", "promotion_cooldown_active": "wait_for_cooldown_window_to_expire",
+    "all_candidates_blocked_by_governance": "review_governance_tier_and_candidate_policy", "no_protected_queries": "collect_more_feedback", "manual_approval_required": "review_candidate_and_decide_promotion",
+}
+
+
+def last_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The last ``limit`` runs by generated_at and run_id, or all."""
+    return runs if limit is None else runs.orderBy(F.col("generated_at").desc(), F.col("run_id").desc(), *(["item_key"] if "item_key" in runs.columns else [])).limit(max(0, limit))
+
+
+def run_history(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """dimension, value, n of the last runs: totals, promoted and skipped ones, and each of ``HISTORY``; nulls are no values."""
+    x = last_runs(runs, limit)
+    e = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value"))
+    each = F.array(e("runs", F.lit("total")), e("runs", F.when(F.col("promoted"), "promoted")), e("runs", F.when(F.col("skipped"), "skipped")), *[e(c, F.col(c)) for c in HISTORY])
+    return x.select(F.inline(each)).where("value is not null").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def review_queue(runs: DataFrame, reviews: DataFrame, limit: int | None = None) -> DataFrame:
+    """What waits for a decision: one item per key, of each key the latest; the last ``limit`` of them.
+
+    ``runs`` (run_id, generated_at, promotion_reason, review_run_id, selected_policy_id, selected_version) give an item where their reason asks for
+    something; ``reviews`` (run_id, generated_at, reason, root_path, surface, tenant_id, candidates: array of policy_id and version) one where they
+    lack protected queries and one for each candidate that a person has to approve."""
+    part = lambda *cs: F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cs])
+    reason = F.col("promotion_reason")
+    by_review = reason.isin("multiple_eligible_candidates", "all_candidates_blocked_by_governance")
+    key = F.when(by_review, part(reason, F.col("review_run_id"))).otherwise(part(reason, F.col("selected_policy_id"), F.col("selected_version")))
+    policy = F.when(~by_review, F.concat_ws("@", "selected_policy_id", "selected_version"))
+    own = runs.where(reason.isin(*[r for r in ACTIONS if r not in ("no_protected_queries", "manual_approval_required")])).select("run_id", "generated_at", reason.alias("reason_code"), key.alias("item_key"), policy.alias("policy"))
+    gaps = reviews.where("reason = 'no_protected_queries'").select("run_id", "generated_at", F.col("reason").alias("reason_code"), part(F.col("reason"), F.col("root_path"), F.col("surface"), F.col("tenant_id")).alias("item_key"), F.lit(None).cast("string").alias("policy"))
+    manual = reviews.select("run_id", "generated_at", F.explode("candidates").alias("c")).select(
+        "run_id", "generated_at", F.lit("manual_approval_required").alias("reason_code"), part(F.lit("manual_approval_required"), F.col("c.policy_id"), F.col("c.version")).alias("item_key"), F.concat_ws("@", "c.policy_id", "c.version").alias("policy")
+    )
+    items = own.unionByName(gaps).unionByName(manual)
+    latest = items.groupBy("item_key").agg(F.max(F.struct("generated_at", "run_id", "reason_code", "policy")).alias("v")).select("item_key", "v.*")
+    action = F.create_map(*[F.lit(v) for kv in ACTIONS.items() for v in kv])[F.col("reason_code")]
+    return last_runs(latest, limit).select("item_key", "generated_at", "run_id", "reason_code", "policy", action.alias("required_action"))
+
+
+def stored_runs(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and reviews in the shape of a governance history, made of stored feedback: its outcome stands for a run's reason."""
+    f = table(spark, d, "semantic_usage_feedback")
+    reasons = F.create_map(*[F.lit(v) for kv in zip(("helpful", "partially_helpful", "not_helpful", "abandoned"), list(ACTIONS)[:4]) for v in kv])
+    runs = f.select(
+        F.col("id").alias("run_id"), F.col("occurred_at").alias("generated_at"), (F.col("feedback_outcome") == "helpful").alias("promoted"), (F.col("feedback_outcome") == "abandoned").alias("skipped"), F.col("surface").alias("selection_mode"),
+        reasons[F.col("feedback_outcome")].alias("promotion_reason"), F.col("session_id").alias("review_run_id"), F.col("tenant_id").alias("selected_policy_id"), F.col("confidence_level").alias("selected_version"),
+        F.col("confidence_level").alias("selected_approval_tier"), F.col("followup_action").alias("selected_promotion_mode"),
+    )
+    gap = F.when(F.size(F.coalesce("ground_truth_paths", F.array().cast("array<string>"))) == 0, "no_protected_queries")
+    candidates = F.transform(F.array_distinct(F.coalesce("retrieval_issue_codes", F.array().cast("array<string>"))), lambda i: F.struct(i.alias("policy_id"), F.col("confidence_level").alias("version")))
+    reviews = f.select(F.col("id").alias("run_id"), F.col("occurred_at").alias("generated_at"), gap.alias("reason"), F.col("root_path_hash").alias("root_path"), "surface", "tenant_id", candidates.alias("candidates"))
+    return runs, reviews
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same keys, others are appended."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -91,6 +149,32 @@ def replayed(spark, d: str) -> DataFrame:
     return judged(base.select("*", F.lit("baseline").alias("policy"), *less(3)).unionByName(base.select("*", F.lit("candidate").alias("policy"), *less(5))).withColumn("protected_case", F.coalesce("protected_case", F.lit(False))))
 
 
+def _registry(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entries of a registry by (policy, version): those of two outcomes, the second one the newer."""
+    f = table(spark, d, "semantic_usage_feedback").where("tenant_id is not null and confidence_level is not null")
+    of = lambda o: f.where(F.col("feedback_outcome") == o).groupBy(F.col("tenant_id").alias("policy_id"), F.col("confidence_level").alias("version")).agg(F.max("id").alias("entry"), F.lit(o).alias("state"))
+    return of("helpful"), of("not_helpful")
+
+
+_KEY = lambda *cs: "concat_ws(chr(31), " + ", ".join(f"coalesce({c}::varchar, '')" for c in cs) + ")"
+_RUNS = (
+    "with r as (select id as run_id, occurred_at as generated_at, feedback_outcome = 'helpful' as promoted, feedback_outcome = 'abandoned' as skipped, surface as selection_mode, case feedback_outcome "
+    + " ".join(f"when '{o}' then '{a}'" for o, a in zip(("helpful", "partially_helpful", "not_helpful", "abandoned"), list(ACTIONS)[:4]))
+    + """ end as promotion_reason, session_id as review_run_id, tenant_id as selected_policy_id, confidence_level as selected_version, confidence_level as selected_approval_tier, followup_action as selected_promotion_mode,
+      root_path_hash, surface, tenant_id, len(coalesce(ground_truth_paths, [])) = 0 as gap, list_distinct(coalesce(retrieval_issue_codes, [])) as codes, feedback_outcome from semantic_usage_feedback)
+"""
+)
+_HISTORY = lambda src: " union all ".join(["select 'runs' as dimension, 'total' as value, count(*) as n from " + src + " having count(*) > 0"] + [f"select 'runs', '{c}', count(*) from {src} where {c} having count(*) > 0" for c in ("promoted", "skipped")] + [f"select '{c}', {c}::varchar, count(*) from {src} where {c} is not null group by {c}" for c in HISTORY])
+_QUEUE = (
+    _RUNS
+    + f""", it as (select run_id, generated_at, promotion_reason as reason_code, case when feedback_outcome in ('helpful', 'abandoned') then {_KEY('promotion_reason', 'review_run_id')} else {_KEY('promotion_reason', 'selected_policy_id', 'selected_version')} end as item_key,
+      case when feedback_outcome not in ('helpful', 'abandoned') then concat_ws('@', selected_policy_id, selected_version) end as policy from r where promotion_reason is not null
+    union all select run_id, generated_at, 'no_protected_queries', {_KEY("'no_protected_queries'", 'root_path_hash', 'surface', 'tenant_id')}, null from r where gap
+    union all select run_id, generated_at, 'manual_approval_required', {_KEY("'manual_approval_required'", 'c', 'selected_version')}, concat_ws('@', c, selected_version) from (select *, unnest(codes) as c from r)),
+    lt as (select * from it qualify row_number() over (partition by item_key order by generated_at desc, run_id desc, policy desc nulls last) = 1)
+"""
+)
+_ACTION = "case reason_code " + " ".join(f"when '{k}' then '{v}'" for k, v in ACTIONS.items()) + " end"
 _REPLAY = """with b as (select id as query_id, list_filter(coalesce(ground_truth_unit_ids, []), lambda x: true) as ru, coalesce(ground_truth_paths, []) as rp, confidence_level, coalesce(feedback_outcome in ('not_helpful', 'abandoned'), false) as protected_case, id % 9 = 0 as degraded from semantic_usage_feedback),
 p as (select *, 'baseline' as policy, 3 as n from b union all select *, 'candidate', 5 from b),
 r as (select *, len(list_filter(ru, lambda u: length(u) % n = 0)) = 0 as top_ok, len(list_filter(rp, lambda u: length(u) % (n + 6) = 0)) = 0 as paths_ok, coalesce(confidence_level in ('medium', 'high'), false) as confidence_ok from p),
@@ -104,8 +188,11 @@ QUERIES = {
     "set_04_newly_failed": lambda s, d: newly_failed(replayed(s, d), "baseline", "candidate"),
     "srt_05_ranked_policies": lambda s, d: ranked_policies(scorecard(replayed(s, d), ["policy"])).select("policy", "place"),
     "win_07_streaks": lambda s, d: streaks(table(s, d, "semantic_usage_feedback"), "tenant_id", ["occurred_at", "id"], "feedback_outcome"),
-    "agg_23_history_counts": lambda s, d: history_counts(table(s, d, "semantic_usage_feedback"), ["feedback_outcome", "followup_action", "confidence_level", "surface"]),
-    "agg_24_latest_per_key": lambda s, d: table(s, d, "semantic_usage_feedback").groupBy("trace_id").agg(F.max("id").alias("id"), F.max_by("feedback_outcome", "id").alias("feedback_outcome")),
+    "agg_23_run_history": lambda s, d: run_history(stored_runs(s, d)[0]),
+    "agg_23_last_runs": lambda s, d: run_history(stored_runs(s, d)[0], 50),
+    "agg_24_review_queue": lambda s, d: review_queue(*stored_runs(s, d)),
+    "agg_24_queue_counts": lambda s, d: review_queue(*stored_runs(s, d), 100).groupBy("reason_code", "required_action").agg(F.count(F.lit(1)).alias("n")),
+    "set_07_upserted": lambda s, d: upserted(*_registry(s, d), ["policy_id", "version"]),
 }
 SQL = {
     "agg_17_judged": _REPLAY + " select policy, query_id, top_ok, paths_ok, confidence_ok, ok from s",
@@ -121,6 +208,10 @@ SQL = {
     "win_07_streaks": """with l as (select *, first_value(feedback_outcome) over w as last_value, from semantic_usage_feedback window w as (partition by tenant_id order by occurred_at desc, id desc)),
     o as (select *, sum((feedback_outcome is distinct from last_value)::int) over (partition by tenant_id order by occurred_at desc, id desc rows between unbounded preceding and current row) as off from l)
     select tenant_id, max(last_value) as last_value, count(*) as streak from o where off = 0 group by tenant_id""",
-    "agg_23_history_counts": " union all ".join(f"select '{c}' as dimension, coalesce({c}, 'none') as value, count(*) as n from semantic_usage_feedback group by 2" for c in ("feedback_outcome", "followup_action", "confidence_level", "surface")),
-    "agg_24_latest_per_key": "select trace_id, max(id) as id, arg_max(feedback_outcome, id) as feedback_outcome from semantic_usage_feedback group by trace_id",
+    "agg_23_run_history": _RUNS + _HISTORY("r"),
+    "agg_23_last_runs": _RUNS + ", l as (select * from r order by generated_at desc, run_id desc limit 50) " + _HISTORY("l"),
+    "agg_24_review_queue": _QUEUE + f"select item_key, generated_at, run_id, reason_code, policy, {_ACTION} as required_action from lt",
+    "agg_24_queue_counts": _QUEUE + f", lc as (select * from lt order by generated_at desc, run_id desc, item_key limit 100) select reason_code, {_ACTION} as required_action, count(*) as n from lc group by all",
+    "set_07_upserted": """with g as (select tenant_id as policy_id, confidence_level as version, max(id) as entry, feedback_outcome as state from semantic_usage_feedback where tenant_id is not null and confidence_level is not null and feedback_outcome in ('helpful', 'not_helpful') group by all)
+    select policy_id, version, entry, state from g qualify state = 'not_helpful' or count(*) over (partition by policy_id, version) = 1""",
 }

@@ -66,6 +66,26 @@ def event_rules() -> dict[str, Column]:
     }
 
 
+#: What the feedback contract allows.
+OUTCOMES = ("helpful", "partially_helpful", "not_helpful", "abandoned")
+
+
+def feedback_rules() -> dict[str, Column]:
+    return {
+        "surface": F.col("surface").isin(*SURFACES),
+        "feedback_id": F.col("feedback_id").rlike(UUID),
+        "outcome": F.col("feedback_outcome").isin(*OUTCOMES),
+        "confidence": F.col("confidence_level").isin("low", "medium", "high"),
+        "issue_codes": ~F.exists("retrieval_issue_codes", lambda x: x.isNull() | (F.trim(x) == "")),
+        "root_path_hash": F.col("root_path_hash").rlike(HASH),
+    }
+
+
+def broken_references(rows: DataFrame, key: str, catalog: DataFrame, target: str) -> DataFrame:
+    """Rows whose reference names nothing in the catalogue; a null reference names nothing and is none."""
+    return rows.where(F.col(key).isNotNull()).join(catalog.select(F.col(target).alias(key)).distinct(), key, "left_anti")
+
+
 def first_failure(selected: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """The first check, in order, that a selection fails; null if it passes."""
     return selected.select("query_id", F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]).alias("failed"))
@@ -169,6 +189,8 @@ QUERIES = {
     "scr_12_guardrails": lambda s, d: guardrails(_selected(s, d)),
     "scr_14_tokens": lambda s, d: linked_units(s, d).select("root", "unit_id", quarter(F.col("signature"), F.col("symbol")).alias("tokens")),
     "val_01_event_contract": lambda s, d: violations(table(s, d, "semantic_usage_events"), event_rules()),
+    "val_01_feedback_contract": lambda s, d: violations(table(s, d, "semantic_usage_feedback"), feedback_rules()),
+    "val_01_references": lambda s, d: broken_references(table(s, d, "semantic_usage_feedback").select("id", F.explode("ground_truth_unit_ids").alias("unit_id")), "unit_id", table(s, d, "degraded_fallback"), "unit_id").select("id", "unit_id"),
     "val_02_first_failure": lambda s, d: first_failure(_selected(s, d), {"result_status": F.col("result_status") == "completed", "confidence_level": F.col("confidence_level") != "low", "next_step": F.col("next_step") == "expand_context", "warnings": F.col("warnings") == ""}),
     "set_03_incremental_merge": _merge,
     "src_15_store_round_trip": _stored,
@@ -206,6 +228,11 @@ SQL = {
     + ", ".join(f"'{x}'" for x in OPERATIONS)
     + f") as b, not regexp_matches(event_id, '{UUID}') as c, not regexp_matches(root_path_hash, '{HASH}') as d, latency_ms < 0 as e, not json_valid(payload) as f from semantic_usage_events) "
     + " union all ".join(f"select '{n}' as rule, count(*) filter ({c}) as n from v" for n, c in (("surface", "a"), ("operation", "b"), ("event_id", "c"), ("root_path_hash", "d"), ("latency_ms", "e"), ("payload", "f"))),
+    "val_01_feedback_contract": "with v as (select surface not in ("
+    + ", ".join(f"'{x}'" for x in SURFACES)
+    + f") as a, not regexp_matches(feedback_id, '{UUID}') as b, feedback_outcome not in ({', '.join(repr(o) for o in OUTCOMES)}) as c, confidence_level not in ('low', 'medium', 'high') as d, len(list_filter(retrieval_issue_codes, lambda x: coalesce(trim(x), '') = '')) > 0 as e, not regexp_matches(root_path_hash, '{HASH}') as f from semantic_usage_feedback) "
+    + " union all ".join(f"select '{n}' as rule, count(*) filter ({c}) as n from v" for n, c in (("surface", "a"), ("feedback_id", "b"), ("outcome", "c"), ("confidence", "d"), ("issue_codes", "e"), ("root_path_hash", "f"))),
+    "val_01_references": "with u as (select id, unnest(ground_truth_unit_ids) as unit_id from semantic_usage_feedback) select id, unit_id from u where unit_id is not null and unit_id not in (select unit_id from degraded_fallback where unit_id is not null)",
     "val_02_first_failure": _selection_sql() + "select query_id, case when result_status <> 'completed' then 'result_status' when confidence_level = 'low' then 'confidence_level' when next_step <> 'expand_context' then 'next_step' when warnings <> '' then 'warnings' end as failed from sel",
     "set_03_incremental_merge": UNITS_SQL + ", c as (select root, min(path) as path from cur group by root) select root, path, unit_id from cur where not exists (select 1 from c where c.root = cur.root and c.path = cur.path) union all select root, path, path || '::fresh' from c",
     "src_15_store_round_trip": UNITS_SQL + "select root, snapshot_id, unit_id from cur",

@@ -165,10 +165,11 @@ def stage_budgets(events: DataFrame) -> DataFrame:
     )
 
 
-def policy_versions(events: DataFrame) -> DataFrame:
-    """Retrieval events by "id@version"."""
-    both = (F.coalesce("p.policy_id", F.lit("")) != "") & (F.coalesce("p.policy_version", F.lit("")) != "")
-    return events.where((F.col("operation") == "resolve_context") & both).groupBy(F.concat("p.policy_id", F.lit("@"), "p.policy_version").alias("policy")).agg(F.count(F.lit(1)).alias("n"))
+def policy_versions(events: DataFrame, unversioned: str = "") -> DataFrame:
+    """Retrieval events by "id@version"; policies without a version are left out, or counted under the name given for it."""
+    version = F.coalesce(F.nullif("p.policy_version", F.lit("")), F.lit(unversioned))
+    both = (F.coalesce("p.policy_id", F.lit("")) != "") & (version != "")
+    return events.where((F.col("operation") == "resolve_context") & both).groupBy(F.concat(F.col("p.policy_id"), F.lit("@"), version).alias("policy")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def feedback_by_key(feedback: DataFrame) -> DataFrame:
@@ -270,6 +271,12 @@ def query_memory(events: DataFrame) -> DataFrame:
     return x.groupBy(F.coalesce("p.stage_name", F.lit("none")).alias("stage"), F.coalesce("p.policy_id", F.lit("none")).alias("policy_id"), F.coalesce("p.recommended_action", F.lit("expand_context")).alias("next_step")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ingress_modes(events: DataFrame) -> DataFrame:
+    """How successful mcp queries came in; queries without a mode are not counted."""
+    x = events.where("surface = 'mcp' and operation = 'resolve_context' and status = 'success' and p.query_ingress_mode is not null")
+    return x.groupBy(F.col("p.query_ingress_mode").alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _e(spark, d: str) -> DataFrame:
     return normalized_events(table(spark, d, "semantic_usage_events"))
 
@@ -285,7 +292,7 @@ QUERIES = {
     "agg_03_rates_by_tenant": lambda s, d: slo(_e(s, d), ["tenant_id"]),
     "agg_05_stage_tokens": lambda s, d: stage_tokens(_e(s, d)),
     "agg_06_stage_budgets": lambda s, d: stage_budgets(_e(s, d)),
-    "agg_07_policy_versions": lambda s, d: policy_versions(_e(s, d)),
+    "agg_07_policy_versions": lambda s, d: policy_versions(_e(s, d), "none"),
     "agg_08_calibration": lambda s, d: _rounded(calibration(_e(s, d), _f(s, d))),
     "agg_09_daily_rollup": lambda s, d: daily_rollup(_e(s, d), _f(s, d)),
     "agg_10_harvest": lambda s, d: harvested(_e(s, d), _f(s, d)),
@@ -351,7 +358,7 @@ SQL = {
     "agg_05_stage_tokens": _BASE + f" select stage, count(*) as n, {_TOK} from e where operation in ({_IN(STAGES)}) group by stage",
     "agg_06_stage_budgets": _BASE
     + f" select stage, count(*) as n, (count(*) filter (p_within))::double / count(*) as within_budget_rate, (count(*) filter (p_truncated > 0))::double / count(*) as truncated_rate, (count(*) filter (p_result = 'budget_exhausted'))::double / count(*) as budget_exhausted_rate from e where operation in ({_IN(STAGES)}) group by stage",
-    "agg_07_policy_versions": _BASE + " select p_policy || '@' || p_version as policy, count(*) as n from e where operation = 'resolve_context' and coalesce(p_policy, '') <> '' and coalesce(p_version, '') <> '' group by 1",
+    "agg_07_policy_versions": _BASE + " select p_policy || '@' || coalesce(nullif(p_version, ''), 'none') as policy, count(*) as n from e where operation = 'resolve_context' and coalesce(p_policy, '') <> '' group by 1",
     "agg_08_calibration": _BASE + _CAL.format(score=_CASE(LEVEL_SCORE, "confidence_level"), c="c"),
     "agg_09_daily_rollup": _BASE
     + f""", u as (select occurred_at::date as metric_date, surface, operation, 1 as events, (status = 'success')::int as successes, (status = 'error')::int as errors, coalesce(cache_hit::int, 0) as cache_hits,

@@ -51,3 +51,13 @@ def test_since_is_inclusive(spark):
     x = spark.createDataFrame([(1, T0), (2, T0 - dt.timedelta(microseconds=1)), (3, None)], "id bigint, occurred_at timestamp_ntz")
     assert [r["id"] for r in U.filtered(x, since="2026-01-01 00:00:00").collect()] == [1]
     assert U.filtered(x.withColumn("surface", F.lit("mcp")), surface="http").count() == 0
+
+
+def test_policy_versions_and_ingress_modes(spark):
+    from rookery.operators import usage as U
+
+    rows = [("mcp", '{"policy_id": "p", "policy_version": "2", "query_ingress_mode": "partial"}'), ("mcp", '{"policy_id": "p", "policy_version": "2"}'), ("mcp", '{"policy_id": "p"}'), ("http", '{"policy_id": "q", "policy_version": "", "query_ingress_mode": "partial"}'), (" MCP", '{"query_ingress_mode": "shorthand"}'), ("mcp", None)]
+    e = U.normalized_events(spark.createDataFrame([(s, "resolve_context", "success", p) for s, p in rows], "surface string, operation string, status string, payload string"))
+    assert [tuple(r) for r in U.policy_versions(e).collect()] == [("p@2", 2)]
+    assert sorted(tuple(r) for r in U.policy_versions(e, "none").collect()) == [("p@2", 2), ("p@none", 1), ("q@none", 1)]
+    assert sorted(tuple(r) for r in U.ingress_modes(e).collect()) == [("partial", 1), ("shorthand", 1)]
