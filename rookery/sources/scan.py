@@ -108,6 +108,22 @@ def _definitions(language: str):
     return run
 
 
+def _imports(language: str):
+    """(root, path, imported): what the files of a language import, by their units."""
+
+    def run(spark, d: str) -> DataFrame:
+        f = fallback_files(spark, d).where(F.col("language") == language)
+        return extracted(f, "root").where("parser_mode = 'full' or language = 'clojure'").select("root", "path", F.explode("imports").alias("imported")).distinct()
+
+    return run
+
+
+def _java_methods(spark, d: str) -> DataFrame:
+    """Signature keys and arities of Java methods and constructors, as read from their parameter lists."""
+    f = fallback_files(spark, d).where("language = 'java'")
+    return extracted(f, "root").where("method_signature_key is not null").select("root", "path", "start_line", "method_arity", "method_signature_key")
+
+
 def _line_sql(language: str, words: str, where: str) -> str:
     """Lines of one language that define something: ``words`` names parts of the trimmed line t, ``where`` is the rule over them."""
     return _LINES.format(language=language) + f", w as (select *, {words} from l) select distinct root, path, start_line from w where {where}"
@@ -135,6 +151,9 @@ QUERIES = {
     "ext_21_lua": _definitions("lua"),
     "ext_24_typescript": _definitions("typescript"),
     "ext_28_elixir": _definitions("elixir"),
+    "ext_13_java_imports": _imports("java"),
+    "ext_14_java_arities": _java_methods,
+    "ext_18_python_imports": _imports("python"),
     "agg_26_language_counts": lambda s, d: language_counts(fallback_files(s, d)),
     "src_01_not_ignored": lambda s, d: fallback_files(s, d).where(not_ignored(F.col("path"))).select("root", "path"),
 }
@@ -144,6 +163,12 @@ SQL = {
         "java", "trim(split_part(t, '(', 1)) as head, ltrim(split_part(t, ')', 2)) as rest",
         r"contains(t, '(') and len(string_split_regex(head, '\s+')) >= 2 and not regexp_matches(head, '[=(){};\"@/*:]') and not list_contains(['return', 'new', 'throw', 'if', 'for', 'while', 'switch', 'catch'], lower(split_part(head, ' ', 1))) and regexp_matches(rest, '^(\{|;|throws)')",
     ),
+    "ext_14_java_arities": _line_sql(
+        "java", "trim(split_part(t, '(', 1)) as head, ltrim(split_part(t, ')', 2)) as rest, regexp_replace(split_part(split_part(t, '(', 2), ')', 1), '\\s+', '', 'g') as ps",
+        r"contains(t, '(') and len(string_split_regex(head, '\s+')) >= 2 and not regexp_matches(head, '[=(){};\"@/*:]') and not list_contains(['return', 'new', 'throw', 'if', 'for', 'while', 'switch', 'catch'], lower(split_part(head, ' ', 1))) and regexp_matches(rest, '^(\{|;|throws)')",
+    ).replace("select distinct root, path, start_line from w", "select root, path, start_line, (case when ps = '' then 0 else len(string_split(ps, ',')) end)::int as method_arity, ps as method_signature_key from w"),
+    "ext_18_python_imports": _LINES.format(language="python")
+    + r", u as (select distinct root, path from l where regexp_matches(t, '^(async\s+def|def|class)\s')), i as (select root, path, split_part(regexp_replace(t, '^(import|from)\s+', ''), ' ', 1) as imported from l where regexp_matches(t, '^import\s+[A-Za-z_]') or regexp_matches(t, '^from\s+[A-Za-z_.]+\s+import\s+[A-Za-z_*]')) select distinct root, path, imported from i join u using (root, path)",
     "ext_21_lua": _line_sql(
         "lua", "regexp_replace(line, '^local ', '') as r",
         r"case when starts_with(r, 'function ') then regexp_matches(split_part(substr(r, 10), '(', 1), '^\w+([.:]\w+)?\s*$') and contains(r, '(') else regexp_matches(split_part(r, '=', 1), '^\w+(\.\w+)?\s*$') and regexp_matches(ltrim(split_part(r, '=', 2)), '^function\s*\(') end",
@@ -154,3 +179,6 @@ SQL = {
     "ext_17_python_functions": _LINES.format(language="python")
     + ", r as (select *, regexp_replace(line, '^async +', '') as r from l) select root, path, trim(split_part(substr(r, 5), '(', 1)) as name, start_line from r where starts_with(r, 'def ') and contains(r, '(')",
 }
+SQL["ext_13_java_imports"] = (
+    "select distinct i.root, i.path, i.imported from (" + _LINES.format(language="java") + r" select root, path, trim(replace(replace(regexp_replace(t, '^import\s+', ''), 'static ', ''), ';', '')) as imported from l where regexp_matches(t, '^import\s')) i join (" + SQL["ext_12_java"] + ") u using (root, path)"
+)
