@@ -22,7 +22,7 @@ Items with a window whose bound is below 1 (very short ones, or with very long w
 of a run whole, so every stretch of that many words is searched for literally and extended in the same way.
 
 The item side is a stated query set of fixed size, collected once. It is split into blocks of at most ``BLOCK_BYTES`` of text; each
-block's index is built once, is bounded (about 50 bytes per byte of text) and goes to the tasks by broadcast; the corpus is passed once
+block's index is built once, is bounded (about 70 bytes per byte of text) and goes to the tasks by broadcast; the corpus is passed once
 per block. The corpus is never shuffled; documents are not compared with each other. Null and empty texts and items have no
 cases; repeated texts are cases each; other columns are ignored.
 """
@@ -50,7 +50,7 @@ Q = 8
 RUN = 18
 #: One word in ten may be edited.
 ONE_IN = 10
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Least likeness of an altered word at the end of a run to the item's.
 ALIKE = 0.6
 
