@@ -11,6 +11,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Mapping, Sequence
 from functools import wraps
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,10 @@ def recorded(operation: str):
 class Workspace:
     """Indexes and selections of one session."""
 
+    usage: sink.UsageSink | None = None
+    access: Mapping | None = None
+    context: Mapping = MappingProxyType({"surface": "library"})
+
     def __init__(self, spark: SparkSession, folder: str, language_policy: dict | None = None, allowed_roots: Sequence[str] | None = None, usage: sink.UsageSink | None = None, context: Mapping | None = None, access: Mapping | None = None):
         """``usage`` takes an event of every operation, with the fields of ``context`` (surface, actor, tenant, ...). ``access`` is a tenants' policy
         (``rookery.guard``) that the tenant of ``context`` has to meet."""

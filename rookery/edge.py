@@ -2,6 +2,10 @@
 
     python -m rookery.edge serve FOLDER [PORT]
     python -m rookery.edge query NAME TABLES [OUT]
+    python -m rookery.edge resolve STORE ROOT TEXT      (indexes the tree where the store has none; exit code 1 without evidence)
+    python -m rookery.edge outline STORE ROOT FOLDER [check]      (exit code 1 where the outline on disk is stale)
+    python -m rookery.edge contracts TABLES      (exit code 1 where a rule is broken)
+    python -m rookery.edge fixtures FILE      (expectations and results as JSON rows; exit code 1 where one fails)
 """
 
 from __future__ import annotations
@@ -95,16 +99,56 @@ def server(workspace: Workspace, port: int = 8080) -> HTTPServer:
     return HTTPServer(("127.0.0.1", port), Handler)
 
 
-def main(args: list[str]) -> int:
-    spark = SparkSession.builder.appName("rookery").getOrCreate()
-    if args[:1] == ["serve"] and len(args) > 1:
-        server(Workspace(spark, args[1]), int(args[2]) if len(args) > 2 else 8080).serve_forever()
-    if args[:1] == ["query"] and len(args) > 2:
+def _resolve(w: Workspace, root: str, text: str) -> int:
+    if w.store.latest(root) is None:
+        w.create_index(root)
+    got = w.resolve_context(root, text)
+    print(json.dumps(got | w.expand_context(got["selection_id"]), default=str))
+    return int(got["result_status"] == "insufficient_evidence")
+
+
+def _outline(w: Workspace, root: str, folder: str, check: bool) -> int:
+    got = w.outline_drift(root, folder) if check else w.outline(root, folder)
+    print(json.dumps({k: v for k, v in got.items() if not k.endswith("markdown")}, default=str))
+    return int(check and got["stale"])
+
+
+def _contracts(spark: SparkSession, tables: str) -> int:
+    from rookery.operators import projections as p
+    from rookery.sources.tables import table
+
+    broken = [(t, r["rule"], r["n"]) for t, rules in (("semantic_usage_events", p.event_rules()), ("semantic_usage_feedback", p.feedback_rules())) for r in p.violations(table(spark, tables, t), rules).collect() if r["n"]]
+    print(json.dumps([{"table": t, "rule": rule, "rows": n} for t, rule, n in broken]))
+    return int(bool(broken))
+
+
+def _fixtures(spark: SparkSession, path: str) -> int:
+    from rookery.operators.packets import FIXTURE, fixture_failures
+
+    got = fixture_failures(spark.read.schema(FIXTURE).option("multiLine", True).json(path)).collect()
+    print(json.dumps([r.asDict() for r in got]))
+    return int(any(r["failed"] for r in got))
+
+
+def main(args: list[str], spark: SparkSession | None = None) -> int:
+    spark = spark or SparkSession.builder.appName("rookery").getOrCreate()
+    name, rest = (args[0], args[1:]) if args else ("", [])
+    if name == "serve" and rest:
+        server(Workspace(spark, rest[0]), int(rest[1]) if len(rest) > 1 else 8080).serve_forever()
+    if name == "query" and len(rest) > 1:
         from rookery.plans import catalog
 
-        df = catalog.queries()[args[1]](spark, args[2])
-        df.write.mode("overwrite").parquet(args[3]) if len(args) > 3 else df.show(50, False)
+        df = catalog.queries()[rest[0]](spark, rest[1])
+        df.write.mode("overwrite").parquet(rest[2]) if len(rest) > 2 else df.show(50, False)
         return 0
+    if name == "resolve" and len(rest) == 3:
+        return _resolve(Workspace(spark, rest[0]), rest[1], rest[2])
+    if name == "outline" and len(rest) in (3, 4):
+        return _outline(Workspace(spark, rest[0]), rest[1], rest[2], rest[3:] == ["check"])
+    if name == "contracts" and len(rest) == 1:
+        return _contracts(spark, rest[0])
+    if name == "fixtures" and len(rest) == 1:
+        return _fixtures(spark, rest[0])
     print(__doc__, file=sys.stderr)
     return 2
 

@@ -3,7 +3,8 @@
     python -m rookery.mcp FOLDER
 
 Sessions end after ``TTL`` seconds without a message; at most ``KEPT`` indexes stay open, the one used longest ago is closed first. A query may be a
-short text, a mapping with some sections, or a whole query: what is missing gets defaults, lists are joined, given values win.
+short text, a mapping with an intent and some sections, or a whole query. What is missing gets defaults, by purpose where there are some; what the text names
+is added to the lists, given values come first and win.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import sys
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Mapping
 
@@ -22,8 +24,11 @@ from rookery.errors import InvalidQuery, InvalidRequest, RookeryError
 from rookery.operators.structure import anchors
 
 PROTOCOL, TTL, KEPT = "2024-11-05", 1800, 8
-#: Token budgets by purpose (fixed values).
-BUDGETS = {"code_understanding": 1800, "change_impact": 2200, "edit_preparation": 2000, "test_targeting": 1600, "review_support": 2000, "bug_investigation": 2200}
+#: Token budgets by purpose, and what a shorthand query gets where it says nothing.
+BUDGETS = {"code_understanding": 3200, "change_impact": 2400, "edit_preparation": 1600, "test_targeting": 2400, "review_support": 3200, "bug_investigation": 2400}
+CONSTRAINTS = {"token_budget": 3200, "max_raw_code_level": "enclosing_unit", "freshness": "current_snapshot"}
+HINTS = {"prefer_definitions_over_callers": True, "prefer_breadth_over_depth": True}
+OPTIONS = {"include_tests": False, "include_impact_hints": True, "allow_raw_code_escalation": False}
 SECTIONS = ("intent", "targets", "constraints", "hints", "options", "trace")
 _TEXT, _LIST, _INT, _MAP = "string", "array", "integer", "object"
 #: Tool: what it does, its arguments with their types, and those it needs.
@@ -42,35 +47,43 @@ TOOLS = {
 _KINDS: dict[str, type | tuple] = {_TEXT: str, _LIST: list, _INT: int, _MAP: (dict, str)}
 
 
-def merged(base: Mapping, given: Mapping) -> dict:
-    """Sections joined: mappings by key, lists one behind the other without repetition, other given values win."""
-    out = dict(base)
-    for k, v in given.items():
+def merged(given: Mapping, more: Mapping) -> dict:
+    """Sections joined: mappings by key, lists one behind the other without repetition; other given values win."""
+    out = dict(given)
+    for k, v in more.items():
         old = out.get(k)
         if isinstance(old, Mapping) and isinstance(v, Mapping):
             out[k] = merged(old, v)
         elif isinstance(old, list) and isinstance(v, list):
-            out[k] = [*old, *(x for x in v if x not in old)]
-        else:
+            out[k] = [*dict.fromkeys([*old, *v])]
+        elif old is None:
             out[k] = v
     return out
 
 
 def normalized_query(spark: SparkSession, query: Mapping | str | None, intent: str | None = None) -> tuple[dict, str]:
-    """A whole query, and how it came: shorthand, partial or structured. What a short text names becomes hints."""
+    """A whole query, and how it came: canonical, or as mcp_shorthand. A query without an intent is refused."""
     if isinstance(query, str):
         intent, query = query, None
     query = dict(query or {})
-    if isinstance(query.get("intent"), str):
-        query["intent"] = {"details": query["intent"]}
-    details = intent or dict(query.get("intent") or {}).get("details") or ""
-    mode = "structured" if all(s in query for s in ("intent", "targets", "constraints")) else "partial" if query else "shorthand"
-    purpose = dict(query.get("intent") or {}).get("purpose") or PURPOSES[0]
-    base: dict = {"api_version": "1.0", "intent": {"purpose": purpose, "details": details}, "constraints": {"token_budget": BUDGETS.get(purpose, 1800)}}
-    if details and mode != "structured":
+    if isinstance(query.get("schema_version"), str) and all(isinstance(query.get(s), Mapping) for s in SECTIONS):
+        return query, "canonical"
+    own = query.get("intent")
+    own = {"details": own} if isinstance(own, str) else dict(own or {})
+    own |= {"details": intent} if intent else {}
+    if not own:
+        raise InvalidQuery("a query needs an intent")
+    own.setdefault("purpose", PURPOSES[0])
+    out = query | {"api_version": query.get("api_version", "1.0"), "schema_version": query.get("schema_version", "1.0"), "intent": own}
+    out["constraints"] = {**CONSTRAINTS, "token_budget": BUDGETS.get(own["purpose"], CONSTRAINTS["token_budget"]), **dict(query.get("constraints") or {})}
+    out["hints"], out["options"] = {**HINTS, **dict(query.get("hints") or {})}, {**OPTIONS, **dict(query.get("options") or {})}
+    out["trace"] = {"trace_id": str(uuid.uuid4()), "request_id": f"mcp-shorthand-{uuid.uuid4()}", "actor_id": "mcp_client", **dict(query.get("trace") or {})}
+    details = own.get("details")
+    if details:
+        out.setdefault("targets", {"diff_summary": details})
         named = spark.createDataFrame([(details,)], "t string").select(*anchors(F.col("t"))).first()
-        base["hints"] = {"suspected_symbols": named["suspected"], "preferred_modules": named["modules"], "preferred_paths": named["paths"]}
-    return merged(base, query), mode
+        out["hints"] = merged(out["hints"], {"suspected_symbols": named["suspected"], "preferred_modules": named["modules"], "preferred_paths": named["paths"]})
+    return out, "mcp_shorthand"
 
 
 def wrong_arguments(tool: str, given: Mapping) -> list[str]:
@@ -82,7 +95,7 @@ def wrong_arguments(tool: str, given: Mapping) -> list[str]:
 
 def guidance(query: Mapping) -> dict:
     """What helps to mend a refused query: the sections it lacks and a small example."""
-    return {"missing_sections": [s for s in SECTIONS[:3] if s not in query], "unknown_sections": sorted(set(query) - {*SECTIONS, "api_version", "schema_version"}), "example": {"intent": {"purpose": PURPOSES[0], "details": "where is total computed"}, "targets": {"symbols": ["app.orders/total"]}}}
+    return {"missing_sections": [s for s in ("schema_version", *SECTIONS) if s not in query], "unknown_sections": sorted(set(query) - {*SECTIONS, "api_version", "schema_version"}), "example": {"intent": {"purpose": PURPOSES[0], "details": "where is total computed"}, "targets": {"symbols": ["app.orders/total"]}}}
 
 
 class Server:

@@ -113,6 +113,7 @@ def artifact(root: str, units: DataFrame, files: DataFrame, bounds: Bounds = Bou
         "domain_model": first(domain_model(files).select("kind", "name", "path"), bounds.paths, "kind", "name", "path"), "entry_points": [r["entry"] for r in first(entry_points(units, files), bounds.paths, "entry")],
         "projection_profile": "summary", "recommended_projection_profile": "selection",
     }
+    # the headings are fixed values
     text = [f"# Code Context: {out['project_name']}", "", f"- fingerprint: {out['source_fingerprint']}", "", "## Tree", "```text", *out["tree_lines"], "```", ""]
     text += [*_some("## Entry Points", [f"- {e}" for e in out["entry_points"]], bounds.entries), "", "## Namespace Categories"]
     for c in CATEGORIES:

@@ -108,6 +108,12 @@ def token_estimates(ranked: DataFrame, impact: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- fixtures
 
 
+_MANY = "must_paths no_paths must_reasons must_warnings must_degradations must_risks must_units postures statuses review_postures paths reasons warnings degradations risks top_units steps".split()
+_ONE = "fixture_id level least_level posture raw_ceiling confidence_level autonomy_posture result_status raw_level".split()
+#: Columns of a fixture and its result.
+FIXTURE = ", ".join([*(f"{c} string" for c in _ONE), "review boolean", *(f"{c} array<string>" for c in _MANY), *(f"{c} array<struct<unit_id:string,rank_band:string>>" for c in ("bands", "ranked"))])
+
+
 def holds(have: Column, want: Column) -> Column:
     """Whether all wanted are among what there is; nothing wanted holds."""
     none = F.array().cast(_STRINGS)
@@ -141,7 +147,7 @@ def fixture_failures(fixtures: DataFrame) -> DataFrame:
     bands, ranked = F.coalesce(c("bands"), empty), F.coalesce(c("ranked"), empty)
     band_of = lambda u: F.element_at(F.concat(F.transform(F.filter(ranked, lambda r: same_unit(r["unit_id"], u)), lambda r: r["rank_band"]), F.array(F.lit("?"))), 1)
     blocked = F.coalesce(c("autonomy_posture") == "autonomy_blocked", F.lit(False))
-    checks = {
+    checks = {  # their names are fixed values
         "missing required paths": holds(c("paths"), c("must_paths")),
         "found excluded paths": ~F.arrays_overlap(list_of("paths"), list_of("no_paths")),
         "missing selection reason codes": holds(c("reasons"), c("must_reasons")),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.text import label, utc_day
-from rookery.sources.tables import checkpointed, table
+from rookery.sources.tables import checkpointed, new_folder, table
 
 SHARD_BITS = 6
 WINDOWS = (7, 30)
@@ -117,9 +117,20 @@ def last_event_day(spark, d: str) -> Column:
     return table(spark, d, "semantic_usage_events").agg(F.max(utc_day("occurred_at"))).scalar()
 
 
-def activity_totals(spark, d: str) -> DataFrame:
+def corrected_event_tree(spark, d: str) -> DataFrame:
+    """The same tree from two stored runs: most events first, the others, of any day, as late corrections appended to the touched shards."""
+    entity = ["surface", "operation"]
+    rows = distinct_events(table(spark, d, "semantic_usage_events"))
+    late = F.pmod(F.xxhash64("event"), F.lit(4)) == 0
+    path = new_folder(spark, "trailing-tree") + "/shards"
+    build_tree(daily_leaves(rows.where(~late), entity), entity).write.partitionBy("shard").parquet(path)
+    append_corrections(daily_leaves(rows.where(late), entity), path, entity)
+    return stored_tree(spark.read.parquet(path), entity)
+
+
+def activity_totals(spark, d: str, tree: DataFrame | None = None) -> DataFrame:
     """p2_rolling: events, total and average latency of the trailing 7 and 30 days by pair and day."""
-    t = trailing(event_tree(spark, d), ["surface", "operation"], last_event_day(spark, d))
+    t = trailing(event_tree(spark, d) if tree is None else tree, ["surface", "operation"], last_event_day(spark, d))
     cols = []
     for w in WINDOWS:
         cols += [
@@ -153,7 +164,7 @@ roll as (select g.surface, g.operation, g.day,
     group by g.surface, g.operation, g.day)
 """
 
-QUERIES = {"p2_found": paused_days, "p2_rolling": activity_totals}
+QUERIES = {"p2_found": paused_days, "p2_rolling": activity_totals, "p2_corrected": lambda s, d: activity_totals(s, d, corrected_event_tree(s, d))}
 
 SQL = {
     "p2_found": P2_DAILY_SQL + "select surface, operation, strftime(day, '%Y-%m-%d') as activity_day from roll where n7 = 0 and n30 > 0",
@@ -161,3 +172,4 @@ SQL = {
     + """select surface, operation, strftime(day, '%Y-%m-%d') as activity_day, n7::bigint as events_7d, s7::bigint as latency_total_7d, s7::double / nullif(m7, 0)::double as latency_avg_7d,
     n30::bigint as events_30d, s30::bigint as latency_total_30d, s30::double / nullif(m30, 0)::double as latency_avg_30d from roll""",
 }
+SQL["p2_corrected"] = SQL["p2_rolling"]

@@ -80,3 +80,17 @@ def correlated_stream(events: DataFrame, feedback: DataFrame, late: str = "2 day
     e = events.withColumn("k", correlation_key()).withColumn("et", F.col("occurred_at").cast("timestamp")).where("k is not null").select("id", "k", "et").withWatermark("et", late)
     f = feedback.withColumn("fk", correlation_key()).withColumn("ft", F.col("occurred_at").cast("timestamp")).where("fk is not null").select("fk", "ft", "feedback_outcome").withWatermark("ft", late)
     return e.join(f, F.expr(f"k = fk and ft between et - interval {late} and et + interval {late}"), "leftOuter").select("id", "k", "et", "feedback_outcome")
+
+
+def index_stream(workspace, changes: DataFrame, checkpoint: str, once: bool = True):
+    """Keeps indexes up to date from a stream of changed files (root, path): each batch updates its directories, reading the named paths only.
+
+    A batch names the snapshots it makes, so one that is run again after a failure makes them again and no others."""
+
+    def update(batch: DataFrame, number: int) -> None:
+        named = batch.where("root is not null and path is not null").groupBy("root").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+        for r in named.toLocalIterator():  # the changes of one batch
+            workspace.update_index(r["root"], r["paths"], f"batch-{number:09d}")
+
+    w = changes.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()

@@ -77,10 +77,10 @@ def test_tool_edge(workspace, tree):
     s.serve([*map(json.dumps, messages), "no json", ""], lambda t: got.append(json.loads(t)))
     assert len(got) == 7 and got[0]["result"]["serverInfo"]["name"] == "rookery" and len(got[1]["result"]["tools"]) == 10
     answer = json.loads(got[2]["result"]["content"][0]["text"])
-    assert answer["query_ingress_mode"] == "shorthand" and any("go" in f for f in answer["focus"]) and str(tree) in s.open
+    assert answer["query_ingress_mode"] == "mcp_shorthand" and any("go" in f for f in answer["focus"]) and str(tree) in s.open
     assert got[3]["result"]["isError"] and "root_path is missing" in got[3]["result"]["content"][0]["text"] and got[4]["result"]["isError"]
     assert got[5]["error"]["code"] == -32601 and got[6]["error"]["code"] == -32700
-    bad = s.answer(call("resolve_context", root_path=str(tree), query={"unheard": 1}))
+    bad = s.answer(call("resolve_context", root_path=str(tree), query={"unheard": 1, "intent": "x"}))
     assert json.loads(bad["result"]["content"][0]["text"])["guidance"]["unknown_sections"] == ["unheard"]
     for i in range(mcp.KEPT + 2):
         s._touch(f"/r{i}", "x")
@@ -90,8 +90,47 @@ def test_tool_edge(workspace, tree):
 
 
 def test_query_shorthand(spark):
-    q, mode = mcp.normalized_query(spark, {"intent": "see app.orders/total", "hints": {"preferred_paths": ["src/x.py"]}})
-    assert mode == "partial" and q["hints"]["preferred_paths"][-1:] == ["src/x.py"] and "app.orders/total" in q["hints"]["suspected_symbols"] and q["constraints"]["token_budget"] == 1800
-    q, mode = mcp.normalized_query(spark, {"intent": {"purpose": "change_impact"}, "targets": {}, "constraints": {"token_budget": 5}})
-    assert mode == "structured" and q["constraints"]["token_budget"] == 5 and "hints" not in q
+    q, mode = mcp.normalized_query(spark, {"intent": "see app.orders/total", "hints": {"preferred_paths": ["src/x.py"], "prefer_breadth_over_depth": False}})
+    assert mode == "mcp_shorthand" and q["hints"]["preferred_paths"][0] == "src/x.py" and "app.orders/total" in q["hints"]["suspected_symbols"] and not q["hints"]["prefer_breadth_over_depth"]
+    assert q["constraints"]["token_budget"] == 3200 and q["targets"] == {"diff_summary": "see app.orders/total"} and q["trace"]["request_id"].startswith("mcp-shorthand-")
+    q, _ = mcp.normalized_query(spark, {"intent": {"purpose": "edit_preparation"}, "targets": {"paths": ["a"]}})
+    assert q["constraints"]["token_budget"] == 1600 and q["targets"] == {"paths": ["a"]} and mcp.normalized_query(spark, {"intent": {"purpose": "x"}, "constraints": {"token_budget": 5}})[0]["constraints"]["token_budget"] == 5
+    whole = {"schema_version": "1.0", **{k: {} for k in mcp.SECTIONS}}
+    assert mcp.normalized_query(spark, whole) == (whole, "canonical")
+    with pytest.raises(errors.InvalidQuery):
+        mcp.normalized_query(spark, {"targets": {}})
     assert mcp.wrong_arguments("literal_file_slice", {"root_path": "/r", "path": "p", "start_line": "1", "end_line": True, "x": 1}) == ["x is unknown", "start_line has to be of type integer", "end_line has to be of type integer"]
+
+
+def test_command_line(spark, tree, tables, tmp_path, capsys):
+    from rookery.edge import main
+
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    run = lambda *args: (main(list(args), spark), capsys.readouterr().out)
+    code, text = run("resolve", store, str(tree), "where is go used")
+    assert code == 0 and json.loads(text)["focus"]
+    assert run("outline", store, str(tree), out, "check")[0] == 1 and run("outline", store, str(tree), out)[0] == 0 and run("outline", store, str(tree), out, "check")[0] == 0
+    code, text = run("contracts", tables)
+    assert code == int(bool(json.loads(text)))
+    (tmp_path / "f.json").write_text(json.dumps([{"fixture_id": "a", "must_paths": ["x"], "paths": ["x"]}, {"fixture_id": "b", "least_level": "high", "confidence_level": "low"}]))
+    code, text = run("fixtures", str(tmp_path / "f.json"))
+    assert code == 1 and {r["fixture_id"]: r["failed"] for r in json.loads(text)} == {"a": None, "b": "confidence too low"}
+    assert run("what")[0] == 2
+
+
+def test_changed_files_as_a_stream(spark, tmp_path):
+    from rookery.streaming.rollup import index_stream
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    return 1\n")
+    (root / "b.py").write_text("def two():\n    return 2\n")
+    w = Workspace(spark, str(tmp_path / "kept"))
+    w.create_index(str(root), "first")
+    (root / "a.py").write_text("def uno():\n    return 1\n")
+    (root / "b.py").write_text("def due():\n    return 2\n")
+    src = str(tmp_path / "changes")
+    spark.createDataFrame([(str(root), "a.py"), (None, "x"), (str(root), None)], "root string, path string").write.parquet(src)
+    stream = spark.readStream.schema("root string, path string").parquet(src)
+    index_stream(w, stream, str(tmp_path / "cp")).awaitTermination()
+    assert {r["symbol"] for r in w.query_units(str(root)).collect()} == {"a/uno", "b/two"} and w.store.latest(str(root)) == "batch-000000000"
