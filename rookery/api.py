@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rookery import errors, guard
 from rookery.operators import context, diff, graph, outline, retrieval
+from rookery.operators.identity import LANGUAGE_BY_ENDING
 from rookery.operators.projections import change_order
 from rookery.operators.structure import anchors, repo_map
 from rookery.sources import scan, sink
@@ -33,6 +34,34 @@ LEVELS = ("none", "target_span", "enclosing_unit", "local_neighborhood", "whole_
 PURPOSES = ("code_understanding", "change_impact", "edit_preparation", "test_targeting", "review_support", "bug_investigation")
 
 
+#: How many entries the lists of a query may have, how long its texts, and how fresh its snapshot has to be.
+LIST_LIMITS = {"targets": dict.fromkeys(("paths", "symbols", "modules", "tests", "changed_spans"), 20), "constraints": {"language_allowlist": 12, "allowed_path_prefixes": 20}, "hints": dict.fromkeys(("preferred_paths", "preferred_modules", "suspected_symbols"), 25)}
+TEXT_LIMIT, DETAILS_LIMIT = 240, 2000
+FRESHNESS = ("current_snapshot", "allow_stale_if_flagged")
+
+
+def _check_limits(query: Mapping) -> None:
+    """Lists and texts are bounded; what is given may not be empty."""
+    for section, lists in LIST_LIMITS.items():
+        for name, most in lists.items():
+            got = dict(query.get(section) or {}).get(name)
+            if got is None:
+                continue
+            if isinstance(got, str) or not isinstance(got, Sequence) or len(got) > most:
+                raise errors.InvalidQuery(f"{section}.{name} has to be a list of at most {most}")
+            if any(not x or len(x) > TEXT_LIMIT for x in got if isinstance(x, str)):
+                raise errors.InvalidQuery(f"{section}.{name} has an empty or a very long entry")
+    details = dict(query.get("intent") or {}).get("details")
+    if details is not None and (not isinstance(details, str) or len(details) > DETAILS_LIMIT):
+        raise errors.InvalidQuery(f"intent.details has to be a text of at most {DETAILS_LIMIT} characters")
+    if dict(query.get("constraints") or {}).get("freshness", FRESHNESS[0]) not in FRESHNESS:
+        raise errors.InvalidQuery("freshness")
+    for section in ("hints", "options"):
+        for name, v in dict(query.get(section) or {}).items():
+            if name.startswith(("prefer_", "focus_", "include_", "allow_")) and not isinstance(v, bool):
+                raise errors.InvalidQuery(f"{section}.{name} has to be true or false")
+
+
 def checked_query(query: Mapping) -> dict:
     """A query's fields by their flat names, with defaults; raises where the contract is broken."""
     if query.get("api_version", "1.0") != "1.0":
@@ -40,6 +69,7 @@ def checked_query(query: Mapping) -> dict:
     known = {"api_version", "schema_version", "intent", "targets", "constraints", "hints", "options", "trace"}
     if extra := set(query) - known:
         raise errors.InvalidQuery(f"unknown sections: {sorted(extra)}")
+    _check_limits(query)
     part = lambda k: dict(query.get(k) or {})
     intent, targets, limits, hints, options = map(part, ("intent", "targets", "constraints", "hints", "options"))
     if intent.get("purpose", PURPOSES[0]) not in PURPOSES:
@@ -113,6 +143,13 @@ class Workspace:
             raise errors.Forbidden(f"{root} is under no allowed root")
         return root
 
+    def _check_languages(self, paths: Sequence[str]) -> None:
+        """Raises where a query names files of a language that the policy keeps inactive."""
+        p = scan.merged_policy(self.policy, None)
+        asked = [x for x in dict.fromkeys(LANGUAGE_BY_ENDING.get(path.rsplit(".", 1)[-1].lower()) for path in paths) if x]
+        if closed := [x for x in asked if x in p["disable"] or p["allow"] is not None and x not in p["allow"]]:
+            raise errors.NotActive(f"languages {', '.join(closed)} are not active; refresh the project context")
+
     def _files(self, root: str) -> DataFrame:
         files = scan.tree(self.spark, root)
         detected = [r[0] for r in files.select("language").distinct().collect()]
@@ -172,6 +209,7 @@ class Workspace:
         """Stage 1: a ranked, compact selection. A string is free text; what it names becomes hints."""
         q = checked_query({"intent": {"details": query}} if isinstance(query, str) else query)
         root = self._guard(root, [*q["paths"], *q["prefixes"]] or None)
+        self._check_languages(q["paths"])
         if isinstance(query, str):
             named = self.spark.createDataFrame([(query,)], "t string").select(*anchors(F.col("t"))).first()
             q |= {"suspected": named["suspected"], "preferred_modules": named["modules"], "preferred_paths": named["paths"]}

@@ -68,6 +68,12 @@ def test_errors(workspace, repo, spark, tmp_path):
     for bad in ({"api_version": "2.0"}, {"unheard": 1}, {"intent": {"purpose": "x"}}, {"constraints": {"token_budget": 0}}, {"constraints": {"max_raw_code_level": "x"}}):
         with pytest.raises(errors.InvalidRequest):
             checked_query(bad)
+    for bad in ({"targets": {"symbols": ["x"] * 21}}, {"targets": {"paths": "a"}}, {"targets": {"paths": [""]}}, {"hints": {"preferred_paths": ["x" * 241]}}, {"intent": {"details": "x" * 2001}}, {"constraints": {"freshness": "old"}}, {"options": {"include_tests": "yes"}}):
+        with pytest.raises(errors.InvalidQuery):
+            checked_query(bad)
+    closed = Workspace(spark, str(tmp_path / "closed"), language_policy={"disable": ["python"]})
+    with pytest.raises(errors.NotActive):
+        closed.resolve_context(root, {"targets": {"paths": ["src/shop/cart.py"]}})
     with pytest.raises(errors.SnapshotMismatch):
         workspace.resolve_context(root, {"constraints": {"snapshot_id": "nope"}})
     with pytest.raises(errors.IndexNotFound):
