@@ -95,10 +95,10 @@ def delivered_changes(snapshots: DataFrame) -> DataFrame:
     return got.select(F.col("scope").alias("root"), "snapshot_id", F.col("k").alias("unit_id"), "change_type", F.col("old_ref").alias("old_id"), F.when(F.col("change_type") != "removed", F.col("ref")).alias("new_id"))
 
 
-def bucket_count(entries: DataFrame, size: int = 64 << 20) -> int:
-    """Buckets of about ``size`` bytes of stored hashes, one for each core at least."""
+def bucket_count(entries: DataFrame, size: int = 16 << 20) -> int:
+    """Buckets of about ``size`` bytes of stored hashes over all generations."""
     stored = int(str(entries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(20_000, max(entries.sparkSession.sparkContext.defaultParallelism, -(-stored // size)))
+    return min(20_000, max(1, -(-stored // size)))
 
 
 def changed_fields(snapshots: DataFrame) -> DataFrame:
