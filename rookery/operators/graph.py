@@ -111,8 +111,10 @@ def resolved(units: DataFrame) -> DataFrame:
     callers = units.join(imports, ["root", "path"], "left")
     t_cols = [F.col(c).alias(f"t_{n}") for c, n in (("path", "path"), ("module", "module"), ("symbol", "symbol"), ("method_arity", "arity"))]
     c_cols = [F.col("path").alias("c_path"), F.col("module").alias("c_module"), F.col("_imports").alias("c_imports"), *[F.col(c).alias(f"c_{c}") for c in ("call_arity_by_token", "superclass_module") if c in has]]
+    calls, tokens = call_tokens(callers, *c_cols), token_index(units, *t_cols)
+    settled, calls = _near(calls, tokens, has)
     # both sides carry what the narrowing asks for, so tokens are the only join; all later steps share one partitioning by call
-    met = call_tokens(callers, *c_cols).join(token_index(units, *t_cols), ["root", "token"]).drop("token")
+    met = calls.join(tokens, ["root", "token"]).drop("token")
     x = met.repartition("root", "caller", "call").dropDuplicates(["root", "caller", "call", "target"])
     own, scope, module = _owner(F.col("call")), _scope(F.col("t_symbol")), F.lower("t_module")
     dotted = lambda s: F.coalesce(F.endswith(s, F.concat(F.lit("."), own)), F.lit(False))
@@ -143,7 +145,24 @@ def resolved(units: DataFrame) -> DataFrame:
     for f in ("f_path", "f_module", "f_super", "f_import"):
         x = x.withColumn(f"any_{f}", F.max(f).over(w))
     best = F.when(F.col("any_f_path"), F.col("f_path")).when(F.col("any_f_module"), F.col("f_module")).when(F.col("any_f_super"), F.col("f_super")).when(F.col("any_f_import"), F.col("f_import")).otherwise(F.lit(True))
-    return x.where(best).select(*group, "target")
+    return x.where(best).select(*group, "target").unionByName(settled)
+
+
+def _near(calls: DataFrame, tokens: DataFrame, has: set[str]) -> tuple[DataFrame, DataFrame]:
+    """(root, caller, call, target) of the calls that their own file or module settles, and the other calls.
+
+    A call by a bare name whose arity is not known is settled by the targets in the caller's file, else by those in its module, whatever else there is. So
+    these are joined by (token, file) and (token, module); a frequent name meets its local targets only, not all of the directory's."""
+    group, mark = ["root", "caller", "call"], F.lit("\0")
+    bare = ~F.col("call").rlike("[./#]")
+    if "call_arity_by_token" in has:
+        known = F.coalesce(F.try_element_at("c_call_arity_by_token", F.col("call")), F.try_element_at("c_call_arity_by_token", _tail(F.col("call"))))
+        bare = bare & (F.size(F.coalesce(known, F.array().cast("array<int>"))) == 0)
+    level = lambda side: F.inline(F.array(*[F.struct(F.lit(i).alias("level"), F.coalesce(f"{side}_{c}", mark).alias("key")) for i, c in enumerate(("path", "module"))]))
+    met = calls.where(bare).select(*group, "token", level("c")).join(tokens.select("root", "token", "target", level("t")), ["root", "token", "level", "key"])
+    met = met.repartition(*group).groupBy(*group, "target").agg(F.min("level").alias("level"))
+    near = met.withColumn("_first", F.min("level").over(Window.partitionBy(*group))).where("level = _first").select(*group, "target")
+    return near, calls.join(near.select(*group).distinct(), group, "left_anti")
 
 
 def _import_prefixes(i: Column) -> Column:
