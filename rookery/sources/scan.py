@@ -118,6 +118,17 @@ def _imports(language: str):
     return run
 
 
+def _bare_calls(language: str):
+    """(root, path, call): what the units of a language's files call, by the last part of each name."""
+
+    def run(spark, d: str) -> DataFrame:
+        f = fallback_files(spark, d).where(F.col("language") == language)
+        x = extracted(f, "root").where("parser_mode = 'full'").select("root", "path", F.explode("calls").alias("call"))
+        return x.where(~F.col("call").rlike("[./#]")).distinct()
+
+    return run
+
+
 def _java_methods(spark, d: str) -> DataFrame:
     """Signature keys and arities of Java methods and constructors, as read from their parameter lists."""
     f = fallback_files(spark, d).where("language = 'java'")
@@ -154,6 +165,8 @@ QUERIES = {
     "ext_13_java_imports": _imports("java"),
     "ext_14_java_arities": _java_methods,
     "ext_18_python_imports": _imports("python"),
+    "ext_19_python_calls": _bare_calls("python"),
+    "ext_15_java_calls": _bare_calls("java"),
     "agg_26_language_counts": lambda s, d: language_counts(fallback_files(s, d)),
     "src_01_not_ignored": lambda s, d: fallback_files(s, d).where(not_ignored(F.col("path"))).select("root", "path"),
 }
@@ -167,12 +180,19 @@ SQL = {
         "java", "trim(split_part(t, '(', 1)) as head, ltrim(split_part(t, ')', 2)) as rest, regexp_replace(split_part(split_part(t, '(', 2), ')', 1), '\\s+', '', 'g') as ps",
         r"contains(t, '(') and len(string_split_regex(head, '\s+')) >= 2 and not regexp_matches(head, '[=(){};\"@/*:]') and not list_contains(['return', 'new', 'throw', 'if', 'for', 'while', 'switch', 'catch'], lower(split_part(head, ' ', 1))) and regexp_matches(rest, '^(\{|;|throws)')",
     ).replace("select distinct root, path, start_line from w", "select root, path, start_line, (case when ps = '' then 0 else len(string_split(ps, ',')) end)::int as method_arity, ps as method_signature_key from w"),
+    "ext_19_python_calls": _LINES.format(language="python")
+    + r""", fd as (select *, min(start_line) filter (regexp_matches(t, '^(async\s+def|def|class)\s')) over (partition by root, path) as first from l), i as (select root, path, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_.]*)\s*\(', 1)) as token from fd where start_line >= first),
+    c as (select distinct root, path, list_last(string_split(token, '.')) as call from i) select root, path, call from c where call not in ('', 'if', 'for', 'while', 'return', 'yield', 'lambda', 'class', 'def', 'print')""",
     "ext_18_python_imports": _LINES.format(language="python")
     + r", u as (select distinct root, path from l where regexp_matches(t, '^(async\s+def|def|class)\s')), i as (select root, path, split_part(regexp_replace(t, '^(import|from)\s+', ''), ' ', 1) as imported from l where regexp_matches(t, '^import\s+[A-Za-z_]') or regexp_matches(t, '^from\s+[A-Za-z_.]+\s+import\s+[A-Za-z_*]')) select distinct root, path, imported from i join u using (root, path)",
     "ext_21_lua": _line_sql(
         "lua", "regexp_replace(line, '^local ', '') as r",
         r"case when starts_with(r, 'function ') then regexp_matches(split_part(substr(r, 10), '(', 1), '^\w+([.:]\w+)?\s*$') and contains(r, '(') else regexp_matches(split_part(r, '=', 1), '^\w+(\.\w+)?\s*$') and regexp_matches(ltrim(split_part(r, '=', 2)), '^function\s*\(') end",
     ),
+    "ext_24_typescript": _line_sql(
+        "typescript", "regexp_replace(regexp_replace(regexp_replace(t, '^export ', ''), '^default ', ''), '^async ', '') as r, split_part(t, '(', 1) as head",
+        r"(starts_with(r, 'function ') and contains(r, '(')) or (starts_with(line, '  ') and not starts_with(line, '   ') and ends_with(t, '{') and contains(t, '(') and regexp_matches(head, '^\w+$') and head not in ('if', 'for', 'while', 'switch', 'catch', 'return', 'function', 'constructor'))",
+    ),
     "ext_28_elixir": _line_sql("elixir", r"string_split_regex(t, '[\s(]+') as w", r"w[1] in ('def', 'defp', 'defmacro', 'defmacrop', 'defdelegate') and regexp_matches(coalesce(w[2], ''), '^[a-zA-Z_]')"),
     "agg_26_language_counts": _FILES + "select language, count(*) as n_files from g where language <> '' group by language",
     "src_01_not_ignored": _FILES + f"select root, path from g where not list_has_any(string_split_regex(path, '/+'), [{', '.join(repr(x) for x in IGNORED)}])",
@@ -182,3 +202,11 @@ SQL = {
 SQL["ext_13_java_imports"] = (
     "select distinct i.root, i.path, i.imported from (" + _LINES.format(language="java") + r" select root, path, trim(replace(replace(regexp_replace(t, '^import\s+', ''), 'static ', ''), ';', '')) as imported from l where regexp_matches(t, '^import\s')) i join (" + SQL["ext_12_java"] + ") u using (root, path)"
 )
+SQL["ext_15_java_calls"] = (
+    _LINES.format(language="java")
+    + ", jd as (" + SQL["ext_12_java"] + ")"
+    + r""", jm as (select l.*, jd.start_line is not null as def, min(jd.start_line) over (partition by l.root, l.path) as first from l left join jd on jd.root = l.root and jd.path = l.path and jd.start_line = l.start_line),
+    jt as (select root, path, regexp_replace(case when not def then line when contains(line, '{') then substr(line, instr(line, '{') + 1) else '' end, '"[^"]*"', '""', 'g') as body from jm where start_line >= first),
+    jc as (select root, path, unnest(regexp_extract_all(body, '([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*\(', 1)) as token from jt)
+    select distinct root, path, list_last(string_split(regexp_replace(token, '\s', '', 'g'), '.')) as call from jc where list_last(string_split(regexp_replace(token, '\s', '', 'g'), '.')) not in ('if', 'for', 'while', 'switch', 'catch', 'return', 'throw', 'new', 'super', 'this', 'synchronized')"""
+)
