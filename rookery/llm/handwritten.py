@@ -122,7 +122,7 @@ def marks(lines: list[str]) -> str | None:
         last.append(m[1])
     if any(TOOL_SAYS.match(s) for s in (*said, *last)):
         return "generated"
-    return "vendored" if any(COPY_SAYS.match(s) for s in said) and any(COPY_SAYS.match(s) and FOREIGN.search(s) for s in said) else None
+    return "vendored" if any(COPY_SAYS.match(s) and FOREIGN.search(s) for s in said) else None
 
 
 _SIGNED = re.compile(r"[-+](?=\d)")
